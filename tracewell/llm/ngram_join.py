@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word n-gram sets, with skipping by set relations.
 
 Index-level skipping: each set enters the inverted index with a prefix of its n-grams (hot
-n-grams ordered last). Index lists are cut into blocks by size; the position at which a set
-holds the n-gram bounds the sizes it can still match, so whole blocks are never looked at.
+n-grams ordered last). Index lists are cut into blocks by size, and blocks whose sizes can't link
+are never looked at; the positions of the first shared n-gram bound the overlap that is left,
+and so does the number of n-grams that two prefixes share.
 
 Answer-level skipping: in the first round each set is compared with one leader only, the most
 similar-looking set of its lists. Sets that link are joined, and later comparisons inside one
@@ -92,7 +93,7 @@ def _token_counts(batches):
 
 def _entries(k: int, percent: int, hot, salts):
     """Index entries of each set's prefix; a set that a task meets again is entered once."""
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.float64())])
 
     def run(batches):
         seen = set()
@@ -110,53 +111,58 @@ def _entries(k: int, percent: int, hot, salts):
                     at[at == len(last)] = 0
                     is_hot = last[at] == s
                     order = np.argsort(is_hot, kind="stable")[:p]
+                    end = float(s[order[-1]]) + 2.0**64 * is_hot[order[-1]]
                     salt = np.where(is_hot, cls % many[at] + 1, 0)[order]
                     s = s[order]
                 else:
                     salt, s = np.zeros(p, np.int64), s[:p]
+                    end = float(s[-1])
                 out["token"].append(s.view(np.int64))
                 out["salt"].append(salt.astype(np.int32))
                 out["cls"].append(np.full(p, cls, np.int64))
                 out["n"].append(np.full(p, n, np.int64))
                 out["pos"].append(np.arange(p, dtype=np.int32))
+                out["last"].append(np.full(p, end))
             if out["token"]:
                 yield batch(schema, **{c: np.concatenate(v) for c, v in out.items()})
 
-    return run, "token long, salt int, cls long, n long, pos int"
+    return run, "token long, salt int, cls long, n long, pos int, last double"
 
 
 def _lists(percent: int):
     """Index lists with two sets or more; within a list, blocks of sizes that can link share the leader that opens them."""
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("lcls", pa.int64()), ("ln", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.float64()), ("lcls", pa.int64()), ("ln", pa.int64())])
 
     def run(batches):
         got = [rb for rb in batches if rb.num_rows]
         if not got:
             return
-        token, salt, cls, n, pos = (np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in ("token", "salt", "cls", "n", "pos"))
+        token, salt, cls, n, pos, last = (np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in ("token", "salt", "cls", "n", "pos", "last"))
         del got
         order = np.lexsort((cls, n, salt, token))
-        token, salt, cls, n, pos = (x[order] for x in (token, salt, cls, n, pos))
+        token, salt, cls, n, pos, last = (x[order] for x in (token, salt, cls, n, pos, last))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
-        token, salt, cls, n, pos = (x[new] for x in (token, salt, cls, n, pos))
+        token, salt, cls, n, pos, last = (x[new] for x in (token, salt, cls, n, pos, last))
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, len(token)))
         # a hot list's parts are kept even if one set is in a part: the other parts hold its partners
         keep = np.repeat((sizes > 1) | (salt[starts] > 0), sizes)
-        token, salt, cls, n, pos, first = (x[keep] for x in (token, salt, cls, n, pos, first))
+        token, cls, n, pos, last, first = (x[keep] for x in (token, cls, n, pos, last, first))
         lead = np.zeros(len(token), np.int64)
         starts = np.flatnonzero(first).tolist()
         for i, end in zip(starts, [*starts[1:], len(token)]):
             while i < end:
                 j = i + int(np.searchsorted(n[i:end], n[i] * 100 // percent, side="right"))
-                lead[i:j] = i
+                # a set whose place in the list lets it reach the leader's overlap no more leads itself
+                need = -(-percent * (n[i:j] + n[i]) // (100 + percent))
+                lead[i:j] = np.where(n[i:j] - pos[i:j] >= need, i, np.arange(i, j))
                 i = j
-        yield batch(schema, token=token, cls=cls, n=n, pos=pos, lcls=cls[lead], ln=n[lead])
+        yield batch(schema, token=token, cls=cls, n=n, pos=pos, last=last, lcls=cls[lead], ln=n[lead])
 
-    return run, "token long, cls long, n long, pos int, lcls long, ln long"
+    return run, "token long, cls long, n long, pos int, last double, lcls long, ln long"
 
 
 def _fetched(k: int, marks):
@@ -249,34 +255,39 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     run, schema = _lists(percent)
     lists = entries.repartition(parts, "token", "salt").mapInArrow(run, schema)
     lists = lists.join(classes, ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
-    lists = stored(lists.select("token", "rep", "n", "pos", "lead"), "lists")
+    lists = stored(lists.select("token", "rep", "n", "pos", "last", "lead", "ln"), "lists")
 
-    # round 1: each set and the leader that it meets most often
-    tops = lists.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m"))
+    # round 1: each set and the leader that it meets most often, if it meets it often enough to hope for a link
+    alpha = lambda n, m: f"ceil({percent} * ({n} + {m}) / {100 + percent}.0)"
+    kept = lambda n: f"ceil({percent} * {n} / 100.0) - 1"  # noqa: E731  n-grams beyond the prefix
+    tops = lists.where("rep <> lead").groupBy("rep", "n", "lead", "ln").agg(F.count("*").alias("c"))
+    tops = tops.where(f"2 * c >= {alpha('n', 'ln')} - greatest({kept('n')}, {kept('ln')})").groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m"))
     known = _verified(tops.select(F.col("rep").alias("a"), (-F.col("m.l")).alias("b")), docs, k, "known")
     links = known.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
 
     # round 2: pairs of different components that no bound decides
     own = known.select(F.col("a").alias("rep"), F.col("b").alias("x"), F.col("o").alias("ox"))
-    labelled = lists.select("token", "rep", "n", "pos").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
-    labelled = labelled.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"))
+    labelled = lists.select("token", "rep", "n", "pos", "last").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
+    labelled = labelled.select("token", "rep", "n", "pos", "last", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token")
     labelled = stored(labelled.join(mixed, "token"), "mixed")
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"))
     labelled = labelled.join(sizes.select("token", F.col("m.label").alias("most")), "token")
 
     band = lambda c: f"cast(floor(ln({c}) / ln({100 / percent!r})) as int)"
-    low, high = f"ceil({percent} * n / 100.0)", f"floor((n - pos) * {100 + percent} / {percent}.0) - n"
-    few = labelled.where("label <> most").where(f"{high} >= {low}").select(
-        *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "label", "x", "ox")), "token", F.expr(f"explode(sequence({band(low)} - 1, {band(high)} + 1))").alias("band"))
+    low, high = f"ceil({percent} * n / 100.0)", f"floor(n * 100 / {percent}.0)"
+    few = labelled.where("label <> most").select(
+        *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "last", "label", "x", "ox")), "token", F.expr(f"explode(sequence({band(low)} - 1, {band(high)} + 1))").alias("band"))
     every = labelled.withColumn("band", F.expr(band("n")))
-    alpha = f"ceil({percent} * (n + n1) / {100 + percent}.0)"
-    upper = "least(ox, ox1) + least(n - ox, n1 - ox1)"
-    pairs = every.join(few, ["token", "band"]).where(
+    need, upper = alpha("n", "n1"), "least(ox, ox1) + least(n - ox, n1 - ox1)"
+    shared = every.join(few, ["token", "band"]).where(
         f"label <> label1 and (label = most or rep < rep1) and least(n, n1) * 100 >= {percent} * greatest(n, n1)"
-        f" and n - pos >= {alpha} and n1 - pos1 >= {alpha} and not (x = x1 and {upper} < {alpha})")
-    pairs = pairs.select(F.greatest("rep", "rep1").alias("a"), F.least("rep", "rep1").alias("b")).distinct()
+        f" and not (x = x1 and {upper} < {need})")
+    # the first shared n-gram's places, all n-grams shared within the prefixes, and at most all that one set holds beyond its own
+    shared = shared.groupBy(F.greatest("rep", "rep1").alias("a"), F.least("rep", "rep1").alias("b")).agg(
+        F.count("*").alias("c"), F.max(F.expr("least(n - pos, n1 - pos1)")).alias("reach"), F.first(F.expr(need)).alias("need"), F.first(F.expr(f"case when last < last1 then {kept('n')} when last > last1 then {kept('n1')} else greatest({kept('n')}, {kept('n1')}) end")).alias("rest"))
+    pairs = shared.where("reach >= need and c + rest >= need").select("a", "b")
     more = _verified(stored(pairs, "pairs"), docs, k, "more")
     links = links.union(more.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = components(links)
