@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import batch, chunks
+from tracewell.llm.common import chunks, small_batches
 
 #: Words whose encodings a worker keeps; it starts anew beyond that.
 CACHE_WORDS = 400_000
@@ -171,6 +171,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

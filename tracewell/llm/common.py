@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.storage import stored
 
 #: Text handled at a time inside one Arrow batch, in characters; bounds a worker's memory.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
+#: Most rows of an Arrow batch; long texts make Spark's own default too large for a worker.
+BATCH_ROWS = 1000
 
 
 class Numbered(dict):
@@ -21,6 +23,13 @@ class Numbered(dict):
         return n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

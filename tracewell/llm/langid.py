@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import chunks
+from tracewell.llm.common import chunks, small_batches
 
 #: Bytes in a window.
 WINDOW = 128
@@ -118,9 +118,10 @@ class Network:
 def train(docs: DataFrame, label: str = "lang") -> Network | None:
     """A network fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of their id; None without any."""
     h = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).cast("string").alias("y"), "text", h.alias("h"))
-    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
-    rows = rows.orderBy("h", "y").limit(SAMPLE_ROWS).select("y", "h", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
+    place = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0))
+    rows = rows.select(F.col(label).cast("string").alias("y"), h.alias("h"), F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = rows.orderBy("h", "y", "text").limit(SAMPLE_ROWS)
     got = sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, r.y, r.text))
     if not got:
         return None
@@ -141,6 +142,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) ->
     nothing to learn from, get `und` and 0. Rows come one to one, whatever is repeated or null.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     shared = sc.broadcast((net, net.compiled()) if net else None)
     letter = regex.compile(r"\p{L}")
 

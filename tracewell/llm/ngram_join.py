@@ -23,13 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import batch, chunks, components, numbered_words, word_hashes
+from tracewell.llm.common import batch, chunks, components, numbered_words, small_batches, word_hashes
 from tracewell.storage import stored
 
 #: At most so many n-grams are ordered last as hot; with it the threshold of hotness grows with the corpus.
-HOT_TABLE = 1_000_000
+HOT_TABLE = 16_000_000
 #: N-grams in more prefixes than this (or entries / HOT_TABLE, if more) are hot.
-HOT_LEAST = 64
+HOT_LEAST = 8
 #: A hot n-gram's index list is dealt over lists of about this length for the first round.
 LIST_ROWS = 50_000
 #: log2 of the bits that mark sets to be fetched for verification.
@@ -234,6 +234,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _profile(k, percent)
     profile = stored(docs.mapInArrow(run, schema), "profile")
