@@ -32,6 +32,12 @@ HOT_TABLE = 16_000_000
 HOT_LEAST = 8
 #: A hot n-gram's index list is dealt over lists of about this length for the first round.
 LIST_ROWS = 50_000
+#: Most bits of a set's sketch.
+SKETCH_BITS = 4095
+#: Lists of up to so many sets give all their pairs of different components; longer ones are compared by sketches, in blocks of BLOCK_ROWS.
+LIGHT, BLOCK_ROWS = 16, 8192
+#: Candidates that a set tries at first in a block, the most alike by their sketches.
+FIRST = 3
 #: log2 of the bits that mark sets to be fetched for verification.
 MARK_BITS = 26
 
@@ -67,19 +73,30 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes over at least 2 bits for each (a power of two, SKETCH_BITS at most).
+
+    Two sketches differ in no more bits than the sets differ in elements; the halves of a sketch
+    combine by exclusive or to the sketch of half the bits.
+    """
+    bits = 1 << max(6, min(SKETCH_BITS, 2 * len(s) - 1).bit_length())
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _profile(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("prefix", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for rb in batches:
             ids, texts = rb.column("doc_id").to_pylist(), rb.column("text").to_pylist()
-            rows = {"n": [0] * len(ids), "cls": [0] * len(ids), "prefix": [b""] * len(ids)}
+            rows = {"n": [0] * len(ids), "cls": [0] * len(ids), "prefix": [b""] * len(ids), "sketch": [b""] * len(ids)}
             for i, s in _sets(texts, k):
                 rows["n"][i], rows["cls"][i] = len(s), _class(s)
-                rows["prefix"][i] = s[: _prefix(len(s), percent)].tobytes()
+                rows["prefix"][i], rows["sketch"][i] = s[: _prefix(len(s), percent)].tobytes(), _sketch(s)
             yield batch(schema, doc_id=ids, **rows)
 
-    return run, "doc_id long, n long, cls long, prefix binary"
+    return run, "doc_id long, n long, cls long, prefix binary, sketch binary"
 
 
 def _token_counts(batches):
@@ -203,24 +220,146 @@ def _marks(ids: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
-    """(a, b, na, nb, o): sizes and overlap of each distinct pair (a, b) of representatives."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    marks = spark.sparkContext.broadcast(_marks(ids))
-    run, schema = _fetched(k, marks)
-    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("mark"))
-    # repeated doc_id rows give one set each; representatives are matched by the class below
-    sets = stored(marked.mapInArrow(run, schema), "sets")
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
-    joined = joined.join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
-    return stored(joined.select("a", "b", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na long, nb long, o long"), name)
+class _Verifier:
+    """Overlaps of pairs of representatives on whole sets; sets once fetched are kept."""
+
+    def __init__(self, docs: DataFrame, k: int):
+        self.docs, self.k, self.sets = docs, k, None
+
+    def fetch(self, ids: DataFrame) -> None:
+        if self.sets is not None:
+            ids = ids.join(self.sets.select(F.col("rep").alias("id")), "id", "left_anti")
+        marks = _marks(ids)
+        if self.sets is not None and not any(marks):
+            return
+        run, schema = _fetched(self.k, self.docs.sparkSession.sparkContext.broadcast(marks))
+        marked = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("mark"))
+        found = marked.mapInArrow(run, schema)
+        if self.sets is not None:  # sets that only share a mark may be there already
+            found = found.join(self.sets.select("rep"), "rep", "left_anti")
+        found = stored(found, "sets")
+        self.sets = found if self.sets is None else self.sets.union(found)
+
+    def overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, na, nb, o): sizes and overlap of each pair (a, b)."""
+        self.fetch(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        joined = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
+        joined = joined.join(self.sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
+        return stored(joined.select("a", "b", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na long, nb long, o long"), name)
+
+
+def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of 2 * bits or bits as rows of 64-bit words at `bits` bits."""
+    out = np.empty((len(sketches), bits // 64), np.uint64)
+    for i, x in enumerate(sketches):
+        words = np.frombuffer(x, np.uint64)
+        while len(words) > bits // 64:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[i] = words
+    return out
+
+
+def _alike(percent: int, best: int | None):
+    """Pairs of a probe and a member of another component that no bound rules out; with best, so many of a probe."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def columns(t: pa.Table):
+        return [t.column(c).to_numpy() for c in ("rep", "n", "label", "x", "ox")], t.column("sketch").to_pylist()
+
+    def run(probes: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if probes.num_rows and members.num_rows:
+            (rep, n, label, x, ox), sketch = columns(members)
+            (rep1, n1, label1, x1, ox1), sketch1 = columns(probes)
+            bits, bits1 = np.array([len(v) * 8 for v in sketch]), np.array([len(v) * 8 for v in sketch1])
+            for at, width in ((w1, w) for w1 in np.unique(bits1) for w in np.unique(bits) if w1 <= 2 * w and w <= 2 * w1):
+                low = int(min(at, width))
+                mine, theirs = np.flatnonzero(bits1 == at), np.flatnonzero(bits == width)
+                table = _folded([sketch[i] for i in theirs.tolist()], low)
+                for i, row in zip(mine.tolist(), _folded([sketch1[i] for i in mine.tolist()], low)):
+                    m = n[theirs]
+                    need = -(-percent * (m + n1[i]) // (100 + percent))
+                    ok = (label[theirs] != label1[i]) & (np.minimum(m, n1[i]) * 100 >= percent * np.maximum(m, n1[i]))
+                    upper = np.minimum(ox[theirs], ox1[i]) + np.minimum(m - ox[theirs], n1[i] - ox1[i])
+                    ok &= (x[theirs] != x1[i]) | (upper >= need)
+                    left = np.flatnonzero(ok)
+                    differ = np.bitwise_count(table[left] ^ row).sum(1, dtype=np.int64)
+                    good = differ <= (m + n1[i] - 2 * need)[left]
+                    left, differ = left[good], differ[good]
+                    if best is not None and len(left) > best:
+                        left = left[np.lexsort((rep[theirs[left]], differ))[:best]]
+                    other = rep[theirs[left]]
+                    a.append(np.maximum(other, rep1[i]))
+                    b.append(np.minimum(other, rep1[i]))
+        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (a, b)], schema=schema)
+
+    return run
+
+
+def _in_blocks(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of probes and members (kind, key, rep) with equal kind and key; sets has what is known of each rep."""
+    many = members.groupBy("kind", "key").agg((F.count("*") / BLOCK_ROWS).cast("int").alias("last"))
+    left = probes.join(many, ["kind", "key"]).select("kind", "key", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "rep").join(sets, "rep")
+    right = members.join(many, ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int").alias("block"), "rep").join(sets, "rep")
+    by = ("kind", "key", "block")
+    anew = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both sides come from the same tables
+    return anew(left).groupBy(*by).cogroup(anew(right).groupBy(*by)).applyInArrow(_alike(percent, best), "a long, b long")
 
 
 def _linked(percent: int):
     return F.expr(f"100 * o >= {percent} * (na + nb - o)")
 
 
+def _undecided(lists: DataFrame, classes: DataFrame, labels: DataFrame, own: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that share a list but no component, and that may link by all bounds.
+
+    Short lists give pairs, for which the n-grams shared within the prefixes are counted. In a long
+    list, sets outside the list's largest component are compared with all that component's sets in
+    long lists (once, however many lists they share), and with each other, by sketches. With best,
+    a set tries so many of a block; the rest is left to a call without.
+    """
+    sets = classes.select("rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
+    sets = sets.select("rep", "n", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"), "sketch")
+    labelled = lists.select("token", "rep", "pos", "last").join(sets.drop("sketch"), "rep")
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size")).where("l1 <> l2").select("token", "size")
+    labelled = stored(labelled.join(mixed, "token"), "mixed")
+
+    long_ = labelled.where(F.col("size") > LIGHT)
+    most = long_.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
+    outside = long_.join(most.select("token", F.col("m.label").alias("most"), (F.col("all") - F.col("m.c")).alias("others")), "token").where("label <> most")
+    probes = outside.select(F.lit(1).alias("kind"), F.col("most").alias("key"), "rep").distinct()
+    members = long_.select(F.lit(1).alias("kind"), F.col("label").alias("key"), "rep").distinct().join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    rest = outside.where(F.col("others") > LIGHT).select(F.lit(2).alias("kind"), F.col("token").alias("key"), "rep")
+    found = _in_blocks(probes.union(rest), members.union(rest), sets, percent, best)
+    if not best:  # short lists were done with in the call before
+        return found.distinct()
+
+    short = labelled.where(F.col("size") <= LIGHT).drop("size").union(outside.where(F.col("others").between(2, LIGHT)).select("token", *[c for c in labelled.columns if c not in ("token", "size")]))
+    short = short.join(long_.groupBy("rep").agg(F.count("*").alias("l")), "rep", "left").withColumn("l", F.coalesce("l", F.lit(0)))
+    band = lambda c: f"cast(floor(ln({c}) / ln({100 / percent!r})) as int)"
+    low, high = f"ceil({percent} * n / 100.0)", f"floor(n * 100 / {percent}.0)"
+    left = short.select(*(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "last", "label", "x", "ox", "l")), "token", F.expr(f"explode(sequence({band(low)} - 1, {band(high)} + 1))").alias("band"))
+    need, upper = _alpha(percent, "n", "n1"), "least(ox, ox1) + least(n - ox, n1 - ox1)"
+    shared = short.withColumn("band", F.expr(band("n"))).join(left, ["token", "band"]).where(
+        f"label <> label1 and rep < rep1 and least(n, n1) * 100 >= {percent} * greatest(n, n1) and not (x = x1 and {upper} < {need})")
+    # the first shared n-gram's places, all n-grams shared within the prefixes (in long lists, at most
+    # as many as both sets have there), and at most all that one set holds beyond its own
+    left_over = f"case when last < last1 then {_beyond(percent, 'n')} when last > last1 then {_beyond(percent, 'n1')} else greatest({_beyond(percent, 'n')}, {_beyond(percent, 'n1')}) end"
+    counted = shared.groupBy(F.col("rep1").alias("a"), F.col("rep").alias("b")).agg(
+        F.count("*").alias("c"), F.max(F.expr("least(n - pos, n1 - pos1)")).alias("reach"), F.first(F.expr(need)).alias("need"), F.first(F.expr(left_over)).alias("rest"), F.first(F.expr("least(l, l1)")).alias("l"))
+    return found.union(counted.where("(l > 0 or reach >= need) and c + l + rest >= need").select("a", "b")).distinct()
+
+
+def _alpha(percent: int, n: str, m: str) -> str:
+    """The overlap that sets of n and m elements need to link."""
+    return f"ceil({percent} * ({n} + {m}) / {100 + percent}.0)"
+
+
+def _beyond(percent: int, n: str) -> str:
+    """Elements of a set beyond its prefix."""
+    return f"(ceil({percent} * {n} / 100.0) - 1)"
+
+
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text; other columns are ignored).
 
@@ -248,50 +387,34 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     hot = sc.broadcast(tokens[order])
     salts = sc.broadcast((hot_rows["c"].to_numpy(np.int64)[order] // LIST_ROWS + 1))
 
-    classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
+    classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     run, schema = _entries(k, percent, hot, salts)
     entries = docs.where("doc_id is not null").mapInArrow(run, schema)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_all / 2_000_000) + 1)
     run, schema = _lists(percent)
     lists = entries.repartition(parts, "token", "salt").mapInArrow(run, schema)
-    lists = lists.join(classes, ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
+    lists = lists.join(classes.drop("sketch"), ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
     lists = stored(lists.select("token", "rep", "n", "pos", "last", "lead", "ln"), "lists")
 
     # round 1: each set and the leader that it meets most often, if it meets it often enough to hope for a link
-    alpha = lambda n, m: f"ceil({percent} * ({n} + {m}) / {100 + percent}.0)"
-    kept = lambda n: f"ceil({percent} * {n} / 100.0) - 1"  # noqa: E731  n-grams beyond the prefix
     tops = lists.where("rep <> lead").groupBy("rep", "n", "lead", "ln").agg(F.count("*").alias("c"))
-    tops = tops.where(f"2 * c >= {alpha('n', 'ln')} - greatest({kept('n')}, {kept('ln')})").groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m"))
-    known = _verified(tops.select(F.col("rep").alias("a"), (-F.col("m.l")).alias("b")), docs, k, "known")
+    tops = tops.where(f"2 * c >= {_alpha(percent, 'n', 'ln')} - greatest({_beyond(percent, 'n')}, {_beyond(percent, 'ln')})").groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m"))
+    verifier = _Verifier(docs, k)
+    known = verifier.overlaps(stored(tops.select(F.col("rep").alias("a"), (-F.col("m.l")).alias("b")), "tops"), "known")
     links = known.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
 
-    # round 2: pairs of different components that no bound decides
+    # later rounds: pairs of different components that no bound decides
     own = known.select(F.col("a").alias("rep"), F.col("b").alias("x"), F.col("o").alias("ox"))
-    labelled = lists.select("token", "rep", "n", "pos", "last").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
-    labelled = labelled.select("token", "rep", "n", "pos", "last", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("token")
-    labelled = stored(labelled.join(mixed, "token"), "mixed")
-    sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"))
-    labelled = labelled.join(sizes.select("token", F.col("m.label").alias("most")), "token")
-
-    band = lambda c: f"cast(floor(ln({c}) / ln({100 / percent!r})) as int)"
-    low, high = f"ceil({percent} * n / 100.0)", f"floor(n * 100 / {percent}.0)"
-    few = labelled.where("label <> most").select(
-        *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "last", "label", "x", "ox")), "token", F.expr(f"explode(sequence({band(low)} - 1, {band(high)} + 1))").alias("band"))
-    every = labelled.withColumn("band", F.expr(band("n")))
-    need, upper = alpha("n", "n1"), "least(ox, ox1) + least(n - ox, n1 - ox1)"
-    shared = every.join(few, ["token", "band"]).where(
-        f"label <> label1 and (label = most or rep < rep1) and least(n, n1) * 100 >= {percent} * greatest(n, n1)"
-        f" and not (x = x1 and {upper} < {need})")
-    # the first shared n-gram's places, all n-grams shared within the prefixes, and at most all that one set holds beyond its own
-    shared = shared.groupBy(F.greatest("rep", "rep1").alias("a"), F.least("rep", "rep1").alias("b")).agg(
-        F.count("*").alias("c"), F.max(F.expr("least(n - pos, n1 - pos1)")).alias("reach"), F.first(F.expr(need)).alias("need"), F.first(F.expr(f"case when last < last1 then {kept('n')} when last > last1 then {kept('n1')} else greatest({kept('n')}, {kept('n1')}) end")).alias("rest"))
-    pairs = shared.where("reach >= need and c + rest >= need").select("a", "b")
-    more = _verified(stored(pairs, "pairs"), docs, k, "more")
-    links = links.union(more.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = components(links)
+    for best in (FIRST, None):
+        pairs = _undecided(lists, classes, labels, own, percent, best)
+        pairs = stored(pairs if best else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.take(1):
+            break
+        more = verifier.overlaps(pairs, "more").where(_linked(percent))
+        links = links.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labels, done = components(links), pairs
 
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component_id"))
     return profile.select("doc_id", "n", "cls").join(found, ["cls", "n"], "left").select(
