@@ -161,28 +161,29 @@ def vocabulary(file: str) -> Vocabulary:
     return kept[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids): the ids of every whole text as little-endian unsigned 32-bit integers in a binary column.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, columns `keep`, ids): the ids of every whole text as little-endian unsigned 32-bit integers in a binary column.
 
     path: a byte-level BPE file of the tokenizers library, read on the driver. Ids are those of that
     library with add_special_tokens=False; added tokens that stand in a text get their own ids. Null
     and empty texts have no ids. Rows come one to one: repeated rows are encoded each, null ids stay
-    null, other columns are left out, and an empty table gives an empty result.
+    null, columns not named are left out, and an empty table gives an empty result.
     """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches):
         vocab = vocabulary(file.value)
         for rb in batches:
-            texts = rb.column(1).to_pylist()
+            texts = rb.column("_text").to_pylist()
             for a, b in chunks(texts):
                 coded = vocab.encode([t or "" for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, b - a), pa.array(coded, pa.binary())], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in names), pa.array(coded, pa.binary())], names=[*names, "ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{schema}, ids binary")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:

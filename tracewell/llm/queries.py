@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import ann, bpe, chat, langid, ngram_join, pii, topk
+from tracewell.llm import ann, bpe, chat, langid, materialise, mixing, ngram_join, pii, pst, topk
 from tracewell.storage import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -27,6 +27,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.expr("cast(length(ids) / 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = materialise.new_folder(spark)
+    materialise.write_shards(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return materialise.read_shards(spark, path).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+
+
 def _count(k: int):
     return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
 
@@ -39,6 +49,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +75,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_language_id, op5_pii, op6_bpe_round_trip, op8_exact_top_k, op9_chat_formatting, op10_ann,
+    op1_ngram_jaccard_join, op2_language_id, op3_mixing, op4_training_order, op5_pii, op6_bpe_round_trip, op7_lm_scores,
+    op8_exact_top_k, op9_chat_formatting, op10_ann,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_top_k": """
