@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Most candidates, and most queries, that meet in one task (about; dealt by a hash).
-BLOCK_ROWS, BLOCK_QUERIES = 32_768, 16_384
+#: Least and most candidates of a block (about; dealt by a hash; a 64th of all between the two), and most queries.
+LEAST_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 4096, 65_536, 16_384
 #: Queries that are scored at a time inside a task.
 AT_ONCE = 128
 
@@ -41,9 +41,8 @@ def in_blocks(queries: DataFrame, rows: DataFrame, count: int, best: int, answer
     vec_id, score) arrays, up to `best` for each query, from one block of queries and one of rows.
     Every row meets every block of queries once; a block is bounded, whatever the tables' sizes.
     """
-    spark = rows.sparkSession
     asked = queries.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // BLOCK_ROWS))
+    parts = max(1, -(-count // max(LEAST_ROWS, min(BLOCK_ROWS, count // 64))))
     many = max(1, -(-asked // BLOCK_QUERIES))
     row_no = F.pmod(F.hash("vec_id", "v"), F.lit(parts)).cast("int")
     left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
