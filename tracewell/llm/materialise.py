@@ -1,11 +1,15 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
 Documents are tokenized, ended by one separator token and cut to sequences of a fixed length, the
-last one padded. Sequence i of N gets the slot P(i), where P is a keyed Feistel network over the
-smallest even number of bits that holds N; values of N or more go through the network again (cycle
-walking) until they fall below N, so that P permutes 0..N-1. Slot s stands in shard s // shard_rows
-at byte (s % shard_rows) * stride. Shards are written in slot order by one task each, under a
-temporary name that is moved into place, so a task that runs twice leaves the same file.
+last one padded. A document has no more tokens than bytes, so a cheap pass over the byte lengths
+gives every possible sequence a number below N before anything is tokenized. Number i goes to the
+place P(i), where P is a keyed Feistel network over the smallest even number of bits that holds N;
+values of N or more go through the network again (cycle walking) until they fall below N, so that
+P permutes 0..N-1. Equal ranges of places make the shards, and within a shard the sequences that
+exist stand in the order of their places, without gaps. A sequence's slot is its rank: the counts of
+the shards before, plus its position, which is byte position * stride of its shard. Tokens thus
+move once, from the tokenizer to their shard. Shards are written by one task each under a temporary
+name that is moved into place, so a task that runs twice leaves the same file.
 
 Record: document id (int64), number of the sequence in its document (int32), tokens without padding
 (int32), then the ids (uint16, or uint32 for large vocabularies), all little-endian.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewell.llm.common import chunks, small_batches
-from tracewell.storage import shared_dir, stored
+from tracewell.storage import shared_dir
 
 ROUNDS = 6
 HEADER = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("tokens", "<i4")])
@@ -91,34 +95,50 @@ def _encoder(file: bytes):
     return kept[key]
 
 
-def sequences(docs: DataFrame, ranks: str, length: int, separator: int) -> DataFrame:
-    """(task, local, doc_id, part, ids): the sequences of docs, counted within each task; ids packed."""
+def capacities(docs: DataFrame, length: int) -> tuple[DataFrame, dict[int, int]]:
+    """docs with `most`, the most sequences that a text can have, and their sum in each partition."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("most", F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / length).cast("long") + 1)
+    sums = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("most").alias("n")).collect()
+    return rows, {r.task: r.n for r in sums}
+
+
+def sequences(docs: DataFrame, ranks: str, length: int, separator: int, key: int, shard_places: int) -> tuple[DataFrame, int]:
+    """(shard, place, doc_id, part, ids), the sequences of docs at their places, ids packed; and the number N of places."""
     with open(ranks, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows, sums = capacities(docs, length)
+    starts, total = {}, 0
+    for task in sorted(sums):
+        starts[task], total = total, total + sums[task]
     small = np.dtype("<u2" if separator < 65536 else "<u4")
-    schema = pa.schema([("task", pa.int32()), ("local", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, local, encode = TaskContext.get().partitionId(), 0, None
+        task, encode = TaskContext.get().partitionId(), None
+        at = starts.get(task, 0)
+        end = at + sums.get(task, 0)
         for rb in batches:
             encode = encode or _encoder(file.value).encode_ordinary
-            ids, texts = rb.column("doc_id").to_pylist(), rb.column("text").to_pylist()
+            ids, texts, most = rb.column("doc_id").to_pylist(), rb.column("text").to_pylist(), rb.column("most").to_pylist()
             for a, b in chunks(texts):
-                out_id, out_part, out = [], [], []
+                number, out_id, out_part, out = [], [], [], []
                 for i in range(a, b):
                     tokens = np.array([*encode(texts[i] or ""), separator], small)
-                    for part, at in enumerate(range(0, len(tokens), length)):
+                    for part, first in enumerate(range(0, len(tokens), length)):
+                        number.append(at + part)
                         out_id.append(ids[i])
                         out_part.append(part)
-                        out.append(tokens[at : at + length].tobytes())
-                n = len(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(local, local + n)), pa.array(out_id, pa.int64()), pa.array(out_part, pa.int32()), pa.array(out, pa.binary())], schema=schema)
-                local += n
+                        out.append(tokens[first : first + length].tobytes())
+                    at += most[i]
+                place = permute(np.array(number, np.int64), total, key)
+                yield pa.RecordBatch.from_arrays([pa.array(place // shard_places), pa.array(place), pa.array(out_id, pa.int64()), pa.array(out_part, pa.int32()), pa.array(out, pa.binary())], schema=schema)
+        if at != end:
+            raise RuntimeError(f"partition {task} holds other rows than when it was counted")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "task int, local long, doc_id long, part int, ids binary")
+    return rows.mapInArrow(run, "shard long, place long, doc_id long, part int, ids binary"), total
 
 
 def _files(path: str):
@@ -162,32 +182,21 @@ def record(ids_type: str, length: int) -> np.dtype:
     return np.dtype([*((n, HEADER[n]) for n in HEADER.names), ("ids", ids_type, (length,))])
 
 
-def write_shards(docs: DataFrame, path: str, ranks: str, length: int = 512, separator: int = 50256, key: int = 20240229, shard_rows: int = 16_384) -> dict:
+def write_shards(docs: DataFrame, path: str, ranks: str, length: int = 512, separator: int = 50256, key: int = 20240229, shard_places: int = 32_768) -> dict:
     """Write the sequences of docs (doc_id, text) to shards in folder path, and return their description.
 
-    The description also stands in path/layout.json. Null and empty texts are one separator;
-    repeated rows are sequences each; a null doc_id is written as the smallest int64; other columns
-    are ignored. An empty table writes no shard. Sequences are numbered by the order of the rows in
-    the input's partitions, so the same input under the same splits gives the same shards.
+    The description also stands in path/layout.json, with the counts of the shards. Null and empty
+    texts are one separator; repeated rows are sequences each; a null doc_id is written as the smallest
+    int64; other columns are ignored. An empty table writes no shard. Sequences are numbered by the
+    order of the rows in docs' partitions, which must be the same each time docs is read; the same
+    input under the same splits gives the same shards.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = stored(sequences(docs, ranks, length, separator), "sequences")
-    counts = {r.task: r.n for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}
-    offsets, total = {}, 0
-    for task in sorted(counts):
-        offsets[task], total = total, total + counts[task]
-    layout = {"sequences": total, "length": length, "separator": separator, "key": key, "shard_rows": shard_rows, "ids": "<u2" if separator < 65536 else "<u4"}
+    placed, places = sequences(docs, ranks, length, separator, key, shard_places)
+    layout = {"length": length, "separator": separator, "key": key, "places": places, "shard_places": shard_places, "ids": "<u2" if separator < 65536 else "<u4"}
     kind = record(layout["ids"], length)
     layout["stride"] = kind.itemsize
-    shared = spark.sparkContext.broadcast(offsets)
-
-    def place(batches):
-        for rb in batches:
-            tasks = rb.column("task").to_pylist()
-            index = np.array([shared.value[t] for t in tasks], np.int64) + rb.column("local").to_numpy()
-            slot = permute(index, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // shard_rows), pa.array(slot), *(rb.column(c) for c in ("doc_id", "part", "ids"))], names=["shard", "slot", "doc_id", "part", "ids"])
 
     def write(batches):
         def packed():
@@ -224,12 +233,12 @@ def write_shards(docs: DataFrame, path: str, ranks: str, length: int = 512, sepa
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([count], pa.int64())], names=["shard", "n"])
             head = after[0]
 
-    placed = rows.mapInArrow(place, "shard long, slot long, doc_id long, part int, ids binary")
-    shards = -(-total // shard_rows)
-    ordered = placed.repartition(max(1, min(shards, 10_000)), "shard").sortWithinPartitions("shard", "slot")
-    written = ordered.mapInArrow(write, "shard long, n long").agg(F.sum("n").alias("n"), F.count("*").alias("files")).first()
-    if (written.n or 0) != total or written.files != shards:
-        raise RuntimeError(f"{written.n} of {total} sequences written to {written.files} of {shards} shards")
+    shards = -(-places // shard_places)
+    ordered = placed.repartition(max(1, min(shards, 10_000)), "shard").sortWithinPartitions("shard", "place")
+    counts = [0] * shards
+    for r in ordered.mapInArrow(write, "shard long, n long").collect():
+        counts[r.shard] = r.n
+    layout |= {"sequences": sum(counts), "counts": counts}
     _write(path, "layout.json", [json.dumps(layout).encode()])
     return layout
 
@@ -242,12 +251,13 @@ def read_layout(path: str) -> dict:
 def read_sequences(path: str, start: int = 0, count: int | None = None):
     """(slot, doc_id, part, ids without padding) from slot start on, in order, by one seek and then sequential reads."""
     layout = read_layout(path)
-    kind, rows = record(layout["ids"], layout["length"]), layout["shard_rows"]
+    kind, ends = record(layout["ids"], layout["length"]), np.cumsum(layout["counts"])
     end = layout["sequences"] if count is None else min(layout["sequences"], start + count)
     while start < end:
-        stop = min(end, (start // rows + 1) * rows)
-        with _open(path, shard_name(start // rows)) as f:
-            f.seek(start % rows * kind.itemsize)
+        shard = int(np.searchsorted(ends, start, side="right"))
+        stop, before = min(end, int(ends[shard])), int(ends[shard]) - layout["counts"][shard]
+        with _open(path, shard_name(shard)) as f:
+            f.seek((start - before) * kind.itemsize)
             for slot in range(start, stop):
                 r = np.frombuffer(f.read(kind.itemsize), kind)[0]
                 yield slot, None if r["doc_id"] == NO_ID else int(r["doc_id"]), int(r["part"]), r["ids"][: r["tokens"]]
@@ -257,13 +267,16 @@ def read_sequences(path: str, start: int = 0, count: int | None = None):
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, part, n_tokens, ids) of all records in folder path, one task a shard at most; ids packed."""
     layout = read_layout(path)
-    shards = -(-layout["sequences"] // layout["shard_rows"])
-    kind, rows = record(layout["ids"], layout["length"]), layout["shard_rows"]
+    kind, counts = record(layout["ids"], layout["length"]), layout["counts"]
+    before = spark.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts))).astype(np.int64))
     names = ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "ids"]
 
     def run(batches):
         for rb in batches:
             for shard in rb.column("id").to_pylist():
+                first, last = before.value[shard], before.value[shard + 1]
+                if first == last:
+                    continue
                 with _open(path, shard_name(shard)) as f:
                     at = 0
                     while block := f.read(kind.itemsize * 1024):
@@ -272,10 +285,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                         ids = [x[:n].tobytes() for x, n in zip(r["ids"], r["tokens"])]
                         doc = pa.array(r["doc_id"].astype(np.int64), mask=r["doc_id"] == NO_ID)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard * rows + place), pa.array(np.full(len(r), shard, np.int64)), pa.array(place * kind.itemsize), doc, pa.array(r["part"].astype(np.int32)), pa.array(r["tokens"].astype(np.int64)), pa.array(ids, pa.binary())], names=names)
+                            [pa.array(first + place), pa.array(np.full(len(r), shard, np.int64)), pa.array(place * kind.itemsize), doc, pa.array(r["part"].astype(np.int32)), pa.array(r["tokens"].astype(np.int64)), pa.array(ids, pa.binary())], names=names)
                         at += len(r)
 
-    return spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens long, ids binary")
+    return spark.range(0, len(counts), 1, max(1, min(len(counts), 10_000))).mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens long, ids binary")
 
 
 def new_folder(spark: SparkSession) -> str:
