@@ -219,15 +219,16 @@ class Mix:
         return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}n_tokens long, p array<double>, rate double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, slack: float = SLACK) -> Mix:
+def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, slack: float = SLACK) -> tuple[Mix, DataFrame]:
+    """The mix, and the table (doc_id, n_tokens, p, rate 1) of all rows that it was fitted on."""
     small_batches(docs.sparkSession)
     model = fit_classifier(docs, labels)
+    members = stored(Mix(model, []).apply(docs, ("doc_id",)), "members")
     if model is None:
-        return Mix(None, [])
-    members = stored(Mix(model, []).apply(docs, ()).select("n_tokens", "p"), "members")
+        return Mix(None, []), members
     expected = members.select(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(len(model.domains)))).first()
     expected = np.array([x or 0.0 for x in expected], float)
-    return Mix(model, fit_rates(members, _targets(model, expected, weights, slack)))
+    return Mix(model, fit_rates(members, _targets(model, expected, weights, slack))), members
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -238,9 +239,19 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
     repeated labels of a doc_id one is used. Without labelled documents all rates are 1. An empty
     table gives an empty result. Other columns are ignored.
     """
-    mix = fit(docs, labels, weights)
+    mix, members = fit(docs, labels, weights)
+    if mix.model:
+        steps = mix.steps
+
+        def run(batches):
+            for rb in batches:
+                p = np.array(rb.column("p").to_pylist(), np.float64).reshape(rb.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("doc_id", "n_tokens", "p")), pa.array(rates(p, steps)[0])], names=["doc_id", "n_tokens", "p", "rate"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        members = members.select("doc_id", "n_tokens", "p").mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>, rate double")
     names = F.array(*(F.lit(d) for d in (mix.model.domains if mix.model else []))).cast("array<string>")
-    return mix.apply(docs, ("doc_id",)).select("doc_id", "n_tokens", names.alias("domains"), "p", "rate")
+    return members.select("doc_id", "n_tokens", names.alias("domains"), "p", "rate")
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, repeats: bool = False) -> DataFrame:
@@ -248,7 +259,7 @@ def resample(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
 
     With repeats, a rate of 1 or more also repeats the row; without, it just stays.
     """
-    rated = fit(docs, labels, weights).apply(docs, tuple(docs.columns))
+    rated = fit(docs, labels, weights)[0].apply(docs, tuple(docs.columns))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     if not repeats:
