@@ -7,11 +7,11 @@ import io
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": "\u0000"}
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table with a header, by a given schema; quoted texts may hold newlines and doubled quotes."""
+    """A CSV table with a header, by a given schema; quoted texts may hold newlines and doubled quotes, and \\N is null."""
     return spark.read.options(**{k: str(v) for k, v in CSV.items()}).schema(schema).csv(path)
 
 
