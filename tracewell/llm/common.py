@@ -30,6 +30,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def boxed(docs: DataFrame, *use: str) -> DataFrame:
+    """The columns `use` of docs, and all others in one struct `box`, so that no name can clash with those of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in use]
+    return docs.select(*use, F.struct(*others, F.lit(0).alias("__tracewell")).alias("box"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, *use: str) -> DataFrame:
+    """The columns of docs, in their order, from df with the columns `use` and `box`."""
+    return df.select(*(F.col(c) if c in use else F.col("box").getField(c).alias(c) for c in docs.columns))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

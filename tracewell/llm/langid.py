@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import chunks, small_batches
+from tracewell.llm.common import boxed, chunks, small_batches, unboxed
 
 #: Bytes in a window.
 WINDOW = 128
@@ -186,4 +186,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose language is decided with a score of `least` or more, in their own columns."""
     net = train(docs.where(fold() != 0))
-    return predict(docs, net, tuple(docs.columns)).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*docs.columns)
+    judged = predict(boxed(docs, "text"), net, ("text", "box")).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
+    return unboxed(judged, docs, "text")

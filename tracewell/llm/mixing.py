@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm.common import batch, chunks, numbered_words, small_batches, word_hashes
+from tracewell.llm.common import batch, boxed, chunks, numbered_words, small_batches, unboxed, word_hashes
 from tracewell.storage import stored
 
 #: Most labelled rows that the classifier learns from, and the most words that it knows.
@@ -259,9 +259,10 @@ def resample(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
 
     With repeats, a rate of 1 or more also repeats the row; without, it just stays.
     """
-    rated = fit(docs, labels, weights)[0].apply(docs, tuple(docs.columns))
+    rated = fit(docs, labels, weights)[0].apply(boxed(docs, "doc_id", "text"), ("doc_id", "text", "box"))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    if not repeats:
-        return rated.where(copies >= 1).select(*docs.columns)
-    return rated.withColumn("_copies", copies.cast("int")).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    drawn = rated.withColumn("copies", copies.cast("int")).where("copies > 0")
+    if repeats:
+        drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unboxed(drawn, docs, "doc_id", "text")

@@ -423,5 +423,5 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, in their own columns; of repeated rows all stay."""
-    groups = ngram_jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti")
+    groups = ngram_jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__tracewell_gone")).distinct()
+    return docs.join(groups, F.col("doc_id") == F.col("__tracewell_gone"), "left_anti")
