@@ -32,6 +32,8 @@ HOT_TABLE = 16_000_000
 HOT_LEAST = 8
 #: A hot n-gram's index list is dealt over lists of about this length for the first round.
 LIST_ROWS = 50_000
+#: Index entries of a task that forms lists.
+PART_ROWS = 250_000
 #: Most bits of a set's sketch.
 SKETCH_BITS = 4095
 #: Lists of up to so many sets give all their pairs of different components; longer ones are compared by sketches, in blocks of BLOCK_ROWS.
@@ -391,7 +393,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     classes = stored(classes, "classes")
     run, schema = _entries(k, percent, hot, salts)
     entries = docs.where("doc_id is not null").mapInArrow(run, schema)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_all / 2_000_000) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_all / PART_ROWS) + 1)
     run, schema = _lists(percent)
     lists = entries.repartition(parts, "token", "salt").mapInArrow(run, schema)
     lists = lists.join(classes.drop("sketch"), ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
