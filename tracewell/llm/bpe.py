@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from tracewell.llm.common import chunks, small_batches
 
 #: Words whose encodings a worker keeps; it starts anew beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Pairs of tokens whose stability a worker keeps, likewise.
+CACHE_PAIRS = 200_000
 #: Longest word that is kept; longer ones are encoded each time they occur.
 CACHE_CHARS = 200
 
@@ -141,6 +143,8 @@ class Vocabulary:
         words = set().union(*(p for parts in pieces for p in parts if not isinstance(p, int)))
         if len(cache) + len(words) > CACHE_WORDS:
             cache.clear()
+        if len(self.stable) > CACHE_PAIRS:
+            self.stable.clear()
         new = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in cache}
         coded = self.encode_words(list(new.values()))
         cache.update((w, coded[b]) for w, b in new.items())
