@@ -20,15 +20,15 @@ def test_predictions_come_from_texts_alone(spark):
     assert key(docs) == key(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)).withColumn("doc_id", -F.col("doc_id")))
 
 
-def test_gradient_of_the_network():
+def test_network_learns_a_byte_pattern():
     rnd = np.random.default_rng(0)
     net = langid.Network(["a", "b"])
-    x = rnd.integers(1, 255, (40, langid.WINDOW)).astype(np.uint8)
-    x[:20, ::3] = 65
-    y = np.repeat([0, 1], 20)
-    before = net.probabilities(x, net.compiled())[np.arange(40), y].mean()
+    x = rnd.integers(1, 255, (1280, langid.WINDOW)).astype(np.uint8)
+    x[:640, ::3] = 65
+    y = np.repeat([0, 1], 640)
+    before = net.probabilities(x, net.compiled())[np.arange(1280), y].mean()
     net.train(x, y)
-    after = net.probabilities(x, net.compiled())[np.arange(40), y].mean()
+    after = net.probabilities(x, net.compiled())[np.arange(1280), y].mean()
     assert after > max(before, 0.95)
 
 

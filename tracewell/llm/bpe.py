@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import sys
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -71,7 +72,11 @@ class Vocabulary:
             if h:
                 whole[a] = whole[a] and whole[h[0]] and whole[h[1]]
         self.age = {t: a for a, t in enumerate(self.tokens) if whole[a]}
-        self.longest = max(map(len, self.age))
+        # finds all tokens that end at each place of a word, longest first
+        self.finder = ahocorasick.Automaton()
+        for t, a in self.age.items():
+            self.finder.add_word(t.decode("latin-1"), (a, len(t)))
+        self.finder.make_automaton()
         self.packed = [np.uint32(ids.get(t, 0)).tobytes() for t in self.tokens]
         self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
@@ -101,7 +106,7 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of distinct words, by one traversal of their trie."""
-        age, longest, is_stable, stable, tokens, packed = self.age, self.longest, self.is_stable, self.stable, self.tokens, self.packed
+        is_stable, stable, tokens, packed, ends = self.is_stable, self.stable, self.tokens, self.packed, self.finder.iter
         out: dict[bytes, bytes] = {}
         state: list[int] = []  # state[i]: the last token of the path's first i + 1 bytes
         path = b""
@@ -110,17 +115,17 @@ class Vocabulary:
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del state[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = age.get(word[start:end])
-                    if t is not None:
-                        if start == 0:
-                            break
-                        pair = state[start - 1], t
-                        ok = stable.get(pair)
-                        if is_stable(*pair) if ok is None else ok:
-                            break
+            known = shared
+            for end, (t, size) in ends(word.decode("latin-1")):
+                if end < known:
+                    continue
+                if size <= end:
+                    pair = state[end - size], t
+                    ok = stable.get(pair)
+                    if not (is_stable(*pair) if ok is None else ok):
+                        continue
                 state.append(t)
+                known += 1
             path, at, parts = word, len(word), []
             while at:
                 t = state[at - 1]
