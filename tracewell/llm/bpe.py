@@ -159,6 +159,15 @@ class Vocabulary:
                 del cache[w]
         return out
 
+    def decode(self, ids: bytes) -> str:
+        """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+    def forget(self) -> None:
+        """Free what was kept for the next texts."""
+        self.cache.clear()
+        self.stable.clear()
+
 
 def vocabulary(file: str) -> Vocabulary:
     """Kept by the worker process from task to task."""
@@ -170,19 +179,20 @@ def vocabulary(file: str) -> Vocabulary:
     return kept[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), back: str | None = None) -> DataFrame:
     """(id_col, columns `keep`, ids): the ids of every whole text as little-endian unsigned 32-bit integers in a binary column.
 
     path: a byte-level BPE file of the tokenizers library, read on the driver. Ids are those of that
-    library with add_special_tokens=False; added tokens that stand in a text get their own ids. Null
-    and empty texts have no ids. Rows come one to one: repeated rows are encoded each, null ids stay
-    null, columns not named are left out, and an empty table gives an empty result.
+    library with add_special_tokens=False; added tokens that stand in a text get their own ids. With
+    `back`, a column of that name holds the text that the ids decode to. Null and empty texts have no
+    ids. Rows come one to one: repeated rows are encoded each, null ids stay null, columns not named
+    are left out, and an empty table gives an empty result.
     """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     small_batches(docs.sparkSession)
     names = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", ids binary" + (f", `{back}` string" if back else "")
 
     def run(batches):
         vocab = vocabulary(file.value)
@@ -190,9 +200,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             texts = rb.column("_text").to_pylist()
             for a, b in chunks(texts):
                 coded = vocab.encode([t or "" for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in names), pa.array(coded, pa.binary())], names=[*names, "ids"])
+                more = [pa.array(map(vocab.decode, coded), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in names), pa.array(coded, pa.binary()), *more], names=[*names, "ids", *([back] if back else [])])
+        vocab.forget()
 
-    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{schema}, ids binary")
+    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -202,10 +214,9 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     names = [c for c in coded.columns if c != "text"]
 
     def run(batches):
-        table = vocabulary(file.value).bytes_of
+        vocab = vocabulary(file.value)
         for rb in batches:
-            ids = rb.column("ids").to_pylist()
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in ids]
+            texts = [vocab.decode(x or b"") for x in rb.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
     schema = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in names)
