@@ -72,6 +72,29 @@ def test_one_large_group_and_common_passages(spark, monkeypatch):
     assert got(N.ngram_jaccard_components(df, 3, 90)) == brute(docs, 3, 90)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_of_links_in_long_lists(spark, monkeypatch, seed):
+    """Texts drift away from a common base, so that components join only step by step."""
+    monkeypatch.setattr(N, "LIGHT", 3)
+    monkeypatch.setattr(N, "FIRST", 1)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(70)]
+    docs = []
+    for _ in range(6):
+        w = list(base)
+        for _ in range(25):
+            for _ in range(rnd.randint(1, 4)):
+                w[rnd.randrange(len(w))] = f"n{rnd.randrange(12)}"
+            docs.append(" ".join(w))
+    rnd.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 2, 85)
+    assert len({c for _, c in want.values()}) > 1
+    assert got(N.ngram_jaccard_components(df, 2, 85)) == want
+
+
 def test_smallest_tables(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

@@ -312,28 +312,40 @@ def _linked(percent: int):
     return F.expr(f"100 * o >= {percent} * (na + nb - o)")
 
 
-def _undecided(lists: DataFrame, classes: DataFrame, labels: DataFrame, own: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Distinct pairs (a, b), a > b, that share a list but no component, and that may link by all bounds.
-
-    Short lists give pairs, for which the n-grams shared within the prefixes are counted. In a long
-    list, sets outside the list's largest component are compared with all that component's sets in
-    long lists (once, however many lists they share), and with each other, by sketches. With best,
-    a set tries so many of a block; the rest is left to a call without.
-    """
+def _known_sets(classes: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """(rep, n, label, x, ox, sketch): each set's component so far, its leader, and the overlap with it."""
     sets = classes.select("rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
-    sets = sets.select("rep", "n", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"), "sketch")
+    return sets.select("rep", "n", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"), "sketch")
+
+
+def _mixed_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The entries of lists that hold more than one component, with what is known of their sets and the list's size."""
     labelled = lists.select("token", "rep", "pos", "last").join(sets.drop("sketch"), "rep")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size")).where("l1 <> l2").select("token", "size")
-    labelled = stored(labelled.join(mixed, "token"), "mixed")
+    return labelled.join(mixed, "token")
 
+
+def _undecided(labelled: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that share a list but no component, and that may link by all bounds.
+
+    labelled: mixed lists with the components of the first round, which decide who is compared with
+    whom; sets: with the components so far. Short lists give pairs, for which the n-grams shared within
+    the prefixes are counted. In a long list, sets outside the list's largest component are compared
+    with all that component's sets in long lists (once, however many lists they share), and with each
+    other, by sketches. With best, a set tries so many of a block; a call without leaves nothing out of
+    the long lists, and takes the short ones as done.
+    """
     long_ = labelled.where(F.col("size") > LIGHT)
     most = long_.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
     outside = long_.join(most.select("token", F.col("m.label").alias("most"), (F.col("all") - F.col("m.c")).alias("others")), "token").where("label <> most")
     probes = outside.select(F.lit(1).alias("kind"), F.col("most").alias("key"), "rep").distinct()
+    if not best:  # sets that have joined the component meanwhile need no more
+        now = sets.select("rep", F.col("label").alias("now"))
+        probes = probes.join(now, "rep").join(now.select(F.col("rep").alias("key"), F.col("now").alias("there")), "key").where("now <> there").select("kind", "key", "rep")
     members = long_.select(F.lit(1).alias("kind"), F.col("label").alias("key"), "rep").distinct().join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
     rest = outside.where(F.col("others") > LIGHT).select(F.lit(2).alias("kind"), F.col("token").alias("key"), "rep")
     found = _in_blocks(probes.union(rest), members.union(rest), sets, percent, best)
-    if not best:  # short lists were done with in the call before
+    if not best:
         return found.distinct()
 
     short = labelled.where(F.col("size") <= LIGHT).drop("size").union(outside.where(F.col("others").between(2, LIGHT)).select("token", *[c for c in labelled.columns if c not in ("token", "size")]))
@@ -409,8 +421,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
     # later rounds: pairs of different components that no bound decides
     own = known.select(F.col("a").alias("rep"), F.col("b").alias("x"), F.col("o").alias("ox"))
+    sets = stored(_known_sets(classes, labels, own), "known_sets")
+    labelled = stored(_mixed_lists(lists, sets), "mixed")
     for best in (FIRST, None):
-        pairs = _undecided(lists, classes, labels, own, percent, best)
+        if not best:
+            sets = stored(_known_sets(classes, labels, own), "known_sets")
+        pairs = _undecided(labelled, sets, percent, best)
         pairs = stored(pairs if best else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.take(1):
             break
