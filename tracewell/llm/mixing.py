@@ -111,8 +111,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
                 words, _, _ = numbered_words([t])
                 yield batch(schema, word=word_hashes(words).view(np.int64))
 
-    known = rows.mapInArrow(distinct, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "word").limit(WORDS).toPandas()
-    known = np.sort(known["word"].to_numpy(np.int64))
+    known = rows.mapInArrow(distinct, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "word").limit(WORDS).toArrow()
+    known = np.sort(known.column("word").to_numpy())
     shared = spark.sparkContext.broadcast(known)
 
     def featured(batches):
@@ -124,14 +124,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
                     present[d].append(w)
                 yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(a, b - a), rb.column("domain").slice(a, b - a), pa.array(shape.tolist(), pa.list_(pa.float64())), pa.array(present, pa.list_(pa.int64()))], names=["doc_id", "domain", "shape", "words"])
 
-    got = sorted(rows.mapInArrow(featured, "doc_id long, domain string, shape array<double>, words array<long>").toPandas().itertuples(index=False), key=lambda r: (r.doc_id, list(r.shape)))
-    if not got:
+    got = rows.mapInArrow(featured, "doc_id long, domain string, shape array<double>, words array<long>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
+    if not got.num_rows:
         return None
-    model = Classifier(sorted({r.domain for r in got}), known)
-    present = np.zeros((len(got), len(known)), np.float32)
-    for i, r in enumerate(got):
-        present[i, list(r.words)] = 1
-    model.train(np.array([list(r.shape) for r in got]), present, np.array([model.domains.index(r.domain) for r in got]))
+    got = got.combine_chunks()
+    shape = got.column("shape").combine_chunks().flatten().to_numpy().reshape(got.num_rows, SHAPE)
+    words = got.column("words").combine_chunks()
+    domains = got.column("domain").to_pylist()
+    model = Classifier(sorted(set(domains)), known)
+    present = np.zeros((got.num_rows, len(known)), np.float32)
+    present[np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy()), words.flatten().to_numpy()] = 1
+    model.train(shape, present, np.array([model.domains.index(d) for d in domains]))
     return model
 
 

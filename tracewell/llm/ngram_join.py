@@ -27,7 +27,7 @@ from tracewell.llm.common import batch, chunks, components, numbered_words, smal
 from tracewell.storage import stored
 
 #: At most so many n-grams are ordered last as hot; with it the threshold of hotness grows with the corpus.
-HOT_TABLE = 16_000_000
+HOT_TABLE = 8_000_000
 #: N-grams in more prefixes than this (or entries / HOT_TABLE, if more) are hot.
 HOT_LEAST = 8
 #: A hot n-gram's index list is dealt over lists of about this length for the first round.
@@ -395,11 +395,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     counted = profile.where("n > 0").select("cls", "n", "prefix").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     entries_all = profile.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     least = max(HOT_LEAST, int(entries_all / HOT_TABLE))
-    hot_rows = counted.where(F.col("c") > least).toPandas()  # at most HOT_TABLE rows by the choice of least
-    tokens = hot_rows["token"].to_numpy(np.int64).view(np.uint64)
+    hot_rows = counted.where(F.col("c") > least).toArrow()  # at most HOT_TABLE rows by the choice of least
+    tokens = hot_rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     hot = sc.broadcast(tokens[order])
-    salts = sc.broadcast((hot_rows["c"].to_numpy(np.int64)[order] // LIST_ROWS + 1))
+    salts = sc.broadcast((hot_rows.column("c").to_numpy()[order] // LIST_ROWS + 1).astype(np.int64))
+    del hot_rows, tokens, order
 
     classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
