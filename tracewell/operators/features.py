@@ -88,3 +88,8 @@ def ranked_frames(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def longest(docs: DataFrame, items: str = "frames") -> int:
     return docs.agg(F.max(F.size(items))).first()[0] or 0
+
+
+def split(rows: DataFrame, number: Column, parts: int = 5) -> DataFrame:
+    """rows with `validation`: one part of `parts`, by a number that each row has for good."""
+    return rows.withColumn("validation", F.pmod(number, F.lit(parts)) == 0)

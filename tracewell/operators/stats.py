@@ -40,10 +40,13 @@ def average_ranks(values: DataFrame, column: str) -> DataFrame:
     return counts.select(column, (before + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
 
 
-def _inversions(v: np.ndarray) -> int:
-    """Pairs that stand in falling order, by merge sort."""
-    total, size = 0, 1
-    v = v.copy()
+def _inversions(v: np.ndarray, block: int = 64) -> int:
+    """Pairs that stand in falling order: within blocks by comparison, between them by merging."""
+    pad = -len(v) % block
+    v = np.append(v, np.full(pad, v.max(initial=0)))  # the largest value at the end adds no inversion
+    blocks = v.reshape(-1, block)
+    total = sum(int((blocks[:, i, None] > blocks[:, i + 1 :]).sum()) for i in range(block - 1))
+    v, size = np.sort(blocks, axis=1).reshape(-1), block
     while size < len(v):
         for a in range(0, len(v) - size, 2 * size):
             left, right = v[a : a + size], v[a + size : a + 2 * size]
@@ -61,7 +64,8 @@ def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
     tied = lambda c: int((c * (c - 1) // 2).sum())
     tx = tied(np.unique(x, return_counts=True)[1])
     ty = tied(np.unique(y, return_counts=True)[1])
-    txy = tied(np.unique(np.stack([x, y]), axis=1, return_counts=True)[1]) if n else 0
+    runs = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if n else np.zeros(0, int)
+    txy = tied(np.diff(np.append(runs, n)))
     pairs = n * (n - 1) // 2
     if pairs in (tx, ty):
         return None
@@ -70,13 +74,15 @@ def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
 
 def kendall_matrix(measures: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, tau): tau-b of each two measures over the rows where not both are 0 or null; one task a pair of measures."""
-    columns = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]))
-    rows = measures.select(F.explode(columns).alias("m")).select("m.*").where("x is not null and y is not null and (x <> 0 or y <> 0)")
+    chosen = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    columns = F.array(*(F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in chosen))
+    rows = measures.select(F.posexplode(columns).alias("k", "m")).select("k", "m.x", "m.y").where("x is not null and y is not null and (x <> 0 or y <> 0)")
 
-    def per_pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "tau": [tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())]})
+    def per_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = chosen[key[0]]
+        return pd.DataFrame({"a": [a], "b": [b], "tau": [tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())]})
 
-    return rows.groupBy("a", "b").applyInPandas(per_pair, "a string, b string, tau double")
+    return rows.groupBy("k").applyInPandas(per_pair, "a string, b string, tau double")
 
 
 def output_shape(hashes: DataFrame) -> DataFrame:

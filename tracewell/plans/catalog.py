@@ -262,14 +262,31 @@ def spearman(spark, sf):
     return stats.spearman(both, "a", "b").select(rounded("rho").alias("rho"))
 
 
+#: The twelve measures of the pair table, in its order.
+MEASURES = ["jaccard", "jaccard_bigram", "cosine", "cosine_bigram", "tfidf", "levenshtein", "pdm", "brodie", "durfex", "lerch", "moroo", "tracesim"]
+
+
+@query("SELECT i, j, " + ", ".join(f"m{k}.sim AS {m}" for k, m in enumerate(MEASURES)) + " FROM " + " JOIN ".join(f"({ORACLE_SQL[f'sim_{m}']}) m{k}" + (" USING (i, j)" if k else "") for k, m in enumerate(MEASURES)))
+def pair_measures(spark, sf):
+    """All pairs of the catalog with all twelve measures."""
+    long = None
+    for k, m in enumerate(MEASURES):
+        part = QUERIES[f"sim_{m}"](spark, sf).select("i", "j", F.lit(k).alias("k"), "sim")
+        long = part if long is None else long.union(part)
+    return long.groupBy("i", "j").agg(*(F.max(F.when(F.col("k") == k, F.col("sim"))).alias(m) for k, m in enumerate(MEASURES)))
+
+
+@query(f"SELECT i, j, place % 5 = 0 AS validation FROM ({ORACLE_SQL['pair_index']})")
+def pair_split(spark, sf):
+    """Four fifths of the pairs for training, one for validation."""
+    return X.split(pair_index(spark, sf), F.col("place")).select("i", "j", "validation")
+
+
 @query()
 def kendall(spark, sf):
-    names = ["sim_jaccard", "sim_jaccard_bigram", "sim_cosine", "sim_tfidf", "sim_levenshtein", "sim_pdm", "sim_tracesim"]
-    both = None
-    for name in names:
-        part = QUERIES[name](spark, sf).withColumnRenamed("sim", name)
-        both = part if both is None else both.join(part, ["i", "j"])
-    return stats.kendall_matrix(both, names).withColumn("tau", rounded("tau"))
+    """Rank correlations of each two of the twelve measures."""
+    wide = stored(pair_measures(spark, sf), "pairs")
+    return stats.kendall_matrix(wide, MEASURES).withColumn("tau", rounded("tau"))
 
 
 # ---- band index over sign hashes
