@@ -380,10 +380,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. A document's set holds its distinct k-word
     n-grams, its whole word sequence if it is shorter; null, empty and blank texts have the empty
     set, which links with nothing. Two documents link when 100 * |A & B| >= percent * |A | B|;
-    component_id is the smallest doc_id that links reach. Repeated rows give a row each; rows with a
-    null doc_id have a null component unless links reach a document with an id, and equal sets link
-    whatever their number. doc_id must name one text: of rows with one doc_id but different texts,
-    links of any of them join the id. An empty table gives an empty result.
+    component_id is the smallest doc_id that links reach. Repeated rows give a row each. A row with a
+    null doc_id joins the component of an equal set that has an id, and has a null one otherwise.
+    doc_id must name one text: of rows with one doc_id but different texts, links of any of them join
+    the id. Extra columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
