@@ -147,13 +147,18 @@ def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndar
     return r, y
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """Equally long lists of doubles as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
 def _totals(steps):
     schema = pa.schema([("kind", pa.string()), ("v", pa.list_(pa.float64()))])
 
     def run(batches):
         at_r = at_y = 0.0
         for rb in batches:
-            p = np.array(rb.column("p").to_pylist(), np.float64).reshape(rb.num_rows, -1)
+            p = _rows(rb.column("p"))
             t = rb.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
             r, y = rates(p, steps)
             at_r, at_y = at_r + (r * t) @ p, at_y + (y * t) @ p
@@ -248,7 +253,7 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
 
         def run(batches):
             for rb in batches:
-                p = np.array(rb.column("p").to_pylist(), np.float64).reshape(rb.num_rows, -1)
+                p = _rows(rb.column("p"))
                 yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("doc_id", "n_tokens", "p")), pa.array(rates(p, steps)[0])], names=["doc_id", "n_tokens", "p", "rate"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
