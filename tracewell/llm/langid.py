@@ -120,6 +120,9 @@ def train(docs: DataFrame, label: str = "lang") -> Network | None:
     h = F.xxhash64(F.col("doc_id").cast("string"), "text")
     place = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0))
+    many = docs.where(F.col(label).isNotNull()).count()
+    if many > 2 * SAMPLE_ROWS:  # the smallest hashes, and not many others, so that tasks send little to the driver
+        rows = rows.where(h < int(-(2**63) + 2**64 * (1.5 * SAMPLE_ROWS / many)))
     rows = rows.select(F.col(label).cast("string").alias("y"), h.alias("h"), F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
     rows = rows.orderBy("h", "y", "text").limit(SAMPLE_ROWS)
     got = sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, r.y, r.text))

@@ -234,12 +234,14 @@ class _Verifier:
         marks = _marks(ids)
         if self.sets is not None and not any(marks):
             return
-        run, schema = _fetched(self.k, self.docs.sparkSession.sparkContext.broadcast(marks))
+        shared = self.docs.sparkSession.sparkContext.broadcast(marks)
+        run, schema = _fetched(self.k, shared)
         marked = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("mark"))
         found = marked.mapInArrow(run, schema)
         if self.sets is not None:  # sets that only share a mark may be there already
             found = found.join(self.sets.select("rep"), "rep", "left_anti")
         found = stored(found, "sets")
+        shared.destroy()
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -411,6 +413,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     lists = entries.repartition(parts, "token", "salt").mapInArrow(run, schema)
     lists = lists.join(classes.drop("sketch"), ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
     lists = stored(lists.select("token", "rep", "n", "pos", "last", "lead", "ln"), "lists")
+    hot.destroy()
+    salts.destroy()
 
     # round 1: each set and the leader that it meets most often, if it meets it often enough to hope for a link
     tops = lists.where("rep <> lead").groupBy("rep", "n", "lead", "ln").agg(F.count("*").alias("c"))
