@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import chunks, small_batches
 
-#: Words whose encodings a worker keeps; it starts anew beyond that.
+#: Words whose encodings a worker keeps; beyond that, only those of the texts at hand.
 CACHE_WORDS = 150_000
 #: Pairs of tokens whose stability a worker keeps, likewise.
 CACHE_PAIRS = 200_000
@@ -146,8 +146,10 @@ class Vocabulary:
             parts.append(self.pattern.findall(t[at:] if at else t))
             pieces.append(parts)
         words = set().union(*(p for parts in pieces for p in parts if not isinstance(p, int)))
-        if len(cache) + len(words) > CACHE_WORDS:
+        if len(cache) + len(words) > CACHE_WORDS:  # words that these texts hold as well stay
+            again = {w: cache[w] for w in words if w in cache}
             cache.clear()
+            cache.update(again)
         if len(self.stable) > CACHE_PAIRS:
             self.stable.clear()
         new = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in cache}
