@@ -111,8 +111,11 @@ def _token_counts(batches):
 
 
 def _entries(k: int, percent: int, hot, salts):
-    """Index entries of each set's prefix; a set that a task meets again is entered once."""
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.float64())])
+    """Index entries of each set's prefix; a set that a task meets again is entered once.
+
+    last tells roughly (16 bits of the hash, after whether it is hot) where the prefix ends in the global order.
+    """
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.int32())])
 
     def run(batches):
         seen = set()
@@ -130,27 +133,27 @@ def _entries(k: int, percent: int, hot, salts):
                     at[at == len(last)] = 0
                     is_hot = last[at] == s
                     order = np.argsort(is_hot, kind="stable")[:p]
-                    end = float(s[order[-1]]) + 2.0**64 * is_hot[order[-1]]
+                    end = int(s[order[-1]] >> np.uint64(48)) + (int(is_hot[order[-1]]) << 16)
                     salt = np.where(is_hot, cls % many[at] + 1, 0)[order]
                     s = s[order]
                 else:
                     salt, s = np.zeros(p, np.int64), s[:p]
-                    end = float(s[-1])
+                    end = int(s[-1] >> np.uint64(48))
                 out["token"].append(s.view(np.int64))
                 out["salt"].append(salt.astype(np.int32))
                 out["cls"].append(np.full(p, cls, np.int64))
                 out["n"].append(np.full(p, n, np.int64))
                 out["pos"].append(np.arange(p, dtype=np.int32))
-                out["last"].append(np.full(p, end))
+                out["last"].append(np.full(p, end, np.int32))
             if out["token"]:
                 yield batch(schema, **{c: np.concatenate(v) for c, v in out.items()})
 
-    return run, "token long, salt int, cls long, n long, pos int, last double"
+    return run, "token long, salt int, cls long, n long, pos int, last int"
 
 
 def _lists(percent: int):
     """Index lists with two sets or more; within a list, blocks of sizes that can link share the leader that opens them."""
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.float64()), ("lcls", pa.int64()), ("ln", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("lcls", pa.int64()), ("ln", pa.int64())])
 
     def run(batches):
         got = [rb for rb in batches if rb.num_rows]
@@ -181,7 +184,7 @@ def _lists(percent: int):
                 i = j
         yield batch(schema, token=token, cls=cls, n=n, pos=pos, last=last, lcls=cls[lead], ln=n[lead])
 
-    return run, "token long, cls long, n long, pos int, last double, lcls long, ln long"
+    return run, "token long, cls long, n long, pos int, last int, lcls long, ln long"
 
 
 def _fetched(k: int, marks):
