@@ -45,6 +45,30 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {1, 5, 6, None}
 
 
+FOREIGN = [
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Все смешалось в доме.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08" * 3,
+    "VGhlIHF1aWNrIGJyb3duIGZveCBqdW1wcyBvdmVyIHRoZSBsYXp5IGRvZyBuZWFyIHRoZSByaXZlciBiYW5r" * 2, "#$% &x* (!) ~~ {q} ^^ <z> ;;" * 5,
+]
+
+
+def test_foreign_and_scrambled_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rnd = np.random.default_rng(2)
+    clean = [r.text for r in docs.where("lang is not null and length(text) > 200").orderBy("doc_id").limit(100).collect()]
+    mixed = ["".join(rnd.permutation(list(t[:400]))) for t in clean]
+    more = [(10**9 + i, t) for i, t in enumerate([*FOREIGN, *mixed])]
+    both = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")))
+    kept = {r.doc_id for r in langid.keep_identified(both).select("doc_id").collect()}
+    n = docs.where("lang is not null and text rlike '[a-z]'").count()
+    assert not kept & set(range(10**9, 10**9 + len(FOREIGN))) and len([i for i in kept if i >= 10**9]) <= 5
+    assert len([i for i in kept if i < 10**9]) >= 0.99 * n
+
+
 def test_rates_against_plain_descent():
     rnd = np.random.default_rng(3)
     p = rnd.dirichlet([0.4] * 3, 500)

@@ -4,6 +4,10 @@ A text's UTF-8 bytes are cut into windows of a fixed length. Filters of several
 window, each keeps its largest response (ReLU), and a softmax layer gives the languages'
 probabilities. A filter of width w is w tables with a row for each byte. For inference, tables of
 neighbouring bytes are summed beforehand to tables for byte pairs, which halves the look-ups.
+
+The softmax only tells learned languages apart. Whether a text is in one at all is told by how usual
+its byte trigrams are there, against a limit calibrated on documents kept from the training: they
+must pass in their own language, and fail in the others and with their letters in random order.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ EPOCHS, RATE, STEP = 12, 0.004, 128
 #: Windows that run through the network at a time.
 AT_ONCE = 1024
 UNDECIDED = "und"
+#: Buckets of byte trigrams, a power of two as bits.
+TRIGRAM_BITS = 16
+#: Lengths in bytes, besides their own, at which kept documents calibrate; what a lost document of a learned language counts against a foreign one that passes.
+CUTS, LOST = (40, 150), 10.0
+#: A-Z in lower case, digits as one, other ASCII as a space.
+_PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +125,61 @@ class Network:
         return out
 
 
-def train(docs: DataFrame, label: str = "lang") -> Network | None:
-    """A network fitted on at most SAMPLE_ROWS labelled rows, chosen by a hash of their id; None without any."""
+class Usual:
+    """table[l]: log share of each trigram in language l; limit[l]: what `of` must reach to be in it."""
+
+    def __init__(self, texts: list[bytes], langs: np.ndarray, many: int):
+        self.spread = np.ones(many)
+        self.limit = np.full(many, -np.inf)
+        ids, owner = self.trigrams(texts)
+        counts = np.zeros((many, 1 << TRIGRAM_BITS))
+        np.add.at(counts, (langs[owner], ids), 1)
+        shares = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+        self.table = np.log(shares)
+        mean = (shares * self.table).sum(1, keepdims=True)
+        self.spread = np.sqrt((shares * (self.table - mean) ** 2).sum(1))
+        self.table = self.table.astype(np.float32)
+
+    @staticmethod
+    def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the trigrams of all texts, without runs of spaces, and the text of each."""
+        b = np.frombuffer(b" " + b"  ".join(texts).translate(_PLAIN) + b" ", np.uint8)
+        sizes = np.array([len(t) + 2 for t in texts])
+        gap = b == 32
+        at = np.flatnonzero(~((gap[:-2] & gap[1:-1]) | (gap[1:-1] & gap[2:])))
+        code = (b[at].astype(np.uint32) << 16) | (b[at + 1].astype(np.uint32) << 8) | b[at + 2]
+        return (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS), np.searchsorted(np.cumsum(sizes), at, "right")
+
+    def of(self, texts: list[bytes], langs: np.ndarray) -> np.ndarray:
+        """Mean log share of each text's trigrams in its language, and what chance may take from so many."""
+        ids, owner = self.trigrams(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        mean = np.bincount(owner, self.table[langs[owner], ids], minlength=len(texts)) / np.maximum(n, 1)
+        return np.where(n > 0, mean + self.spread[langs] / np.sqrt(np.maximum(n, 1)), -np.inf)
+
+    def calibrate(self, texts: list[str], langs: np.ndarray, seed: int = 7) -> None:
+        """Set the limit of each language with the fewest errors over its texts and foreign ones."""
+        rnd = np.random.default_rng(seed)
+        mixed = ["".join(rnd.permutation(list(t))) for t in texts]
+        cut = lambda ts: [t.encode("utf-8", "surrogatepass")[:n] for n in (*CUTS, None) for t in ts]
+        own, mixed, langs = cut(texts), cut(mixed), np.tile(langs, len(CUTS) + 1)
+        for k in range(len(self.limit)):
+            into = np.full(len(own), k)
+            a, other = self.of(own, into), self.of(mixed, into)
+            good, bad = np.sort(a[langs == k]), np.sort(np.concatenate([a[langs != k], other]))
+            good, bad = good[np.isfinite(good)], bad[np.isfinite(bad)]
+            if not len(good) or not len(bad):
+                continue
+            # between neighbours of all values; of equally good limits the middle one
+            at = np.unique(np.concatenate([good, bad]))
+            at = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2))
+            cost = LOST * np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
+            best = at[cost <= cost.min() + 1e-12]
+            self.limit[k] = best[len(best) // 2]
+
+
+def sample(docs: DataFrame, label: str = "lang") -> list:
+    """(y, h, text): excerpts of at most SAMPLE_ROWS labelled rows, chosen by a hash of their id."""
     h = F.xxhash64(F.col("doc_id").cast("string"), "text")
     place = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0))
@@ -125,7 +188,15 @@ def train(docs: DataFrame, label: str = "lang") -> Network | None:
         rows = rows.where(h < int(-(2**63) + 2**64 * (1.5 * SAMPLE_ROWS / many)))
     rows = rows.select(F.col(label).cast("string").alias("y"), h.alias("h"), F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
     rows = rows.orderBy("h", "y", "text").limit(SAMPLE_ROWS)
-    got = sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, r.y, r.text))
+    return sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, r.y, r.text))
+
+
+def train(docs: DataFrame, label: str = "lang") -> Network | None:
+    """A network fitted on a sample of labelled rows; None without any."""
+    return fitted(sample(docs, label))
+
+
+def fitted(got: list) -> Network | None:
     if not got:
         return None
     langs = sorted({r.y for r in got})
@@ -137,16 +208,28 @@ def train(docs: DataFrame, label: str = "lang") -> Network | None:
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
+def usual(net: Network | None, got: list, kept: list) -> Usual | None:
+    """The trigrams of the network's languages in the sample `got`, with limits from the sample `kept`."""
+    if net is None:
+        return None
+    out = Usual([r.text.encode() for r in got], np.array([net.langs.index(r.y) for r in got]), len(net.langs))
+    kept = [r for r in kept if r.y in net.langs]
+    if kept:
+        out.calibrate([r.text for r in kept], np.array([net.langs.index(r.y) for r in kept]))
+    return out
+
+
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = (), only: Usual | None = None) -> DataFrame:
     """docs' columns `keep` with lang_pred and score, from column text alone.
 
     The score is the mean probability of the predicted language over all windows of the whole text,
     weighted by their lengths. Texts that are null or have no letter, and all texts if there was
-    nothing to learn from, get `und` and 0. Rows come one to one, whatever is repeated or null.
+    nothing to learn from, get `und` and 0, and with `only` also texts whose trigrams are not usual in
+    the predicted language. Rows come one to one, whatever is repeated or null.
     """
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    shared = sc.broadcast((net, net.compiled()) if net else None)
+    shared = sc.broadcast((net, net.compiled(), only) if net else None)
     letter = regex.compile(r"\p{L}")
 
     def run(batches):
@@ -158,11 +241,14 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) ->
                 at = [i for i in range(a, b) if texts[i] and letter.search(texts[i])]
                 if not at:
                     continue
-                x, owner, length = windows([texts[i].encode("utf-8", "surrogatepass") for i in at])
+                raw = [texts[i].encode("utf-8", "surrogatepass") for i in at]
+                x, owner, length = windows(raw)
                 p = held[0].probabilities(x, held[1]) * length[:, None]
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 p = np.add.reduceat(p, first, axis=0) / np.add.reduceat(length, first)[:, None]
-                for i, row, best in zip(at, p, p.argmax(1)):
+                top = p.argmax(1)
+                ok = held[2].of(raw, top) >= held[2].limit[top] if held[2] else np.ones(len(at), bool)
+                for i, row, best in ((at[j], p[j], top[j]) for j in np.flatnonzero(ok)):
                     langs[i], scores[i] = held[0].langs[best], float(min(1.0, row[best]))
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
@@ -187,7 +273,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is decided with a score of `least` or more, in their own columns."""
-    net = train(docs.where(fold() != 0))
-    judged = predict(boxed(docs, "text"), net, ("text", "box")).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
+    """The rows of docs in a learned language, decided with a score of `least` or more, in their own columns.
+
+    Without labelled rows in fold 0 there is nothing to calibrate on, and unusual texts stay too.
+    """
+    got = sample(docs.where(fold() != 0))
+    net = fitted(got)
+    judged = predict(boxed(docs, "text"), net, ("text", "box"), usual(net, got, sample(docs.where(fold() == 0)))).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
     return unboxed(judged, docs, "text")
