@@ -29,3 +29,8 @@ def test_query(spark, db, name):
         assert rows(got) == rows(db.execute(catalog.ORACLE_SQL[name]).fetchdf())
     else:
         assert len(got)
+
+
+def test_minhash_metrics_are_registered_with_sql():
+    names = {f"minhash_{m}" for m in ("prob", "mrr", "precision", "recall", "recall_at_k", "recall_cascade")}
+    assert names <= set(catalog.QUERIES) and names <= set(catalog.ORACLE_SQL)

@@ -467,6 +467,59 @@ def minhash_candidates(spark, sf):
     return lsh.candidates(lsh.bands(bits, 8, 8, bits=16)).where("q <> nn")
 
 
+def _min_found(spark, sf):
+    cat, n = kept(traces(spark, sf))
+    sims = stored(_sim(M.jaccard(_items(cat, T.word_frames(F.col("text"))), n)).where("sim is not null"), "pairs")
+    real = P.symmetric(sims, "sim")
+    bits = stored(lsh.minhash_bits(lsh.minhash(_ranked(cat))), "bits")
+    found = stored(Q.scored(lsh.candidates(lsh.grid_bands(bits, GRID, bits=16)), real), "found")
+    grid = spark.createDataFrame([(g, m, k) for g, (m, k) in enumerate(GRID)], "g int, bands int, width int")
+    return found, real, grid, cat.select(F.col("id").alias("q"))
+
+
+_MIN = f"""{S.CAT}, {S.BAG}, {S.MINHASH}, emb AS (SELECT id, list_transform(sig, lambda x: lpad(CAST(x AS VARCHAR), 5, '0')) AS h FROM minhash),
+{S.band_cte('VALUES ' + ', '.join(str((g, n, k)) for g, (n, k) in enumerate(GRID)))}, {S.CAND}, pair AS (SELECT * FROM ({ORACLE_SQL['sim_jaccard']}) WHERE sim IS NOT NULL),
+sim AS (SELECT i AS q, j AS nn, sim AS s FROM pair UNION ALL SELECT j, i, sim FROM pair), {S.FOUND}, asked AS (SELECT id AS q FROM cat)"""
+
+
+@query(f"WITH {_MIN} {S.SMALLEST}")
+def minhash_prob(spark, sf):
+    found, _, grid, asked = _min_found(spark, sf)
+    return _value(Q.smallest_probability(found, grid, asked))
+
+
+@query(f"WITH {_MIN} {S.MRR}")
+def minhash_mrr(spark, sf):
+    found, real, grid, asked = _min_found(spark, sf)
+    return _value(Q.reciprocal_ranks(found, real, grid, asked))
+
+
+@query(f"WITH {_MIN} {S.PRECISION}")
+def minhash_precision(spark, sf):
+    found, _, grid, asked = _min_found(spark, sf)
+    return _value(Q.precision(found, grid, asked))
+
+
+@query(f"WITH {_MIN} {S.RECALL}")
+def minhash_recall(spark, sf):
+    found, real, grid, asked = _min_found(spark, sf)
+    return _value(Q.recall(found, real, grid, asked))
+
+
+@query(f"WITH {_MIN} {S.recall_one((1, 3, 5))}")
+def minhash_recall_at_k(spark, sf):
+    found, real, grid, _ = _min_found(spark, sf)
+    parts = [Q.recall_at_k(found, real, grid, k) for k in (1, 3, 5)]
+    return parts[0].union(parts[1]).union(parts[2]).withColumn("recall", rounded("recall"))
+
+
+@query(f"WITH {_MIN} {S.recall_cascade((1, 3, 5))}")
+def minhash_recall_cascade(spark, sf):
+    found, real, _, asked = _min_found(spark, sf)
+    parts = [Q.cascaded_recall_at_k(found, real, asked, k) for k in (1, 3, 5)]
+    return parts[0].union(parts[1]).union(parts[2]).withColumn("recall", rounded("recall"))
+
+
 # ---- SimHash
 
 
