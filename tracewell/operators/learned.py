@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tracewell.storage import shipped
+
 # ---- heads: (value, gradients with respect to both inputs), gradients already weighted by `up`
 
 
@@ -183,14 +185,22 @@ def predict(tower, x: np.ndarray, y: np.ndarray, b: int) -> np.ndarray:
 
 
 def hashed(rows: DataFrame, tower, column: str) -> DataFrame:
-    """(id, h): outputs of the tower for an array column of rows (id, ...), as an array of doubles."""
-    shared = rows.sparkSession.sparkContext.broadcast(tower)
+    """(id, h): outputs of the tower for an array column of rows (id, ...), as an array of doubles.
+
+    Null arrays, and arrays that hold a null, have no outputs: their h is null.
+    """
+    shared = shipped(rows.sparkSession, tower)
 
     def run(batches):
+        held = shared()
         for rb in batches:
-            x = np.array(rb.column(column).to_pylist())
-            h = shared.value.output(x) if len(x) else np.zeros((0, 0))
-            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["id", "h"])
+            values = rb.column(column).to_pylist()
+            at = [i for i, v in enumerate(values) if v is not None and None not in v]
+            h: list = [None] * len(values)
+            if at:
+                for i, row in zip(at, held.output(np.array([values[i] for i in at])).tolist()):
+                    h[i] = row
+            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(h, pa.list_(pa.float64()))], names=["id", "h"])
 
     return rows.select(F.col("id").cast("long").alias("id"), column).mapInArrow(run, "id long, h array<double>")
 

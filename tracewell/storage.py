@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -35,6 +38,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives value to tasks, broadcast with the code of this package's classes in it.
+
+    A plain broadcast names classes by their module, which executors without the package can't import.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
