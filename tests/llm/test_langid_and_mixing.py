@@ -122,3 +122,53 @@ def test_mixing_odd_rows(spark, odd, none):
     assert {r.rate for r in mixing.mix_rates(odd, labels.where("false")).collect()} == {1.0}
     for repeats in (False, True):
         assert mixing.resample(odd, labels, repeats=repeats).columns == odd.columns
+
+
+def test_predictions_against_plain_loops(spark):
+    """op2's columns, worked out again text by text, window by window and filter by filter."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = langid.train(docs.where(langid.fold() != 0))
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        raw, total = (r.text or "").encode(), np.zeros(len(net.langs))
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            padded = part + bytes(langid.WINDOW - len(part))
+            tops = [max(sum(float(net.tables[w][k, padded[i + k], f]) for k in range(w)) for i in range(langid.WINDOW - w + 1)) for w in langid.WIDTHS for f in range(langid.FILTERS)]
+            z = np.maximum(np.array(tops) + net.bias, 0) @ net.dense + net.offset
+            p = np.exp(z - z.max())
+            total += p / p.sum() * len(part)
+        mine = got[r.doc_id]
+        if mine.lang_pred != "und":
+            assert mine.lang_pred == net.langs[total.argmax()] and mine.score == pytest.approx(total.max() / len(raw), abs=1e-4)
+
+
+def test_training_takes_windows_of_whole_texts(spark):
+    far = "zzzz " * 400 + "qqqq " * 400
+    rows = [(i, far if i % 2 else "aaaa " * 800, "x" if i % 2 else "y") for i in range(40)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "qqqq " * 30), (2, "zzzz " * 30), (3, "aaaa " * 30)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(asked, net, ("doc_id",)).orderBy("doc_id").collect()] == ["x", "x", "y"]
+
+
+def test_mix_without_repeats_has_its_weights(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    mix, members = mixing.fit(docs, labels, slack=mixing.SLACK_ONCE, most=1.0)
+    rows = mixing._rated(members, mix, ("doc_id",)).collect()
+    assert max(r.rate for r in rows) <= 1
+    total = np.array([r.n_tokens * r.rate for r in rows]) @ np.array([r.p for r in rows])
+    assert total[mix.model.domains.index("quality=1,toxic=0")] / total.sum() == pytest.approx(0.9, abs=0.02)
+    p = np.array([r.p for r in rows])
+    assert np.allclose(mixing.rates(p, mix.steps, 1.0)[0], [r.rate for r in rows])
+    drawn = mixing.resample(docs, labels).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in drawn) == 1
+    kept = {r.doc_id for r in drawn}
+    drawn_total = np.array([r.n_tokens * (r.doc_id in kept) for r in rows]) @ p
+    assert drawn_total[mix.model.domains.index("quality=1,toxic=0")] / drawn_total.sum() == pytest.approx(0.9, abs=0.04)
+
+
+def test_conflicting_labels_and_texts_are_settled(spark):
+    docs = spark.createDataFrame([(i % 30, f"word{i % 7} and word{i % 11}", i) for i in range(90)], "doc_id long, text string, part int")
+    labels = spark.createDataFrame([(i % 30, i % 2, i % 3 % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    one, two = mixing.fit_classifier(docs, labels), mixing.fit_classifier(docs.orderBy(-docs.part), labels.orderBy("toxic"))
+    assert one.domains == two.domains and np.array_equal(one.words, two.words)

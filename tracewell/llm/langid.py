@@ -18,20 +18,24 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import boxed, chunks, small_batches, unboxed
+from tracewell.storage import shipped
 
 #: Bytes in a window.
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 #: Filters of each width.
 FILTERS = 16
-#: Most labelled rows that the training reads, and the length of the excerpt of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 512
-EPOCHS, RATE, STEP = 12, 0.004, 128
+#: Most labelled rows that the training reads, whole texts of them.
+SAMPLE_ROWS = 4000
+#: Mini-batches that the training takes, of STEP windows each, dealt from all windows of the sampled texts.
+STEPS, RATE, STEP = 1500, 0.004, 128
 #: Windows that run through the network at a time.
 AT_ONCE = 1024
 UNDECIDED = "und"
 #: Buckets of byte trigrams, a power of two as bits.
 TRIGRAM_BITS = 16
+#: Bytes of text whose trigrams are held at a time.
+TRIGRAM_BYTES = 250_000
 #: Lengths in bytes, besides their own, at which kept documents calibrate; what a lost document of a learned language counts against a foreign one that passes.
 CUTS, LOST = (40, 150), 10.0
 #: A-Z in lower case, digits as one, other ASCII as a space.
@@ -68,9 +72,9 @@ class Network:
         params = [*(self.tables[w] for w in WIDTHS), self.bias, self.dense, self.offset]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         step = 0
-        for _ in range(EPOCHS):
+        while step < STEPS and len(x):
             order = rnd.permutation(len(x))
-            for a in range(0, len(x), STEP):
+            for a in range(0, min(len(x), (STEPS - step) * STEP), STEP):
                 xb, yb = x[order[a : a + STEP]], y[order[a : a + STEP]]
                 tops, places = [], []
                 for w in WIDTHS:
@@ -131,9 +135,10 @@ class Usual:
     def __init__(self, texts: list[bytes], langs: np.ndarray, many: int):
         self.spread = np.ones(many)
         self.limit = np.full(many, -np.inf)
-        ids, owner = self.trigrams(texts)
         counts = np.zeros((many, 1 << TRIGRAM_BITS))
-        np.add.at(counts, (langs[owner], ids), 1)
+        for a, b in chunks(texts, TRIGRAM_BYTES):
+            ids, owner = self.trigrams(texts[a:b])
+            np.add.at(counts, (langs[a:b][owner], ids), 1)
         shares = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
         self.table = np.log(shares)
         mean = (shares * self.table).sum(1, keepdims=True)
@@ -152,10 +157,12 @@ class Usual:
 
     def of(self, texts: list[bytes], langs: np.ndarray) -> np.ndarray:
         """Mean log share of each text's trigrams in its language, and what chance may take from so many."""
-        ids, owner = self.trigrams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        mean = np.bincount(owner, self.table[langs[owner], ids], minlength=len(texts)) / np.maximum(n, 1)
-        return np.where(n > 0, mean + self.spread[langs] / np.sqrt(np.maximum(n, 1)), -np.inf)
+        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for a, b in chunks(texts, TRIGRAM_BYTES):
+            ids, owner = self.trigrams(texts[a:b])
+            n[a:b] = np.bincount(owner, minlength=b - a)
+            total[a:b] = np.bincount(owner, self.table[langs[a:b][owner], ids], minlength=b - a)
+        return np.where(n > 0, total / np.maximum(n, 1) + self.spread[langs] / np.sqrt(np.maximum(n, 1)), -np.inf)
 
     def calibrate(self, texts: list[str], langs: np.ndarray, seed: int = 7) -> None:
         """Set the limit of each language with the fewest errors over its texts and foreign ones."""
@@ -179,16 +186,15 @@ class Usual:
 
 
 def sample(docs: DataFrame, label: str = "lang") -> list:
-    """(y, h, text): excerpts of at most SAMPLE_ROWS labelled rows, chosen by a hash of their id."""
+    """(y, h, text): whole texts of at most SAMPLE_ROWS labelled rows, chosen by a hash of id and text."""
     h = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    place = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
     rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0))
     many = docs.where(F.col(label).isNotNull()).count()
     if many > 2 * SAMPLE_ROWS:  # the smallest hashes, and not many others, so that tasks send little to the driver
         rows = rows.where(h < int(-(2**63) + 2**64 * (1.5 * SAMPLE_ROWS / many)))
-    rows = rows.select(F.col(label).cast("string").alias("y"), h.alias("h"), F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = rows.select(F.col(label).cast("string").alias("y"), h.alias("h"), F.col("text").cast("string").alias("text"))
     rows = rows.orderBy("h", "y", "text").limit(SAMPLE_ROWS)
-    return sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.h, r.y, r.text))
+    return sorted(rows.collect(), key=lambda r: (r.h, r.y, r.text))
 
 
 def train(docs: DataFrame, label: str = "lang") -> Network | None:
@@ -227,13 +233,12 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = (), on
     nothing to learn from, get `und` and 0, and with `only` also texts whose trigrams are not usual in
     the predicted language. Rows come one to one, whatever is repeated or null.
     """
-    sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    shared = sc.broadcast((net, net.compiled(), only) if net else None)
+    shared = shipped(docs.sparkSession, (net, net.compiled(), only) if net else None)
     letter = regex.compile(r"\p{L}")
 
     def run(batches):
-        held = shared.value
+        held = shared()
         for rb in batches:
             texts = rb.column("text").to_pylist()
             langs, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)

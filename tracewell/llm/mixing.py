@@ -18,18 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import batch, boxed, chunks, numbered_words, small_batches, unboxed, word_hashes
-from tracewell.storage import stored
+from tracewell.storage import shipped, stored
 
-#: Most labelled rows that the classifier learns from, and the most words that it knows.
-SAMPLE_ROWS, WORDS = 4000, 1024
-#: Documents of the sample that a known word is in, at least.
-LEAST_DOCS = 8
-EPOCHS, RATE, DECAY = 400, 0.02, 1e-4
+#: Most labelled rows that the classifier learns from.
+SAMPLE_ROWS = 4000
+#: Buckets that words are hashed to, whatever their number.
+BUCKETS = 2048
+EPOCHS, RATE, DECAY = 250, 0.02, 1e-2
 STEPS, CLOSE = 60, 1e-4
 #: Share of each domain's tokens in the mix; domains that are not named get 0.
 WEIGHTS = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.1}
 #: The mix is this much larger than the largest one for which no weighted domain has to repeat.
 SLACK = 1.1
+#: The same for a mix without repeats: domains are known by probabilities only, so rates of 1 at most fall short of the largest one.
+SLACK_ONCE = 0.97
 
 # Classes of bytes (0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 punctuation).
 _CLASSES = np.zeros(256, np.uint8)
@@ -46,33 +48,30 @@ def shapes(text: str | None, words: int, distinct: int) -> list[float]:
     return [*share.tolist(), distinct / max(1, words), np.log1p(words) / 10]
 
 
-def _known_words(texts: list, known: np.ndarray):
-    """For each run of texts (start, end): tokens and shape features of each text, and known words as (text, word) pairs without repeats."""
+def _bucketed(texts: list):
+    """For each run of texts (start, end): tokens and shape features of each text, and its words' buckets as (text, bucket) pairs without repeats."""
     for a, b in chunks(texts):
         words, ids, counts = numbered_words(texts[a:b])
-        h = word_hashes(words).view(np.int64)
-        place = np.searchsorted(known, h) if len(known) else np.zeros(len(h), np.int64)
-        place[place == len(known)] = 0
-        place = np.where(known[place] == h, place, -1) if len(known) else np.full(len(h), -1)
+        bucket = (word_hashes(words) & np.uint64(BUCKETS - 1)).astype(np.int64)
         owner = np.repeat(np.arange(b - a), counts)
         every = np.unique(owner * max(1, len(words)) + ids)
         distinct = np.bincount(every // max(1, len(words)), minlength=b - a)
-        doc, word = every // max(1, len(words)), place[every % max(1, len(words))]
+        pairs = np.unique(every // max(1, len(words)) * BUCKETS + bucket[every % max(1, len(words))]) if len(every) else every
         shape = np.array([shapes(t, n, m) for t, n, m in zip(texts[a:b], counts.tolist(), distinct.tolist())])
-        yield a, b, counts, shape, doc[word >= 0], word[word >= 0]
+        yield a, b, counts, shape, pairs // BUCKETS, pairs % BUCKETS
 
 
 class Classifier:
-    def __init__(self, domains: list[str], known: np.ndarray):
-        self.domains, self.known = domains, known
-        self.words = np.zeros((len(known), len(domains)))
+    def __init__(self, domains: list[str]):
+        self.domains = domains
+        self.words = np.zeros((BUCKETS, len(domains)))
         self.shape = np.zeros((SHAPE, len(domains)))
         self.bias = np.zeros(len(domains))
         self.mean, self.scale = np.zeros(SHAPE), np.ones(SHAPE)
 
     def posteriors(self, texts: list):
         """(tokens, probabilities) of texts, run by run."""
-        for a, b, counts, shape, doc, word in _known_words(texts, self.known):
+        for a, b, counts, shape, doc, word in _bucketed(texts):
             z = (shape - self.mean) / self.scale @ self.shape + self.bias
             if len(doc):
                 for k in range(z.shape[1]):
@@ -83,67 +82,59 @@ class Classifier:
     def train(self, shape: np.ndarray, present: np.ndarray, y: np.ndarray) -> None:
         """Adam on the whole sample, with weight decay."""
         self.mean, self.scale = shape.mean(0), shape.std(0) + 1e-6
-        x = np.hstack([present, (shape - self.mean) / self.scale, np.ones((len(y), 1))])
-        w, m, v = np.zeros((x.shape[1], len(self.domains))), 0.0, 0.0
-        want = np.eye(len(self.domains))[y]
+        x = np.hstack([present, ((shape - self.mean) / self.scale).astype(np.float32), np.ones((len(y), 1), np.float32)])
+        w, m, v = np.zeros((x.shape[1], len(self.domains)), np.float32), 0.0, 0.0
+        want = np.eye(len(self.domains), dtype=np.float32)[y]
         for step in range(1, EPOCHS + 1):
             z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
             g = x.T @ (p / p.sum(1, keepdims=True) - want) / len(y) + DECAY * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.words, self.shape, self.bias = w[: len(self.known)], w[len(self.known) : -1], w[-1]
+        w = w.astype(np.float64)
+        self.words, self.shape, self.bias = w[:BUCKETS], w[BUCKETS:-1], w[-1]
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
-    """The classifier of the domains of labels (doc_id, quality, toxic); None if no labelled row has a document."""
-    spark = docs.sparkSession
-    names = F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(",toxic="), F.col("toxic").cast("string"))
-    named = labels.select("doc_id", names.alias("domain")).where("doc_id is not null and domain is not null").dropDuplicates(["doc_id"])
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = stored(rows.select("doc_id", "domain", "text"), "sample")
-
-    def distinct(batches):
-        schema = pa.schema([("word", pa.int64())])
-        for rb in batches:
-            for t in rb.column("text").to_pylist():
-                words, _, _ = numbered_words([t])
-                yield batch(schema, word=word_hashes(words).view(np.int64))
+    """The classifier of the domains of labels (doc_id, quality, toxic); None if no labelled row has a document.
 
-    known = rows.mapInArrow(distinct, "word long").groupBy("word").count().where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "word").limit(WORDS).toArrow()
-    known = np.sort(known.column("word").to_numpy())
-    shared = spark.sparkContext.broadcast(known)
+    Of conflicting labels of a doc_id the smallest counts, and of its texts too.
+    """
+    names = F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(",toxic="), F.col("toxic").cast("string"))
+    named = labels.select("doc_id", names.alias("domain")).where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    known = named.join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
 
     def featured(batches):
         for rb in batches:
             texts = rb.column("text").to_pylist()
-            for a, b, _, shape, doc, word in _known_words(texts, shared.value):
-                present = [[] for _ in range(b - a)]
-                for d, w in zip(doc.tolist(), word.tolist()):
-                    present[d].append(w)
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(a, b - a), rb.column("domain").slice(a, b - a), pa.array(shape.tolist(), pa.list_(pa.float64())), pa.array(present, pa.list_(pa.int64()))], names=["doc_id", "domain", "shape", "words"])
+            for a, b, _, shape, doc, word in _bucketed(texts):
+                sizes = np.bincount(doc, minlength=b - a)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(word, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(a, b - a), rb.column("domain").slice(a, b - a), pa.array(shape.tolist(), pa.list_(pa.float64())), lists], names=["doc_id", "domain", "shape", "words"])
 
-    got = rows.mapInArrow(featured, "doc_id long, domain string, shape array<double>, words array<long>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(featured, f"doc_id {kind}, domain string, shape array<double>, words array<long>").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
     if not got.num_rows:
         return None
     got = got.combine_chunks()
     shape = got.column("shape").combine_chunks().flatten().to_numpy().reshape(got.num_rows, SHAPE)
     words = got.column("words").combine_chunks()
     domains = got.column("domain").to_pylist()
-    model = Classifier(sorted(set(domains)), known)
-    present = np.zeros((got.num_rows, len(known)), np.float32)
+    model = Classifier(sorted(set(domains)))
+    present = np.zeros((got.num_rows, BUCKETS), np.float32)
     present[np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy()), words.flatten().to_numpy()] = 1
     model.train(shape, present, np.array([model.domains.index(d) for d in domains]))
     return model
 
 
-def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(r, y) of documents with probabilities p: the rates after all steps, and the point that the next gradient is taken at."""
+def rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(r, y) of documents with probabilities p: the rates (0 to `most`) after all steps, and the point that the next gradient is taken at."""
     r = y = np.ones(len(p))
     for g, momentum in steps:
-        new = np.maximum(0, y - p @ g)
-        r, y = new, np.maximum(0, new + momentum * (new - r))
+        new = np.clip(y - p @ g, 0, most)
+        r, y = new, np.clip(new + momentum * (new - r), 0, most)
     return r, y
 
 
@@ -152,7 +143,7 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _totals(steps):
+def _totals(steps, most):
     schema = pa.schema([("kind", pa.string()), ("v", pa.list_(pa.float64()))])
 
     def run(batches):
@@ -160,7 +151,7 @@ def _totals(steps):
         for rb in batches:
             p = _rows(rb.column("p"))
             t = rb.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
-            r, y = rates(p, steps)
+            r, y = rates(p, steps, most)
             at_r, at_y = at_r + (r * t) @ p, at_y + (y * t) @ p
         if not isinstance(at_r, float):
             yield batch(schema, kind=["r", "y"], v=[at_r.tolist(), at_y.tolist()])
@@ -168,8 +159,8 @@ def _totals(steps):
     return run
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """The steps of the fit for members (n_tokens, p); targets: expected tokens of each domain."""
+def fit_rates(members: DataFrame, targets: np.ndarray, most: float = np.inf) -> list[tuple[np.ndarray, float]]:
+    """The steps of the fit for members (n_tokens, p); targets: expected tokens of each domain; rates are `most` at most."""
     k = len(targets)
     one = members.select(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"m{i}_{j}") for i in range(k) for j in range(k)), F.sum("n_tokens").alias("n")).first()
     total = float(one.n or 0)
@@ -181,7 +172,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> list[tuple[np.ndarray,
     weight, best, chosen = 1.0, np.inf, []
     for _ in range(STEPS):
         sums = {"r": np.zeros(k), "y": np.zeros(k)}
-        for row in members.select("n_tokens", "p").mapInArrow(_totals(steps), "kind string, v array<double>").collect():
+        for row in members.select("n_tokens", "p").mapInArrow(_totals(steps, most), "kind string, v array<double>").collect():
             sums[row.kind] = sums[row.kind] + np.array(row.v)
         error = float(np.abs(sums["r"] - targets).sum() / total)
         if error < best:
@@ -203,23 +194,23 @@ def _targets(model: Classifier, expected: np.ndarray, weights: Mapping[str, floa
 
 
 class Mix:
-    """A fitted mix: the classifier and the steps of the rates."""
+    """A fitted mix: the classifier, the steps of the rates, and the largest rate."""
 
-    def __init__(self, model: Classifier | None, steps: list):
-        self.model, self.steps = model, steps
+    def __init__(self, model: Classifier | None, steps: list, most: float = np.inf):
+        self.model, self.steps, self.most = model, steps, most
 
     def apply(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """docs' columns `keep` with n_tokens, p and rate of every row; without a model p is empty and the rate 1."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.model, self.steps))
+        shared = shipped(docs.sparkSession, (self.model, self.steps, self.most))
         schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
         def run(batches):
-            model, steps = shared.value
+            model, steps, most = shared()
             for rb in batches:
                 texts = rb.column("_text").to_pylist()
                 parts = model.posteriors(texts) if model else ((a, b, numbered_words(texts[a:b])[2], np.zeros((b - a, 0))) for a, b in chunks(texts))
                 for a, b, counts, p in parts:
-                    r = rates(p, steps)[0] if model else np.ones(b - a)
+                    r = rates(p, steps, most)[0] if model else np.ones(b - a)
                     yield pa.RecordBatch.from_arrays(
                         [*(rb.column(c).slice(a, b - a) for c in keep), pa.array(counts, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(r)],
                         names=[*keep, "n_tokens", "p", "rate"])
@@ -227,7 +218,7 @@ class Mix:
         return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}n_tokens long, p array<double>, rate double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, slack: float = SLACK) -> tuple[Mix, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, slack: float = SLACK, most: float = np.inf) -> tuple[Mix, DataFrame]:
     """The mix, and the table (doc_id, n_tokens, p, rate 1) of all rows that it was fitted on."""
     small_batches(docs.sparkSession)
     model = fit_classifier(docs, labels)
@@ -236,7 +227,22 @@ def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGH
         return Mix(None, []), members
     expected = members.select(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(len(model.domains)))).first()
     expected = np.array([x or 0.0 for x in expected], float)
-    return Mix(model, fit_rates(members, _targets(model, expected, weights, slack))), members
+    return Mix(model, fit_rates(members, _targets(model, expected, weights, slack), most), most), members
+
+
+def _rated(members: DataFrame, mix: Mix, keep: tuple[str, ...]) -> DataFrame:
+    """members with the rates of the mix; probabilities are those of the fit, so that no text is read again."""
+    if not mix.model:
+        return members
+    steps, most = mix.steps, mix.most
+    names = [*keep, "n_tokens", "p"]
+
+    def run(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(rates(_rows(rb.column("p")), steps, most)[0])], names=[*names, "rate"])
+
+    schema = "".join(f"`{c}` {members.schema[c].dataType.simpleString()}, " for c in names)
+    return members.select(*names).mapInArrow(run, f"{schema}rate double")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -244,31 +250,27 @@ def mix_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
 
     Null and empty texts have no tokens; their rate follows from their probabilities all the same.
     Repeated rows count and come each. Labels with nulls, or of unknown documents, teach nothing; of
-    repeated labels of a doc_id one is used. Without labelled documents all rates are 1. An empty
-    table gives an empty result. Other columns are ignored.
+    conflicting labels of a doc_id the smallest counts. Without labelled documents all rates are 1. An
+    empty table gives an empty result. Other columns are ignored.
     """
     mix, members = fit(docs, labels, weights)
-    if mix.model:
-        steps = mix.steps
-
-        def run(batches):
-            for rb in batches:
-                p = _rows(rb.column("p"))
-                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("doc_id", "n_tokens", "p")), pa.array(rates(p, steps)[0])], names=["doc_id", "n_tokens", "p", "rate"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        members = members.select("doc_id", "n_tokens", "p").mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>, rate double")
     names = F.array(*(F.lit(d) for d in (mix.model.domains if mix.model else []))).cast("array<string>")
-    return members.select("doc_id", "n_tokens", names.alias("domains"), "p", "rate")
+    return _rated(members, mix, ("doc_id",)).select("doc_id", "n_tokens", names.alias("domains"), "p", "rate")
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, repeats: bool = False) -> DataFrame:
-    """Rows of docs drawn by their rates, in docs' own columns: a rate below 1 is the chance to stay, decided by a hash of the id.
+    """Rows of docs drawn by their rates, in docs' own columns: a rate below 1 is the chance to stay, decided by a hash of id and text.
 
-    With repeats, a rate of 1 or more also repeats the row; without, it just stays.
+    Without repeats the rates are fitted under a ceiling of 1, so that the rows drawn have the target
+    weights (in expectation) although none comes twice. With repeats there is no ceiling, and a rate of 1
+    or more also repeats the row. Null and empty texts are drawn like others; equal rows share their draw,
+    and null ids are told apart by their texts. Without labelled documents all rows stay once; an empty
+    table gives an empty one.
     """
-    rated = fit(docs, labels, weights)[0].apply(boxed(docs, "doc_id", "text"), ("doc_id", "text", "box"))
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    most, slack = (np.inf, SLACK) if repeats else (1.0, SLACK_ONCE)
+    mix, members = fit(docs.select("doc_id", "text"), labels, weights, slack, most)
+    rated = mix.apply(boxed(docs, "doc_id", "text"), ("doc_id", "text", "box"))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     drawn = rated.withColumn("copies", copies.cast("int")).where("copies > 0")
     if repeats:
