@@ -29,6 +29,13 @@ def test_adjacent_turns_of_a_role_are_one_block(spark):
     assert [got.formatted[s.start : s.end] for s in got.loss] == ["c"]
 
 
+def test_long_conversations_and_runs(spark):
+    rows = [(1, t, "assistant" if t % 700 < 400 else "user", f"t{t}<|im_sep|>é") for t in range(3000)]
+    got = back(spark, rows)[1]
+    assert [(t.role, t.text) for t in got.turns] == [(r, x) for _, _, r, x in rows]
+    assert got.answers == "".join(x for _, _, r, x in rows if r == "assistant")
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None, 3), (1, 5, "assistant", "x", 4), (1, 5, "assistant", "x", 4), (1, 5, "assistant", "w", 4), (None, 1, "user", "n", 0), (2, 1, "assistant", "y" * 300_000, 0)]
     got = back(spark, rows, f"{SCHEMA}, loss long")
@@ -41,3 +48,4 @@ def test_plan_is_native(spark):
     df = chat.format_conversations(spark.range(3).selectExpr("id as conv_id", "id as turn", "'user' as role", "'t' as text"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Scan ExistingRDD"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan

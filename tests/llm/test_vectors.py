@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from tracewell.llm import ann, topk, vectors
+from tests.conftest import SF
+from tracewell.llm import ann, queries, topk, vectors
 
 
 def table(spark, rows):
@@ -63,6 +65,40 @@ def test_elimination_evaluates_fewer(monkeypatch):
     assert sum(seen) < 0.6 * 5 * len(x)
 
 
+def test_places_bound_distances_better_than_any_pivot():
+    x = np.floor(256 * made(2, 200).astype(float))
+    pivots = topk.choose_pivots(x[:60])
+    d = topk.distances(x, pivots)
+    at = topk.places(d, pivots)
+    low = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert (low <= true + 1).all() and (low >= np.abs(d[:, None, :] - d[None, :, :]).max(2) - 1).all()
+
+
+def test_few_embeddings_are_evaluated(monkeypatch):
+    t = pq.read_table(f"{SF.replace('0.001', '0.1')}/embeddings.parquet").to_pandas()
+    x = np.floor(256 * np.array(t["embedding"].tolist(), float))
+    ids, seen, plain = t["vec_id"].to_numpy(), [], topk.scores
+    monkeypatch.setattr(topk, "scores", lambda q, rows: seen.append(len(rows)) or plain(q, rows))
+    asked = np.flatnonzero(ids % 50 == 0)
+    list(topk.answers(ids[asked], x[asked], ids, x, topk.choose_pivots(x), 5))
+    assert sum(seen) < 0.06 * len(asked) * len(x)
+
+
+def test_query_over_embeddings_against_brute_force(spark):
+    sf = SF.replace("0.001", "0.1")
+    t = pq.read_table(f"{sf}/embeddings.parquet").to_pandas().sort_values("vec_id")
+    y, ids = np.array(t["embedding"].tolist(), float), t["vec_id"].to_numpy()
+    got, hit, n = ranked(queries.op10_ann(spark, sf).collect()), 0, 0
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        s = (y * y[np.flatnonzero(ids == q)[0]]).sum(1)
+        want = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        assert all(score == pytest.approx(s[np.flatnonzero(ids == i)[0]], abs=1e-12) for i, score in found)
+        hit, n = hit + len({i for i, _ in found} & set(want)), n + 20
+    assert hit / n >= 0.95
+
+
 def test_anisotropic_codes_keep_the_parallel_part():
     x = ann.units(made(4, 1500, 32).astype(float))
     books = ann.fit(x)

@@ -4,6 +4,10 @@ Template: every run of turns of one role is a block
 
     <|im_start|>ROLE newline TEXT (<|im_sep|>TEXT)* <|im_end|> newline
 
+A conversation's turns are collected as structs and sorted as an array. Runs of one role are merged in
+that array: a run begins where the turn before has another role, and the turns from there to the next
+beginning are one slice. All sums over turns go by blocks, so that long conversations take linear time.
+
 Inside texts a backslash goes between < and | wherever they stand together, after those that are
 there already, so that no text holds a control string and every text can be read back. Roles
 write % < and newline as %25 %3C and %0A.
@@ -11,7 +15,9 @@ write % < and newline as %25 %3C and %0A.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tracewell.llm.common import cut, let, pieces, sums_before
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 ANSWERS = "assistant"
@@ -46,23 +52,29 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result. One conversation is one row, so
     its turns meet in one task; texts of different conversations never do.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("escaped", escape(F.col("text"))).withColumn("head", escape_role(F.col("role")))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("i", F.row_number().over(w))
-    by = Window.partitionBy("conv_id").orderBy("i")
-    opens = F.coalesce(F.lag("role").over(by) != F.col("role"), F.lit(True))
-    closes = F.coalesce(F.lead("role").over(by) != F.col("role"), F.lit(True))
-    rows = rows.select("conv_id", "i", "role", "escaped", F.when(opens, F.concat(F.lit(START), "head", F.lit("\n"))).otherwise(F.lit(SEP)).alias("before"), F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("after"))
-    size = F.length("before") + F.length("escaped") + F.length("after")
-    rows = rows.withColumn("at", F.sum(size.cast("long")).over(by) - F.length("after") - F.length("escaped"))
-    piece = F.struct("i", F.concat("before", "escaped", "after").alias("piece"), "role", "at", F.length("escaped").alias("n"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    return grouped.select(
-        "conv_id",
-        F.concat_ws("", F.transform("p", lambda x: x.piece)).alias("formatted"),
-        F.transform(F.filter("p", lambda x: x.role == ANSWERS), lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["n"]).alias("end"))).alias("loss"),
-    )
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turn = F.struct("turn", said("role").alias("role"), said("text").alias("text"))
+    sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("p"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get("p", i)["role"] != F.get("p", i - 1)["role"]))
+    runs = sorted_.withColumn("opens", opens).select("conv_id", F.transform("opens", lambda s, j: _run(s, F.coalesce(F.get("opens", j + 1), F.size("p")))).alias("runs"))
+    placed = runs.withColumn("at", sums_before(F.transform("runs", lambda r: F.length(r["head"]) + F.aggregate(r["texts"], F.lit(0), lambda a, x: a + F.length(x) + len(SEP)) - len(SEP) + len(END))))
+    block = lambda r: F.concat(r["head"], F.array_join(r["texts"], SEP), F.lit(END))
+    answers = F.transform("runs", lambda r, i: F.when(r["role"] == ANSWERS, _places(r["texts"], F.get("at", i) + F.length(r["head"]))).otherwise(F.expr("cast(array() as array<struct<start:long,end:long>>)")))
+    return placed.select("conv_id", F.array_join(F.transform("runs", block), "").alias("formatted"), F.flatten(answers).alias("loss"))
+
+
+def _run(start: Column, end: Column) -> Column:
+    """The turns start to end (exclusive) of the sorted array p, merged."""
+    role = F.get("p", start)["role"]
+    head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
+    texts = F.transform(F.slice("p", start + 1, end - start), lambda x: escape(x["text"]))
+    return F.struct(role.alias("role"), head.alias("head"), texts.alias("texts"))
+
+
+def _places(texts: Column, first: Column) -> Column:
+    """Where the texts of a run stand, the first one at `first`."""
+    before = sums_before(F.transform(texts, lambda x: F.length(x) + len(SEP)))
+    return let(before, lambda b: F.transform(texts, lambda x, k: F.struct((first + F.get(b, k)).alias("start"), (first + F.get(b, k) + F.length(x)).alias("end"))))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -79,4 +91,4 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    return F.concat_ws("", F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))))
+    return let(pieces(formatted), lambda parts: F.array_join(F.transform(loss, lambda s: unescape(cut(parts, s["start"], s["end"]))), ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewell.storage import stored
 
@@ -13,6 +13,8 @@ from tracewell.storage import stored
 CHUNK_CHARS = 2_000_000
 #: Most rows of an Arrow batch; long texts make Spark's own default too large for a worker.
 BATCH_ROWS = 1000
+#: Array elements of a block of running sums, and code points of a piece of text.
+BLOCK, PIECE = 256, 1024
 
 
 class Numbered(dict):
@@ -41,6 +43,32 @@ def unboxed(df: DataFrame, docs: DataFrame, *use: str) -> DataFrame:
     return df.select(*(F.col(c) if c in use else F.col("box").getField(c).alias(c) for c in docs.columns))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an array of numbers the sum of all before it (long): sums of whole blocks, and of the part of one."""
+    part = lambda b, n: F.aggregate(F.slice(values, b * BLOCK + 1, n), F.lit(0).cast("long"), lambda a, x: a + x)
+    blocks = F.sequence(F.lit(0), ((F.size(values) - 1) / BLOCK).cast("int"))
+    whole = F.transform(blocks, lambda b: part(b, F.lit(BLOCK)))
+    before = lambda v: F.transform(v, lambda _, b: F.aggregate(F.slice(v, F.lit(1), b), F.lit(0).cast("long"), lambda a, x: a + x))
+    return let(whole, lambda v: let(before(v), lambda base: F.transform(values, lambda _, i: F.get(base, (i / BLOCK).cast("int")) + part((i / BLOCK).cast("int"), i % BLOCK))))
+
+
+def pieces(text: Column) -> Column:
+    """A text as an array of pieces of PIECE code points, from which `cut` takes a part in time that grows with the part."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of the text that `pieces` gave parts of."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    near = F.concat_ws("", F.slice(parts, first + 1, last - first + 1))
+    return F.when(end > start, F.substring(near, (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
