@@ -45,7 +45,7 @@ def test_odd_rows(spark):
 
 
 def test_plan_is_native(spark):
-    df = chat.format_conversations(spark.range(3).selectExpr("id as conv_id", "id as turn", "'user' as role", "'t' as text"))
+    df = chat.format_conversations(spark.range(3).selectExpr("id % 2 as conv_id", "id as turn", "'user' as role", "'t' as text"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Scan ExistingRDD"))
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
