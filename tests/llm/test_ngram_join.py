@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, k, percent):
 
 def test_one_large_group_and_common_passages(spark, monkeypatch):
     monkeypatch.setattr(N, "LIGHT", 4)
-    monkeypatch.setattr(N, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 50 * 90 * 8)
     docs = variants(9, 1, 320, 90, 7)
     shared = " ".join(f"common{i}" for i in range(30))
     docs += [(2000 + i, f"{shared} " + t) for i, t in variants(10, 60, 2, 40, 1)]
@@ -76,8 +76,9 @@ def test_one_large_group_and_common_passages(spark, monkeypatch):
 def test_chains_of_links_in_long_lists(spark, monkeypatch, seed):
     """Texts drift away from a common base, so that components join only step by step."""
     monkeypatch.setattr(N, "LIGHT", 3)
-    monkeypatch.setattr(N, "FIRST", 1)
-    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "LIST_ROWS", 10)
+    monkeypatch.setattr(N, "HOT_LEAST", 2)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 20 * 70 * 8)
     rnd = random.Random(seed)
     base = [f"w{i}" for i in range(70)]
     docs = []

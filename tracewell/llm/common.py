@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewell.storage import stored
+from tracewell.storage import discard, stored
 
 #: Text handled at a time inside one Arrow batch, in characters; bounds a worker's memory.
 CHUNK_CHARS = 2_000_000
@@ -111,14 +111,17 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 
-    Alternates two steps until nothing changes: each node hands its smallest neighbour to its
+    Alternates two steps until the edges are stars: each node hands its smallest neighbour to its
     larger neighbours, then to its smaller ones. Both are a group-by with partial sums and an
-    equi-join, so a node with very many neighbours is never gathered in one place.
+    equi-join of narrow rows, with one row for each node on one side, so that the rows of a node with
+    very many neighbours can be split among tasks.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = stored(pairs, "edges")
-    state = None
     while True:
+        unsettled = pairs.groupBy("u").count().where("count > 1").select("u").union(pairs.select(F.col("v").alias("u")).join(pairs.select("u"), "u", "left_semi"))
+        if not unsettled.take(1):
+            break
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -126,10 +129,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = stored(small, "edges")
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (now.n, now.s) == state:
-            break
-        state = (now.n, now.s)
+        old, pairs = pairs, stored(small, "edges")
+        discard(old)
+        discard(large)
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

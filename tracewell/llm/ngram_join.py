@@ -1,19 +1,23 @@
 """Exact Jaccard self-join of word n-gram sets, with skipping by set relations.
 
 Index-level skipping: each set enters the inverted index with a prefix of its n-grams (hot
-n-grams ordered last). Index lists are cut into blocks by size, and blocks whose sizes can't link
-are never looked at; the positions of the first shared n-gram bound the overlap that is left,
-and so does the number of n-grams that two prefixes share.
-
-Answer-level skipping: in the first round each set is compared with one leader only, the most
-similar-looking set of its lists. Sets that link are joined, and later comparisons inside one
-component are not needed at all. Between components, the overlaps with a common leader X bound
-the overlap of Y and Z from both sides:
-
-    |Y & X| + |Z & X| - |X|  <=  |Y & Z|  <=  min(|Y & X|, |Z & X|) + min(|Y - X|, |Z - X|)
-
-so that many answers of Y follow from those of X, and only the rest is verified on whole sets.
-The result is exact: a pair is passed over only if it cannot link or is in one component already.
+n-grams ordered last). In an index list the entries stand in blocks of sizes, and an entry's place in
+its prefix bounds the overlap that it can begin: blocks whose sizes can't link, and entries whose
+place leaves too few n-grams for any partner in the list, are skipped. What is left of the lists
+joins sets to families: two sets that link always meet in a list, so they are in one family.
+
+Answer-level skipping: of a family only one set X is compared with all others in full. The others are
+kept as what they share with X and what they have beyond it, and from X's answers follow theirs, by
+the differences alone:
+
+    |Y & Z| = |X & Y & Z| + |(Y - X) & (Z - X)|
+
+The first part is a bitwise and of two masks over X. If it is enough by itself, Y and Z link; if even
+the smaller of the two remainders, or what parity sketches of them leave possible, is not enough, they
+don't; only then remainders are compared. Sets that links have joined already are not compared at
+all. Families beyond BLOCK_BYTES are dealt to blocks; then the sets outside a family's largest
+component meet the other blocks. The result is exact: a pair is passed over only if it cannot link or
+is in one component already.
 """
 
 from __future__ import annotations
@@ -30,18 +34,18 @@ from tracewell.storage import stored
 HOT_TABLE = 8_000_000
 #: N-grams in more prefixes than this (or entries / HOT_TABLE, if more) are hot.
 HOT_LEAST = 8
-#: A hot n-gram's index list is dealt over lists of about this length for the first round.
+#: A hot n-gram's index list is dealt over lists of about this length.
 LIST_ROWS = 50_000
 #: Index entries of a task that forms lists.
 PART_ROWS = 250_000
-#: Most bits of a set's sketch.
-SKETCH_BITS = 4095
-#: Lists of up to so many sets give all their pairs of different components; longer ones are compared by sketches, in blocks of BLOCK_ROWS.
-LIGHT, BLOCK_ROWS = 16, 8192
-#: Candidates that a set tries at first in a block, the most alike by their sketches.
-FIRST = 3
-#: log2 of the bits that mark sets to be fetched for verification.
-MARK_BITS = 26
+#: In lists up to this length every pair of entries decides which entries are skipped, in longer ones blocks do.
+LIGHT = 64
+#: Bytes of the sets of one family that are compared in one block, about.
+BLOCK_BYTES = 16_000_000
+#: Least and most bits of a remainder's sketch, and bits for each of its n-grams.
+SKETCH_LEAST, SKETCH_MOST, SKETCH_RATE = 64, 4096, 16
+#: Least and most log2 of the bits that mark the documents whose sets are fetched.
+MARK_LEAST, MARK_MOST = 20, 30
 
 
 def _sets(texts: list, k: int):
@@ -75,30 +79,29 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's hashes over at least 2 bits for each (a power of two, SKETCH_BITS at most).
+def _need(percent: int, n, m):
+    """The overlap that sets of n and m elements need to link."""
+    return -(-percent * (n + m) // (100 + percent))
 
-    Two sketches differ in no more bits than the sets differ in elements; the halves of a sketch
-    combine by exclusive or to the sketch of half the bits.
-    """
-    bits = 1 << max(6, min(SKETCH_BITS, 2 * len(s) - 1).bit_length())
-    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").tobytes()
+
+def _short(s: np.ndarray) -> np.ndarray:
+    """N-grams are counted, and told hot, by the upper half of their hashes."""
+    return (s >> np.uint64(32)).astype(np.uint32)
 
 
 def _profile(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("prefix", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("prefix", pa.binary())])
 
     def run(batches):
         for rb in batches:
             ids, texts = rb.column("doc_id").to_pylist(), rb.column("text").to_pylist()
-            rows = {"n": [0] * len(ids), "cls": [0] * len(ids), "prefix": [b""] * len(ids), "sketch": [b""] * len(ids)}
+            rows = {"n": [0] * len(ids), "cls": [0] * len(ids), "prefix": [b""] * len(ids)}
             for i, s in _sets(texts, k):
                 rows["n"][i], rows["cls"][i] = len(s), _class(s)
-                rows["prefix"][i], rows["sketch"][i] = s[: _prefix(len(s), percent)].tobytes(), _sketch(s)
+                rows["prefix"][i] = _short(s[: _prefix(len(s), percent)]).tobytes()
             yield batch(schema, doc_id=ids, **rows)
 
-    return run, "doc_id long, n long, cls long, prefix binary, sketch binary"
+    return run, "doc_id long, n long, cls long, prefix binary"
 
 
 def _token_counts(batches):
@@ -106,16 +109,13 @@ def _token_counts(batches):
     for rb in batches:
         once = {(c, n): p for c, n, p in zip(rb.column("cls").to_pylist(), rb.column("n").to_pylist(), rb.column("prefix").to_pylist())}
         if all_tokens := b"".join(once.values()):
-            token, c = np.unique(np.frombuffer(all_tokens, np.int64), return_counts=True)
-            yield batch(schema, token=token, c=c.astype(np.int64))
+            token, c = np.unique(np.frombuffer(all_tokens, np.uint32), return_counts=True)
+            yield batch(schema, token=token.astype(np.int64), c=c.astype(np.int64))
 
 
 def _entries(k: int, percent: int, hot, salts):
-    """Index entries of each set's prefix; a set that a task meets again is entered once.
-
-    last tells roughly (16 bits of the hash, after whether it is hot) where the prefix ends in the global order.
-    """
-    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.int32())])
+    """Index entries of each set's prefix; a set that a task meets again is entered once."""
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
         seen = set()
@@ -127,256 +127,264 @@ def _entries(k: int, percent: int, hot, salts):
                 if (cls, n) in seen:
                     continue
                 seen.add((cls, n))
-                p = _prefix(n, percent)
+                p, salt = _prefix(n, percent), None
                 if len(last):
-                    at = np.searchsorted(last, s)
+                    key = _short(s)
+                    at = np.searchsorted(last, key)
                     at[at == len(last)] = 0
-                    is_hot = last[at] == s
+                    is_hot = last[at] == key
                     order = np.argsort(is_hot, kind="stable")[:p]
-                    end = int(s[order[-1]] >> np.uint64(48)) + (int(is_hot[order[-1]]) << 16)
-                    salt = np.where(is_hot, cls % many[at] + 1, 0)[order]
+                    # salted lists have a salt of 1 or more
+                    salt = np.where(is_hot & (many[at] > 1), cls % many[at] + 1, 0)[order]
                     s = s[order]
-                else:
-                    salt, s = np.zeros(p, np.int64), s[:p]
-                    end = int(s[-1] >> np.uint64(48))
-                out["token"].append(s.view(np.int64))
-                out["salt"].append(salt.astype(np.int32))
+                out["token"].append(s[:p].view(np.int64))
+                out["salt"].append(np.zeros(p, np.int32) if salt is None else salt.astype(np.int32))
                 out["cls"].append(np.full(p, cls, np.int64))
-                out["n"].append(np.full(p, n, np.int64))
+                out["n"].append(np.full(p, n, np.int32))
                 out["pos"].append(np.arange(p, dtype=np.int32))
-                out["last"].append(np.full(p, end, np.int32))
             if out["token"]:
                 yield batch(schema, **{c: np.concatenate(v) for c, v in out.items()})
 
-    return run, "token long, salt int, cls long, n long, pos int, last int"
+    return run, "token long, salt int, cls long, n int, pos int"
+
 
+def _able(n: np.ndarray, reach: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of one list, sorted by size, may be the first n-gram shared with another entry; reach: n-grams from the entry on."""
+    if len(n) <= LIGHT:
+        need = _need(percent, n[:, None], n[None, :])
+        pair = (np.minimum.outer(n, n) * 100 >= percent * np.maximum.outer(n, n)) & (np.minimum.outer(reach, reach) >= need)
+        np.fill_diagonal(pair, False)
+        return pair.any(1)
+    # the smallest partner asks for the least
+    least = n[np.searchsorted(n, -(-percent * n // 100))]
+    return reach >= _need(percent, n, least)
 
-def _lists(percent: int):
-    """Index lists with two sets or more; within a list, blocks of sizes that can link share the leader that opens them."""
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("lcls", pa.int64()), ("ln", pa.int64())])
+
+def _relations(percent: int):
+    """Pairs (u, v) that join the sets of each index list to families, without the entries that position and size skip."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         got = [rb for rb in batches if rb.num_rows]
         if not got:
             return
-        token, salt, cls, n, pos, last = (np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in ("token", "salt", "cls", "n", "pos", "last"))
+        token, salt, cls, n, pos = (np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in ("token", "salt", "cls", "n", "pos"))
         del got
         order = np.lexsort((cls, n, salt, token))
-        token, salt, cls, n, pos, last = (x[order] for x in (token, salt, cls, n, pos, last))
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1]) | (n[1:] != n[:-1])
-        token, salt, cls, n, pos, last = (x[new] for x in (token, salt, cls, n, pos, last))
-        first = np.ones(len(token), bool)
-        first[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        starts = np.flatnonzero(first)
+        token, salt, cls, n, pos = (x[order] for x in (token, salt, cls, n.astype(np.int64), pos.astype(np.int64)))
+        same = lambda *cols: np.concatenate(([False], np.logical_and.reduce([c[1:] == c[:-1] for c in cols])))
+        new = ~same(token, salt, cls, n)
+        token, salt, cls, n, reach = (x[new] for x in (token, salt, cls, n, n - pos))
+        starts = np.flatnonzero(~same(token, salt))
         sizes = np.diff(np.append(starts, len(token)))
-        # a hot list's parts are kept even if one set is in a part: the other parts hold its partners
-        keep = np.repeat((sizes > 1) | (salt[starts] > 0), sizes)
-        token, cls, n, pos, last, first = (x[keep] for x in (token, cls, n, pos, last, first))
-        lead = np.zeros(len(token), np.int64)
-        starts = np.flatnonzero(first).tolist()
-        for i, end in zip(starts, [*starts[1:], len(token)]):
-            while i < end:
-                j = i + int(np.searchsorted(n[i:end], n[i] * 100 // percent, side="right"))
-                # a set whose place in the list lets it reach the leader's overlap no more leads itself
-                need = -(-percent * (n[i:j] + n[i]) // (100 + percent))
-                lead[i:j] = np.where(n[i:j] - pos[i:j] >= need, i, np.arange(i, j))
-                i = j
-        yield batch(schema, token=token, cls=cls, n=n, pos=pos, last=last, lcls=cls[lead], ln=n[lead])
-
-    return run, "token long, cls long, n long, pos int, last int, lcls long, ln long"
+        keep = np.repeat((salt[starts] > 0), sizes)  # the other parts of a salted list hold partners too
+        # lists of two, all at once
+        two = starts[(sizes == 2) & (salt[starts] == 0)]
+        ok = (n[two] * 100 >= percent * n[two + 1]) & (np.minimum(reach[two], reach[two + 1]) >= _need(percent, n[two], n[two + 1]))
+        keep[two[ok]] = keep[two[ok] + 1] = True
+        for at in np.flatnonzero((sizes > 2) & (salt[starts] == 0)).tolist():
+            a, b = starts[at], starts[at] + sizes[at]
+            keep[a:b] = _able(n[a:b], reach[a:b], percent)
+        token, salt, cls, n = (x[keep] for x in (token, salt, cls, n))
+        # neighbours by size in a list; sets between two that may link are each as near in size
+        next_ = np.flatnonzero(same(token, salt) & np.concatenate(([False], n[:-1] * 100 >= percent * n[1:])))
+        u, v = [cls[next_]], [cls[next_ - 1]]
+        # parts of a salted list meet at a node of the n-gram's own
+        heads = np.setdiff1d(np.flatnonzero(salt > 0), next_)
+        u.append(cls[heads])
+        v.append(token[heads] ^ np.int64(0x5851F42D4C957F2D))
+        pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+        yield batch(schema, u=pairs[0], v=pairs[1])
+
+    return run, "u long, v long"
 
 
 def _fetched(k: int, marks):
     """Whole sets of the documents that are marked (and of a few that share a mark)."""
-    schema = pa.schema([("rep", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
-        bits = np.frombuffer(marks.value, np.uint8)
+        held = np.frombuffer(marks.value, np.uint8)
         for rb in batches:
             h = rb.column("mark").to_numpy()
-            at = np.flatnonzero((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
+            at = np.flatnonzero((held[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
             if len(at):
-                ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
                 texts = rb.column("text").to_pylist()
-                found = list(_sets([texts[i] for i in at.tolist()], k))
-                yield batch(schema, rep=[int(ids[at[i]]) for i, _ in found], grams=[s.tobytes() for _, s in found])
-
-    return run, "rep long, grams binary"
+                found = [s for _, s in _sets([texts[i] for i in at.tolist()], k)]
+                yield batch(schema, cls=[_class(s) for s in found], grams=[s.tobytes() for s in found])
 
+    return run, "cls long, grams binary"
 
-def _overlaps(batches):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("o", pa.int64())])
-    for rb in batches:
-        x = [np.frombuffer(g, np.uint64) for g in rb.column("ga").to_pylist()]
-        y = [np.frombuffer(g, np.uint64) for g in rb.column("gb").to_pylist()]
-        o = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
-        yield batch(schema, a=rb.column("a"), b=rb.column("b"), na=[len(p) for p in x], nb=[len(q) for q in y], o=o)
 
-
-def _marks(ids: DataFrame) -> bytes:
-    """Bits at the hashes of ids: 2**MARK_BITS of them at any size of the corpus."""
-    h = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << MARK_BITS)).alias("h"))
+def _marks(ids: DataFrame, bits: int) -> bytes:
+    """2**bits bits, set at the hashes of ids."""
+    h = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("h"))
     parts = h.groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("bits"))
-    bits = bytearray(1 << (MARK_BITS - 3))
-    for r in parts.collect():
+    out = bytearray(1 << (bits - 3))
+    for r in parts.toLocalIterator():
         at = (r.part - 1) * 4096
-        bits[at : at + 4096] = r.bits
-    return bytes(bits)
-
+        out[at : at + 4096] = r.bits
+    return bytes(out)
 
-class _Verifier:
-    """Overlaps of pairs of representatives on whole sets; sets once fetched are kept."""
 
-    def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k, self.sets = docs, k, None
+def links_of(cls: np.ndarray, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Places (i, j) of sets that link, enough of them to join all that link.
 
-    def fetch(self, ids: DataFrame) -> None:
-        if self.sets is not None:
-            ids = ids.join(self.sets.select(F.col("rep").alias("id")), "id", "left_anti")
-        marks = _marks(ids)
-        if self.sets is not None and not any(marks):
-            return
-        shared = self.docs.sparkSession.sparkContext.broadcast(marks)
-        run, schema = _fetched(self.k, shared)
-        marked = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS)).alias("mark"))
-        found = marked.mapInArrow(run, schema)
-        if self.sets is not None:  # sets that only share a mark may be there already
-            found = found.join(self.sets.select("rep"), "rep", "left_anti")
-        found = stored(found, "sets")
-        shared.destroy()
-        self.sets = found if self.sets is None else self.sets.union(found)
-
-    def overlaps(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, na, nb, o): sizes and overlap of each pair (a, b)."""
-        self.fetch(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        joined = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a")
-        joined = joined.join(self.sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
-        return stored(joined.select("a", "b", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na long, nb long, o long"), name)
-
-
-def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
-    """Sketches of 2 * bits or bits as rows of 64-bit words at `bits` bits."""
-    out = np.empty((len(sketches), bits // 64), np.uint64)
-    for i, x in enumerate(sketches):
-        words = np.frombuffer(x, np.uint64)
-        while len(words) > bits // 64:
-            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
-        out[i] = words
+    label: components so far, whose sets are not compared; probe: only pairs with just one of these count.
+    """
+    x = sets[0]
+    n = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    hit = x[at] == flat
+    words = -(-len(x) // 64)
+    mask = np.zeros((len(sets), words * 64), bool)
+    mask[owner[hit], at[hit]] = True
+    mask = np.packbits(mask, axis=1, bitorder="little").view(np.uint64)
+    shared = np.bincount(owner[hit], minlength=len(sets))
+    beyond = n - shared
+    ends = np.cumsum(beyond)
+    rest, rest_owner = flat[~hit], owner[~hit]
+    remainder = [rest[e - m : e] for e, m in zip(ends.tolist(), beyond.tolist())]
+    del flat, owner, at, hit
+    bits = 1 << int(max(SKETCH_LEAST, min(SKETCH_MOST, SKETCH_RATE * int(beyond.max()))) - 1).bit_length()
+    sketch = np.empty((len(sets), bits // 64), np.uint64)
+    for a in range(0, len(sets), 256):
+        b = min(len(sets), a + 256)
+        part = slice(ends[a] - beyond[a], ends[b - 1])
+        place = (rest_owner[part] - a) * bits + (rest[part] & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(b - a) * bits) & 1).astype(np.uint8).reshape(b - a, bits)
+        sketch[a:b] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
+
+    root = np.unique(label, return_inverse=True)[1] if label is not None else np.arange(len(sets))
+    out = []
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        root[root == root[j]] = root[i]
+
+    if probe is None:
+        # X's own answers
+        for j in np.flatnonzero(100 * shared >= percent * (n + len(x) - shared)).tolist():
+            if root[j] != root[0]:
+                join(0, j)
+    for i in range(len(sets)) if probe is None else np.flatnonzero(probe).tolist():
+        other = root != root[i]
+        other[: i + 1] &= probe is not None
+        if probe is not None:
+            other &= ~probe
+        left = np.flatnonzero(other)
+        left = left[np.minimum(n[left], n[i]) * 100 >= percent * np.maximum(n[left], n[i])]
+        if not len(left):
+            continue
+        # what must come from the remainders: none, at most what they have, at most what sketches allow
+        more = _need(percent, n[left], n[i]) - np.bitwise_count(mask[left] & mask[i]).sum(1, dtype=np.int64)
+        good = more <= np.minimum(beyond[left], beyond[i])
+        left, more = left[good], more[good]
+        open_ = more > 0
+        if open_.any():
+            differ = np.bitwise_count(sketch[left[open_]] ^ sketch[i]).sum(1, dtype=np.int64)
+            good = np.ones(len(left), bool)
+            good[open_] = 2 * more[open_] <= beyond[left[open_]] + beyond[i] - differ
+            left, more = left[good], more[good]
+        for j, m in sorted(zip(left.tolist(), more.tolist()), key=lambda p: p[1]):
+            if root[j] != root[i] and (m <= 0 or len(np.intersect1d(remainder[i], remainder[j], assume_unique=True)) >= m):
+                join(i, j)
     return out
 
 
-def _alike(percent: int, best: int | None):
-    """Pairs of a probe and a member of another component that no bound rules out; with best, so many of a probe."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def columns(t: pa.Table):
-        return [t.column(c).to_numpy() for c in ("rep", "n", "label", "x", "ox")], t.column("sketch").to_pylist()
-
-    def run(probes: pa.Table, members: pa.Table) -> pa.Table:
-        a, b = [], []
-        if probes.num_rows and members.num_rows:
-            (rep, n, label, x, ox), sketch = columns(members)
-            (rep1, n1, label1, x1, ox1), sketch1 = columns(probes)
-            bits, bits1 = np.array([len(v) * 8 for v in sketch]), np.array([len(v) * 8 for v in sketch1])
-            for at, width in ((w1, w) for w1 in np.unique(bits1) for w in np.unique(bits) if w1 <= 2 * w and w <= 2 * w1):
-                low = int(min(at, width))
-                mine, theirs = np.flatnonzero(bits1 == at), np.flatnonzero(bits == width)
-                table = _folded([sketch[i] for i in theirs.tolist()], low)
-                for i, row in zip(mine.tolist(), _folded([sketch1[i] for i in mine.tolist()], low)):
-                    m = n[theirs]
-                    need = -(-percent * (m + n1[i]) // (100 + percent))
-                    ok = (label[theirs] != label1[i]) & (np.minimum(m, n1[i]) * 100 >= percent * np.maximum(m, n1[i]))
-                    upper = np.minimum(ox[theirs], ox1[i]) + np.minimum(m - ox[theirs], n1[i] - ox1[i])
-                    ok &= (x[theirs] != x1[i]) | (upper >= need)
-                    left = np.flatnonzero(ok)
-                    differ = np.bitwise_count(table[left] ^ row).sum(1, dtype=np.int64)
-                    good = differ <= (m + n1[i] - 2 * need)[left]
-                    left, differ = left[good], differ[good]
-                    if best is not None and len(left) > best:
-                        left = left[np.lexsort((rep[theirs[left]], differ))[:best]]
-                    other = rep[theirs[left]]
-                    a.append(np.maximum(other, rep1[i]))
-                    b.append(np.minimum(other, rep1[i]))
-        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (a, b)], schema=schema)
-
-    return run
-
-
-def _in_blocks(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of probes and members (kind, key, rep) with equal kind and key; sets has what is known of each rep."""
-    many = members.groupBy("kind", "key").agg((F.count("*") / BLOCK_ROWS).cast("int").alias("last"))
-    left = probes.join(many, ["kind", "key"]).select("kind", "key", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "rep").join(sets, "rep")
-    right = members.join(many, ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int").alias("block"), "rep").join(sets, "rep")
-    by = ("kind", "key", "block")
-    anew = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  both sides come from the same tables
-    return anew(left).groupBy(*by).cogroup(anew(right).groupBy(*by)).applyInArrow(_alike(percent, best), "a long, b long")
-
-
-def _linked(percent: int):
-    return F.expr(f"100 * o >= {percent} * (na + nb - o)")
-
-
-def _known_sets(classes: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
-    """(rep, n, label, x, ox, sketch): each set's component so far, its leader, and the overlap with it."""
-    sets = classes.select("rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(own, "rep", "left")
-    return sets.select("rep", "n", F.coalesce("component", "rep").alias("label"), F.coalesce("x", "rep").alias("x"), F.coalesce("ox", "n").alias("ox"), "sketch")
-
-
-def _mixed_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """The entries of lists that hold more than one component, with what is known of their sets and the list's size."""
-    labelled = lists.select("token", "rep", "pos", "last").join(sets.drop("sketch"), "rep")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("size")).where("l1 <> l2").select("token", "size")
-    return labelled.join(mixed, "token")
-
-
-def _undecided(labelled: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Distinct pairs (a, b), a > b, that share a list but no component, and that may link by all bounds.
-
-    labelled: mixed lists with the components of the first round, which decide who is compared with
-    whom; sets: with the components so far. Short lists give pairs, for which the n-grams shared within
-    the prefixes are counted. In a long list, sets outside the list's largest component are compared
-    with all that component's sets in long lists (once, however many lists they share), and with each
-    other, by sketches. With best, a set tries so many of a block; a call without leaves nothing out of
-    the long lists, and takes the short ones as done.
-    """
-    long_ = labelled.where(F.col("size") > LIGHT)
-    most = long_.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
-    outside = long_.join(most.select("token", F.col("m.label").alias("most"), (F.col("all") - F.col("m.c")).alias("others")), "token").where("label <> most")
-    probes = outside.select(F.lit(1).alias("kind"), F.col("most").alias("key"), "rep").distinct()
-    if not best:  # sets that have joined the component meanwhile need no more
-        now = sets.select("rep", F.col("label").alias("now"))
-        probes = probes.join(now, "rep").join(now.select(F.col("rep").alias("key"), F.col("now").alias("there")), "key").where("now <> there").select("kind", "key", "rep")
-    members = long_.select(F.lit(1).alias("kind"), F.col("label").alias("key"), "rep").distinct().join(probes.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-    rest = outside.where(F.col("others") > LIGHT).select(F.lit(2).alias("kind"), F.col("token").alias("key"), "rep")
-    found = _in_blocks(probes.union(rest), members.union(rest), sets, percent, best)
-    if not best:
-        return found.distinct()
-
-    short = labelled.where(F.col("size") <= LIGHT).drop("size").union(outside.where(F.col("others").between(2, LIGHT)).select("token", *[c for c in labelled.columns if c not in ("token", "size")]))
-    short = short.join(long_.groupBy("rep").agg(F.count("*").alias("l")), "rep", "left").withColumn("l", F.coalesce("l", F.lit(0)))
-    band = lambda c: f"cast(floor(ln({c}) / ln({100 / percent!r})) as int)"
-    low, high = f"ceil({percent} * n / 100.0)", f"floor(n * 100 / {percent}.0)"
-    left = short.select(*(F.col(c).alias(f"{c}1") for c in ("rep", "n", "pos", "last", "label", "x", "ox", "l")), "token", F.expr(f"explode(sequence({band(low)} - 1, {band(high)} + 1))").alias("band"))
-    need, upper = _alpha(percent, "n", "n1"), "least(ox, ox1) + least(n - ox, n1 - ox1)"
-    shared = short.withColumn("band", F.expr(band("n"))).join(left, ["token", "band"]).where(
-        f"label <> label1 and rep < rep1 and least(n, n1) * 100 >= {percent} * greatest(n, n1) and not (x = x1 and {upper} < {need})")
-    # the first shared n-gram's places, all n-grams shared within the prefixes (in long lists, at most
-    # as many as both sets have there), and at most all that one set holds beyond its own
-    left_over = f"case when last < last1 then {_beyond(percent, 'n')} when last > last1 then {_beyond(percent, 'n1')} else greatest({_beyond(percent, 'n')}, {_beyond(percent, 'n1')}) end"
-    counted = shared.groupBy(F.col("rep1").alias("a"), F.col("rep").alias("b")).agg(
-        F.count("*").alias("c"), F.max(F.expr("least(n - pos, n1 - pos1)")).alias("reach"), F.first(F.expr(need)).alias("need"), F.first(F.expr(left_over)).alias("rest"), F.first(F.expr("least(l, l1)")).alias("l"))
-    return found.union(counted.where("(l > 0 or reach >= need) and c + l + rest >= need").select("a", "b")).distinct()
-
-
-def _alpha(percent: int, n: str, m: str) -> str:
-    """The overlap that sets of n and m elements need to link."""
-    return f"ceil({percent} * ({n} + {m}) / {100 + percent}.0)"
+def _compared(percent: int, by: tuple[str, ...]):
+    """Links (u, v) within each group of rows that agree in the columns `by`; rows come sorted by these."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def linked(group: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(group)
+        cls = t.column("cls").to_numpy()
+        probe = t.column("probe").to_numpy(zero_copy_only=False) if "probe" in t.column_names else None
+        # a set that several documents gave is there once
+        once = np.unique(cls if probe is None else np.stack([cls, probe]), return_index=True, axis=-1)[1]
+        once = once[np.argsort(t.column("n").to_numpy()[once], kind="stable")]
+        grams = t.column("grams").to_pylist()
+        sets = [np.frombuffer(grams[i], np.uint64) for i in once.tolist()]
+        found = links_of(cls[once], sets, percent, None if probe is None else t.column("label").to_numpy()[once], None if probe is None else probe[once]) if len(sets) > 1 else []
+        return batch(schema, u=[int(cls[once[i]]) for i, _ in found], v=[int(cls[once[j]]) for _, j in found])
 
-def _beyond(percent: int, n: str) -> str:
-    """Elements of a set beyond its prefix."""
-    return f"(ceil({percent} * {n} / 100.0) - 1)"
+    def run(batches):
+        held, key = [], None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            t = pa.Table.from_batches([rb])
+            cols = [rb.column(c).to_numpy() for c in by]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rb.num_rows]):
+                now = tuple(int(c[a]) for c in cols)
+                if held and now != key:
+                    yield linked(held)
+                    held = []
+                held.append(t.slice(a, b - a))
+                key = now
+        if held:
+            yield linked(held)
+
+    return run, "u long, v long"
+
+
+def _hot(profile: DataFrame, entries: int):
+    """(hot n-grams, how many lists each is dealt over), sorted, at most HOT_TABLE of them."""
+    counted = profile.where("n > 0").select("cls", "n", "prefix").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    rows = counted.where(F.col("c") > max(HOT_LEAST, int(entries / HOT_TABLE))).toArrow()
+    token = rows.column("token").to_numpy().astype(np.uint32)
+    order = np.argsort(token)
+    return token[order], (rows.column("c").to_numpy()[order] // LIST_ROWS + 1).astype(np.int64)
+
+
+def _families(docs: DataFrame, profile: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component): the family of each set that is in one, by its class."""
+    spark = docs.sparkSession
+    entries = int((profile.agg(F.sum(F.length("prefix"))).first()[0] or 0) / 4)
+    hot, salts = map(spark.sparkContext.broadcast, _hot(profile, entries))
+    run, schema = _entries(k, percent, hot, salts)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // PART_ROWS + 1)
+    listed = docs.where("doc_id is not null").mapInArrow(run, schema).repartition(parts, "token", "salt")
+    run, schema = _relations(percent)
+    found = components(listed.mapInArrow(run, schema))
+    hot.destroy()
+    salts.destroy()
+    return found
+
+
+def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): links of classes that join all that link."""
+    spark = docs.sparkSession
+    members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("x")), "cls")
+    size = members.groupBy("x").agg((F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
+    members = stored(members.join(size, "x").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("last") + 1).cast("int")), "members")
+    known = members.agg(F.count("*").alias("c"), F.max("last").alias("last")).first()
+    bits = min(MARK_MOST, max(MARK_LEAST, (16 * known.c).bit_length()))
+    marks = spark.sparkContext.broadcast(_marks(members.select(F.col("rep").alias("id")), bits))
+    run, schema = _fetched(k, marks)
+    found = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("mark")).mapInArrow(run, schema)
+    sets = stored(found.join(members.select("cls", "n", "x", "block", "last"), "cls"), "sets")
+    marks.destroy()
+
+    run, schema = _compared(percent, ("x", "block"))
+    by = ("x", "block")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["cls", "n", "grams", *by]
+    links = stored(sets.select(*columns).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links")
+    if known.last:  # families of several blocks: what is outside the largest component meets the other blocks
+        labels = components(links)
+        wide = members.where("last > 0").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "x", "block", "last", F.coalesce("component", "cls").alias("label"))
+        most = wide.groupBy("x", "label").count().groupBy("x").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
+        wide = wide.join(most, "x").withColumn("outside", F.col("label") != F.col("most")).drop("x", "block", "last", "most")
+        rows = sets.where("last > 0").join(wide, "cls")
+        there = rows.select(*columns, "label", F.lit(False).alias("probe"))
+        sent = rows.where("outside").select("cls", "n", "grams", "x", F.explode(F.filter(F.sequence(F.lit(0), "last"), lambda b: b != F.col("block"))).alias("block"), "label", F.lit(True).alias("probe"))
+        run, schema = _compared(percent, by)
+        links = links.union(stored(there.union(sent).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links"))
+    return links
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -387,62 +395,19 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     set, which links with nothing. Two documents link when 100 * |A & B| >= percent * |A | B|;
     component_id is the smallest doc_id that links reach. Repeated rows give a row each. A row with a
     null doc_id joins the component of an equal set that has an id, and has a null one otherwise.
-    doc_id must name one text: of rows with one doc_id but different texts, links of any of them join
-    the id. Extra columns are ignored. An empty table gives an empty result.
+    doc_id must name one text: rows with one doc_id but different texts are documents of their own
+    here, which carry the same id. Extra columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _profile(k, percent)
     profile = stored(docs.mapInArrow(run, schema), "profile")
+    classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
+    labels = components(_links(docs, classes, _families(docs, profile, k, percent), k, percent))
 
-    counted = profile.where("n > 0").select("cls", "n", "prefix").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    entries_all = profile.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
-    least = max(HOT_LEAST, int(entries_all / HOT_TABLE))
-    hot_rows = counted.where(F.col("c") > least).toArrow()  # at most HOT_TABLE rows by the choice of least
-    tokens = hot_rows.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    hot = sc.broadcast(tokens[order])
-    salts = sc.broadcast((hot_rows.column("c").to_numpy()[order] // LIST_ROWS + 1).astype(np.int64))
-    del hot_rows, tokens, order
-
-    classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
-    run, schema = _entries(k, percent, hot, salts)
-    entries = docs.where("doc_id is not null").mapInArrow(run, schema)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries_all / PART_ROWS) + 1)
-    run, schema = _lists(percent)
-    lists = entries.repartition(parts, "token", "salt").mapInArrow(run, schema)
-    lists = lists.join(classes.drop("sketch"), ["cls", "n"]).join(classes.select(F.col("cls").alias("lcls"), F.col("n").alias("ln"), F.col("rep").alias("lead")), ["lcls", "ln"])
-    lists = stored(lists.select("token", "rep", "n", "pos", "last", "lead", "ln"), "lists")
-    hot.destroy()
-    salts.destroy()
-
-    # round 1: each set and the leader that it meets most often, if it meets it often enough to hope for a link
-    tops = lists.where("rep <> lead").groupBy("rep", "n", "lead", "ln").agg(F.count("*").alias("c"))
-    tops = tops.where(f"2 * c >= {_alpha(percent, 'n', 'ln')} - greatest({_beyond(percent, 'n')}, {_beyond(percent, 'ln')})").groupBy("rep").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m"))
-    verifier = _Verifier(docs, k)
-    known = verifier.overlaps(stored(tops.select(F.col("rep").alias("a"), (-F.col("m.l")).alias("b")), "tops"), "known")
-    links = known.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
-
-    # later rounds: pairs of different components that no bound decides
-    own = known.select(F.col("a").alias("rep"), F.col("b").alias("x"), F.col("o").alias("ox"))
-    sets = stored(_known_sets(classes, labels, own), "known_sets")
-    labelled = stored(_mixed_lists(lists, sets), "mixed")
-    for best in (FIRST, None):
-        if not best:
-            sets = stored(_known_sets(classes, labels, own), "known_sets")
-        pairs = _undecided(labelled, sets, percent, best)
-        pairs = stored(pairs if best else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.take(1):
-            break
-        more = verifier.overlaps(pairs, "more").where(_linked(percent))
-        links = links.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels, done = components(links), pairs
-
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component_id"))
+    joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("root"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = joined.join(least, "root").select("cls", "n", "component_id")
     return profile.select("doc_id", "n", "cls").join(found, ["cls", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
