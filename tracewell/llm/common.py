@@ -48,13 +48,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sums_before(values: Column) -> Column:
-    """For each element of an array of numbers the sum of all before it (long): sums of whole blocks, and of the part of one."""
-    part = lambda b, n: F.aggregate(F.slice(values, b * BLOCK + 1, n), F.lit(0).cast("long"), lambda a, x: a + x)
-    blocks = F.sequence(F.lit(0), ((F.size(values) - 1) / BLOCK).cast("int"))
+def before(values: Column, zero: Column, join) -> Column:
+    """For each element of an array the elements before it joined (an associative function of two), by whole blocks and the part of one."""
+    part = lambda b, n: F.aggregate(F.slice(values, b * BLOCK + 1, n), zero, join)
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.size(values) - 1) / BLOCK).cast("int")))
     whole = F.transform(blocks, lambda b: part(b, F.lit(BLOCK)))
-    before = lambda v: F.transform(v, lambda _, b: F.aggregate(F.slice(v, F.lit(1), b), F.lit(0).cast("long"), lambda a, x: a + x))
-    return let(whole, lambda v: let(before(v), lambda base: F.transform(values, lambda _, i: F.get(base, (i / BLOCK).cast("int")) + part((i / BLOCK).cast("int"), i % BLOCK))))
+    ahead = lambda v: F.transform(v, lambda _, b: F.aggregate(F.slice(v, F.lit(1), b), zero, join))
+    return let(whole, lambda v: let(ahead(v), lambda base: F.transform(values, lambda _, i: join(F.get(base, (i / BLOCK).cast("int")), part((i / BLOCK).cast("int"), i % BLOCK)))))
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an array of numbers the sum of all before it (long)."""
+    return before(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def most_before(values: Column) -> Column:
+    """For each element of an array of integers the largest before it, -1 for the first."""
+    return before(values, F.lit(-1), lambda a, x: F.greatest(a, x))
 
 
 def pieces(text: Column) -> Column:
