@@ -155,24 +155,30 @@ class Usual:
         code = (b[at].astype(np.uint32) << 16) | (b[at + 1].astype(np.uint32) << 8) | b[at + 2]
         return (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS), np.searchsorted(np.cumsum(sizes), at, "right")
 
-    def of(self, texts: list[bytes], langs: np.ndarray) -> np.ndarray:
-        """Mean log share of each text's trigrams in its language, and what chance may take from so many."""
-        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sums of its trigrams' log shares in every language, and how many trigrams it has."""
+        n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.table)))
         for a, b in chunks(texts, TRIGRAM_BYTES):
             ids, owner = self.trigrams(texts[a:b])
             n[a:b] = np.bincount(owner, minlength=b - a)
-            total[a:b] = np.bincount(owner, self.table[langs[a:b][owner], ids], minlength=b - a)
-        return np.where(n > 0, total / np.maximum(n, 1) + self.spread[langs] / np.sqrt(np.maximum(n, 1)), -np.inf)
+            for k, shares in enumerate(self.table):
+                total[a:b, k] = np.bincount(owner, shares[ids], minlength=b - a)
+        return total, n
+
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        """For each text and language the mean log share of the text's trigrams, and what chance may take from so many."""
+        total, n = self.sums(texts)
+        many = np.maximum(n, 1)[:, None]
+        return np.where(n[:, None] > 0, total / many + self.spread / np.sqrt(many), -np.inf)
 
     def calibrate(self, texts: list[str], langs: np.ndarray, seed: int = 7) -> None:
         """Set the limit of each language with the fewest errors over its texts and foreign ones."""
         rnd = np.random.default_rng(seed)
-        mixed = ["".join(rnd.permutation(list(t))) for t in texts]
-        cut = lambda ts: [t.encode("utf-8", "surrogatepass")[:n] for n in (*CUTS, None) for t in ts]
+        mixed = [rnd.permutation(np.frombuffer(t.encode("utf-32-le"), "<u4")).tobytes().decode("utf-32-le") for t in texts]
+        cut = lambda ts: self.of([t.encode("utf-8", "surrogatepass")[:n] for n in (*CUTS, None) for t in ts])
         own, mixed, langs = cut(texts), cut(mixed), np.tile(langs, len(CUTS) + 1)
         for k in range(len(self.limit)):
-            into = np.full(len(own), k)
-            a, other = self.of(own, into), self.of(mixed, into)
+            a, other = own[:, k], mixed[:, k]
             good, bad = np.sort(a[langs == k]), np.sort(np.concatenate([a[langs != k], other]))
             good, bad = good[np.isfinite(good)], bad[np.isfinite(bad)]
             if not len(good) or not len(bad):
@@ -252,7 +258,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = (), on
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 p = np.add.reduceat(p, first, axis=0) / np.add.reduceat(length, first)[:, None]
                 top = p.argmax(1)
-                ok = held[2].of(raw, top) >= held[2].limit[top] if held[2] else np.ones(len(at), bool)
+                ok = held[2].of(raw)[np.arange(len(at)), top] >= held[2].limit[top] if held[2] else np.ones(len(at), bool)
                 for i, row, best in ((at[j], p[j], top[j]) for j in np.flatnonzero(ok)):
                     langs[i], scores[i] = held[0].langs[best], float(min(1.0, row[best]))
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])

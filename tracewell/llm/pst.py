@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import batch, chunks, numbered_words, small_batches, word_hashes
-from tracewell.storage import stored
+from tracewell.storage import shipped, stored
 
 DEPTH = 3
 WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2.5e-7, 1e-5, 1e-6
@@ -176,7 +176,7 @@ def _count_next(tree):
     """Counts of (deepest candidate context, next frequent word)."""
 
     def run(batches):
-        t, total = tree.value, Summed()
+        t, total = tree(), Summed()
         for rb in batches:
             texts = rb.column("text").to_pylist()
             for a, b in chunks(texts):
@@ -200,7 +200,7 @@ def _score(tree, keep: tuple[str, ...]):
     def run(batches):
         from pyspark import TaskContext
 
-        t, uid = tree.value, TaskContext.get().partitionId() << 33
+        t, uid = tree(), TaskContext.get().partitionId() << 33
         for rb in batches:
             texts = rb.column("text").to_pylist()
             for a, b in chunks(texts):
@@ -231,7 +231,6 @@ def _score(tree, keep: tuple[str, ...]):
 
 def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of all texts of docs, and the table (key, c) of the counts of all tokens by hash."""
-    sc = docs.sparkSession.sparkContext
     texts = docs.select("text")
     words = stored(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -250,7 +249,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
             break
         tree.grow(code[good], seen[good])
         suffixes = suffixes[good]
-        counted = texts.mapInArrow(_count_next(sc.broadcast(tree)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        counted = texts.mapInArrow(_count_next(shipped(docs.sparkSession, tree)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
         pairs = counted.where(F.col("c") >= max(2, total * PAIR_SHARE)).toArrow()
         key, c = pairs.column("key").to_numpy(), pairs.column("c").to_numpy()
         order = np.argsort(key)
@@ -271,7 +270,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
 
 def score(docs: DataFrame, tree: Tree, words: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """docs' columns `keep` with n_tokens, n_known, train_tokens, base_score and score of every row's whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared = shipped(docs.sparkSession, tree)
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     rows = docs.select(*keep, "text").mapInArrow(_score(shared, keep), f"{schema}uid long, n_tokens long, n_known long, base double, score double, rare array<long>")
     rows = stored(rows, "scored")
