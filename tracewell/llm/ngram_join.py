@@ -186,11 +186,12 @@ def _relations(percent: int):
             a, b = starts[at], starts[at] + sizes[at]
             keep[a:b] = _able(n[a:b], reach[a:b], percent)
         token, salt, cls, n = (x[keep] for x in (token, salt, cls, n))
-        # neighbours by size in a list; sets between two that may link are each as near in size
-        next_ = np.flatnonzero(same(token, salt) & np.concatenate(([False], n[:-1] * 100 >= percent * n[1:])))
-        u, v = [cls[next_]], [cls[next_ - 1]]
+        # runs of neighbours by size in a list (sets between two that may link are each as near in size); the first of a run stands for it
+        follows = same(token, salt) & np.concatenate(([False], n[:-1] * 100 >= percent * n[1:])) if len(token) else np.zeros(0, bool)
+        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(token))))
+        u, v = [cls[follows]], [cls[first[follows]]]
         # parts of a salted list meet at a node of the n-gram's own
-        heads = np.setdiff1d(np.flatnonzero(salt > 0), next_)
+        heads = np.flatnonzero(~follows & (salt > 0))
         u.append(cls[heads])
         v.append(token[heads] ^ np.int64(0x5851F42D4C957F2D))
         pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
@@ -295,7 +296,7 @@ def links_of(cls: np.ndarray, sets: list[np.ndarray], percent: int, label: np.nd
 
 
 def _compared(percent: int, by: tuple[str, ...]):
-    """Links (u, v) within each group of rows that agree in the columns `by`; rows come sorted by these."""
+    """(u, v) of each set that links join to a smaller one, the smallest of its component, within each group of rows that agree in `by`; rows come sorted by these."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def linked(group: list[pa.Table]) -> pa.RecordBatch:
@@ -308,7 +309,18 @@ def _compared(percent: int, by: tuple[str, ...]):
         grams = t.column("grams").to_pylist()
         sets = [np.frombuffer(grams[i], np.uint64) for i in once.tolist()]
         found = links_of(cls[once], sets, percent, None if probe is None else t.column("label").to_numpy()[once], None if probe is None else probe[once]) if len(sets) > 1 else []
-        return batch(schema, u=[int(cls[once[i]]) for i, _ in found], v=[int(cls[once[j]]) for _, j in found])
+        least = {}
+
+        def root(i: int) -> int:
+            while i in least:
+                i = least[i]
+            return i
+
+        for i, j in found:
+            a, b = root(int(cls[once[i]])), root(int(cls[once[j]]))
+            if a != b:
+                least[max(a, b)] = min(a, b)
+        return batch(schema, u=list(least), v=[root(i) for i in least])
 
     def run(batches):
         held, key = [], None
@@ -355,8 +367,8 @@ def _families(docs: DataFrame, profile: DataFrame, k: int, percent: int) -> Data
     return found
 
 
-def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): links of classes that join all that link."""
+def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of each class that links join to another; a component's first class may be left out."""
     spark = docs.sparkSession
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("x")), "cls")
     size = members.groupBy("x").agg((F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -383,8 +395,8 @@ def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, per
         there = rows.select(*columns, "label", F.lit(False).alias("probe"))
         sent = rows.where("outside").select("cls", "n", "grams", "x", F.explode(F.filter(F.sequence(F.lit(0), "last"), lambda b: b != F.col("block"))).alias("block"), "label", F.lit(True).alias("probe"))
         run, schema = _compared(percent, by)
-        links = links.union(stored(there.union(sent).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links"))
-    return links
+        return components(links.union(there.union(sent).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema)))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -403,7 +415,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     run, schema = _profile(k, percent)
     profile = stored(docs.mapInArrow(run, schema), "profile")
     classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    labels = components(_links(docs, classes, _families(docs, profile, k, percent), k, percent))
+    labels = _labels(docs, classes, _families(docs, profile, k, percent), k, percent)
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
