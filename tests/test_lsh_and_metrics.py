@@ -1,10 +1,11 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import learned, lsh, metrics as Q
+from tracewell.operators import learned, lsh, metrics as Q, stats
 from tracewell.sources import io
 
 
@@ -70,7 +71,7 @@ def test_minhash_of_equal_sets_is_equal(spark):
     perms = lsh.permutations(16)
     assert got[0] == [min((a * x + b) % lsh.MINHASH_PRIME for x in (3, 9)) for a, b in perms]
     bits = lsh.minhash_bits(lsh.minhash(ranked, 16)).where("id = 0").first().h
-    assert [int("".join(map(str, bits[16 * i : 16 * i + 16])), 2) for i in range(16)] == got[0]
+    assert [int("".join(map(str, bits[16 * i : 16 * i + 16])), 2) for i in range(16)] == [v % 65536 for v in got[0]]
 
 
 def test_towers_learn_and_travel(spark, tmp_path):
@@ -115,3 +116,26 @@ def test_csv_keeps_newlines_and_quotes(spark, tmp_path):
     rows = [(1, 'a\n"b", c'), (2, ""), (3, " x "), (4, None)]
     io.write_csv(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "t"))
     assert sorted((r.id, r.text) for r in io.read_csv(spark, str(tmp_path / "t"), "id long, text string").collect()) == rows
+
+
+def test_permutations_keep_ranks_beyond_sixteen_bits_apart(spark):
+    ranked = spark.createDataFrame([(0, 5), (1, 5 + 65521), (2, 5 + 2 * 65521)], "id long, rank long")
+    sigs = [tuple(r.sig) for r in lsh.minhash(ranked, 16).collect()]
+    assert all(len({s[k] for s in sigs}) == 3 for k in range(16))
+
+
+def test_average_ranks_over_range_partitions(spark):
+    rnd = np.random.default_rng(3)
+    v = [float(x) for x in rnd.integers(0, 300, 3000)]
+    got = {r.v: r.rank_v for r in stats.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v").collect()}
+    assert got == pd.Series(v).rank().groupby(np.array(v)).first().to_dict()
+
+
+def test_slot_lookup_against_a_loop(spark):
+    rnd = np.random.default_rng(4)
+    code = lambda n: [[int(x) for x in np.repeat(rnd.integers(0, 2, 8), 8)] for _ in range(n)]
+    asked, held = code(6), code(9)
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, code array<int>")
+    got = {(r.q, r.nn): r.agree for r in lsh.slot_lookup(frame(asked), frame(held), 5).collect()}
+    same = {(q, n): sum(a[8 * s : 8 * s + 8] == b[8 * s : 8 * s + 8] for s in range(8)) for q, a in enumerate(asked) for n, b in enumerate(held)}
+    assert got == {k: n for k, n in same.items() if n >= 5}

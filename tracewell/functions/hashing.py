@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 # The 64-bit FNV-1a offset basis as two 32-bit halves, and its prime 2**40 + 435.
@@ -28,7 +26,7 @@ def fnv1a64(text: Column) -> Column:
 
 def bits(hash64: Column) -> Column:
     """The 64 bits of a struct (hi, lo), most significant first."""
-    part = lambda v: F.transform(F.sequence(F.lit(31), F.lit(0)), lambda i: F.pmod(F.floor(v / F.pow(F.lit(2.0), i)), F.lit(2)).cast("int"))
+    part = lambda v: F.array(*(F.shiftright(v, 31 - i).bitwiseAND(F.lit(1)).cast("int") for i in range(32)))
     return F.concat(part(hash64["hi"]), part(hash64["lo"]))
 
 
@@ -37,17 +35,22 @@ def binarized(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(x > 0, 1).otherwise(-1))
 
 
+def _row_start(n: Column, a: Column) -> Column:
+    """Place of the pair (a, a + 1): one of the two factors is even, so the halving is exact."""
+    return F.shiftright((2 * n - (a + 1)) * a.cast("long"), 1)
+
+
 def pair_index(n: Column | int, a: Column, b: Column) -> Column:
     """Place of the pair a < b in the flattened upper triangle of n rows."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.expr("0").cast("long") + ((2 * n - (a + 1)) * a / 2).cast("long") + b - a - 1
+    n = (F.lit(n) if isinstance(n, int) else n).cast("long")
+    return _row_start(n, a) + b - a - 1
 
 
 def pair_of_index(n: Column | int, x: Column) -> Column:
     """The pair (a, b) at place x of the flattened upper triangle, as a struct."""
-    n = (F.lit(n) if isinstance(n, int) else n).cast("double")
+    n = (F.lit(n) if isinstance(n, int) else n).cast("long")
     root = F.floor(n - 0.5 - F.sqrt((n - 0.5) * (n - 0.5) - 2 * x)).cast("long")
-    start = lambda a: ((2 * n.cast("long") - (a + 1)) * a / 2).cast("long")
+    start = lambda a: _row_start(n, a)
     # the root may be one off where the square root was rounded
     a = F.when(start(root) > x, root - 1).when(start(root + 1) <= x, root + 1).otherwise(root)
     return F.struct(a.alias("a"), (x - start(a) + a + 1).cast("long").alias("b"))
@@ -55,7 +58,7 @@ def pair_of_index(n: Column | int, x: Column) -> Column:
 
 def band_grid(m: int) -> list[tuple[int, int]]:
     """(L, K) from (1, m) by doubling L, as long as L divides into m bits."""
-    return [(2**i, int(m / 2**i)) for i in range(int(math.log2(m)) + 1)]
+    return [(1 << i, m >> i) for i in range(m.bit_length())]
 
 
 def collision(s: Column, bands: Column | int, width: Column | int) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions import hashing as H
 
-#: Fixed value: the prime below 2**16 by which the MinHash permutations count.
-MINHASH_PRIME = 65521
+#: The prime by which the MinHash permutations count: ranks up to it get places of their own, and a product fits a long.
+MINHASH_PRIME = 2**31 - 1
 SLOTS, SLOT_BITS = 8, 8
 
 
@@ -69,18 +69,18 @@ def without_candidates(queries: DataFrame, found: DataFrame) -> DataFrame:
 
 def permutations(count: int, seed: int = 1) -> list[tuple[int, int]]:
     """(a, b) of the permutations r -> (a r + b) mod MINHASH_PRIME."""
-    return [((seed * 7919 + 104729 * (k + 1)) % (MINHASH_PRIME - 1) + 1, (seed * 31 + 15485863 * (k + 1)) % MINHASH_PRIME) for k in range(count)]
+    return [((seed * 7919 + 1103515245 * (k + 1)) % (MINHASH_PRIME - 1) + 1, (seed * 31 + 1140671485 * (k + 1)) % MINHASH_PRIME) for k in range(count)]
 
 
 def minhash(ranked: DataFrame, count: int = 64, seed: int = 1) -> DataFrame:
     """(id, sig) of rows (id, rank): for each permutation the smallest place of a term; ids without terms have no row."""
-    places = [F.min((F.lit(a) * F.col("rank") + b) % MINHASH_PRIME).cast("int").alias(f"m{k}") for k, (a, b) in enumerate(permutations(count, seed))]
+    places = [F.min((F.lit(a).cast("long") * F.col("rank") + b) % MINHASH_PRIME).cast("int").alias(f"m{k}") for k, (a, b) in enumerate(permutations(count, seed))]
     return ranked.groupBy("id").agg(*places).select("id", F.array(*(f"m{k}" for k in range(count))).alias("sig"))
 
 
 def minhash_bits(signatures: DataFrame) -> DataFrame:
-    """(id, h): signatures as bits, 16 a value, most significant first."""
-    each = F.transform("sig", lambda v: F.transform(F.sequence(F.lit(15), F.lit(0)), lambda i: F.pmod(F.floor(v / F.pow(F.lit(2.0), i)), F.lit(2)).cast("int")))
+    """(id, h): signatures as bits, the low 16 of each value, most significant first."""
+    each = F.transform("sig", lambda v: F.array(*(F.shiftright(v, 15 - i).bitwiseAND(F.lit(1)) for i in range(16))))
     return signatures.select("id", F.flatten(each).alias("h"))
 
 
@@ -108,6 +108,12 @@ def agreeing_slots(codes: DataFrame) -> DataFrame:
     return s.select(F.col("id").alias("q"), "slot", "val").join(s.select(F.col("id").alias("nn"), "slot", "val"), ["slot", "val"]).where("q <> nn").groupBy("q", "nn").agg(F.count("*").cast("int").alias("agree"))
 
 
+def slot_lookup(queries: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """(q, nn, agree): for codes of queries the held codes that agree with them in `least` slots or more."""
+    hits = slots(queries).withColumnRenamed("id", "q").join(slots(held).withColumnRenamed("id", "nn"), ["slot", "val"])
+    return hits.groupBy("q", "nn").agg(F.count("*").cast("int").alias("agree")).where(F.col("agree") >= least)
+
+
 def slot_grid() -> list[tuple[int, int, int]]:
     """(c, bands, width) of the slot combinations, most slots first."""
     return [(c, math.comb(SLOTS, c), SLOT_BITS * c) for c in range(SLOTS, 0, -1)]

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracewell.storage import stored
+
 
 def histogram(values: DataFrame, column: str, bins: int = 30, above: float | None = None) -> DataFrame:
     """(bin, low, high, n): equal bins between the extremes, the last one closed; values above a threshold only, if given."""
@@ -34,10 +36,17 @@ def spearman(values: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
-    """(column, rank_column) of each distinct value: the mean of the places that it takes in the sorted order."""
-    counts = values.groupBy(column).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(column, (before + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
+    """(column, rank_column) of each distinct value: the mean of the places that it takes in the sorted order.
+
+    Values are range-partitioned; one window runs inside the partitions and one over their sums.
+    """
+    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    spread = stored(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")), "ranks")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy("part").agg(F.sum("n").alias("many"))
+    earlier = sums.select("part", F.coalesce(F.sum("many").over(ahead(Window.orderBy("part"))), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n").over(ahead(Window.partitionBy("part").orderBy("v"))), F.lit(0))
+    return spread.join(F.broadcast(earlier), "part").select(F.col("v").alias(column), (F.col("earlier") + inside + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
 
 
 def _inversions(v: np.ndarray, block: int = 64) -> int:

@@ -459,7 +459,7 @@ def minhash_signature(spark, sf):
     return lsh.minhash(_ranked(cat)).select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), " ").alias("sig"))
 
 
-@query(f"""WITH {S.CAT}, {S.BAG}, {S.MINHASH}, b AS (SELECT id, t.b AS band, array_to_string(list_slice(sig, t.b * 8 + 1, t.b * 8 + 8), ',') AS key FROM minhash, (SELECT unnest(range(8)) AS b) t)
+@query(f"""WITH {S.CAT}, {S.BAG}, {S.MINHASH}, b AS (SELECT id, t.b AS band, array_to_string(list_transform(list_slice(sig, t.b * 8 + 1, t.b * 8 + 8), lambda x: x % 65536), ',') AS key FROM minhash, (SELECT unnest(range(8)) AS b) t)
 SELECT DISTINCT x.id AS q, y.id AS nn FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id <> y.id""")
 def minhash_candidates(spark, sf):
     cat, _ = kept(traces(spark, sf))
@@ -477,7 +477,7 @@ def _min_found(spark, sf):
     return found, real, grid, cat.select(F.col("id").alias("q"))
 
 
-_MIN = f"""{S.CAT}, {S.BAG}, {S.MINHASH}, emb AS (SELECT id, list_transform(sig, lambda x: lpad(CAST(x AS VARCHAR), 5, '0')) AS h FROM minhash),
+_MIN = f"""{S.CAT}, {S.BAG}, {S.MINHASH}, emb AS (SELECT id, list_transform(sig, lambda x: lpad(CAST(x % 65536 AS VARCHAR), 5, '0')) AS h FROM minhash),
 {S.band_cte('VALUES ' + ', '.join(str((g, n, k)) for g, (n, k) in enumerate(GRID)))}, {S.CAND}, pair AS (SELECT * FROM ({ORACLE_SQL['sim_jaccard']}) WHERE sim IS NOT NULL),
 sim AS (SELECT i AS q, j AS nn, sim AS s FROM pair UNION ALL SELECT j, i, sim FROM pair), {S.FOUND}, asked AS (SELECT id AS q FROM cat)"""
 
@@ -596,6 +596,75 @@ def simhash_recall_cascade(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).withColumn("recall", rounded("recall"))
 
 
+#: Forms of terms besides counts of frames: (terms of a catalog of n texts as (id, term, w), their SQL and its table and weight, the measure's SQL).
+_FORMS = {
+    "bigram": (lambda cat, n: X.bag_of_bigrams(cat).withColumn("w", F.col("n").cast("double")).drop("n"), S.BIGRAMS, "bigrams", "n", "sim_cosine_bigram"),
+    "tfidf": (lambda cat, n: X.tfidf(X.bag_of_frames(cat), n, scale=5.0), f"{S.BAG}, {S.TFIDF}", "tfidf", "5.0::DOUBLE * w", "sim_tfidf"),
+}
+
+
+def _register_form(form: str) -> None:
+    """SimHash over bigrams, or over TF-IDF at five times its length: codes, pairs that agree in three slots, recall at k."""
+    terms, parts, name, w, measure = _FORMS[form]
+    codes_sql = f"{S.CAT}, {parts}, {S.fnv_of(name)}, {S.simhash_of(name, w)}"
+
+    def weighted(spark, sf):
+        cat, n = kept(traces(spark, sf))
+        weights = stored(terms(cat, n), "weights")
+        return weights, n, stored(lsh.simhash(weights), "codes")
+
+    def codes(spark, sf):
+        return weighted(spark, sf)[2].select("id", F.array_join(F.transform("code", lambda x: x.cast("string")), "").alias("code"))
+
+    def pairs(spark, sf):
+        return lsh.agreeing_slots(weighted(spark, sf)[2]).where("agree >= 3").select("q", "nn")
+
+    def recall(spark, sf):
+        weights, n, hashes = weighted(spark, sf)
+        real = P.symmetric(stored(_sim(M.cosine(weights, n)).where("sim is not null"), "pairs"), "sim")
+        found = stored(Q.scored(lsh.slot_candidates(hashes), real), "found")
+        grid = spark.createDataFrame([(g, m, k) for g, (_, m, k) in enumerate(lsh.slot_grid())], "g int, bands int, width int")
+        each = [Q.recall_at_k(found, real, grid, k) for k in (1, 3, 5)]
+        return each[0].union(each[1]).union(each[2]).withColumn("recall", rounded("recall"))
+
+    slots = f"{codes_sql}, {S.AGREE}, {S.slot_found(lsh.slot_grid(), ORACLE_SQL[measure])}"
+    for f, label, sql in (
+        (codes, "codes", f"WITH {codes_sql} SELECT id, array_to_string(code, '') AS code FROM simhash"),
+        (pairs, "candidates_c3", f"WITH {codes_sql}, {S.AGREE} SELECT q, nn FROM agree WHERE c >= 3"),
+        (recall, "recall_at_k", f"WITH {slots} {S.recall_one((1, 3, 5))}"),
+    ):
+        f.__name__ = f"simhash_{form}_{label}"
+        query(sql)(f)
+
+
+for _form in _FORMS:
+    _register_form(_form)
+
+
+# ---- lookup of traces from outside the catalog
+
+
+#: Rows of the query workload, an operator of its own.
+WORKLOAD = 100_000
+
+
+@query(f"""WITH {S.CAT}, {S.BAG}, {S.FNV}, {S.SIMHASH},
+asked AS (SELECT doc_id AS id, replace(replace(text, chr(13), ''), chr(10) || 'a', chr(10)) AS text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT {WORKLOAD}),
+terms AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({S.tokens('text')}) AS term FROM asked) WHERE term IN (SELECT term FROM bag) GROUP BY ALL),
+{S.simhash_of('terms', 'n', 'probe')},
+held AS (SELECT id, t.b AS slot, array_to_string(list_slice(code, t.b * 8 + 1, t.b * 8 + 8), '') AS val FROM simhash, (SELECT unnest(range(8)) AS b) t),
+probes AS (SELECT id, t.b AS slot, array_to_string(list_slice(code, t.b * 8 + 1, t.b * 8 + 8), '') AS val FROM probe, (SELECT unnest(range(8)) AS b) t)
+SELECT p.id AS q, h.id AS nn, CAST(count(*) AS INTEGER) AS agree FROM probes p JOIN held h USING (slot, val) GROUP BY ALL HAVING count(*) >= 4""")
+def workload_lookup(spark, sf):
+    """A limited workload of raw traces: cleaned, counted in the catalog's terms, hashed, looked up in the catalog's slots."""
+    cat, _ = kept(traces(spark, sf))
+    counts = stored(X.bag_of_frames(cat), "counts")
+    asked = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), T.clean_trace(F.col("text")).alias("text")).orderBy("id").limit(WORKLOAD)
+    seen = X.transform_counts(X.bag_of_frames(asked), counts)
+    hashes = [lsh.simhash(c.withColumn("w", F.col("n").cast("double"))) for c in (seen, counts)]
+    return lsh.slot_lookup(*hashes, least=4)
+
+
 # ---- learned hashes, storage, streams
 
 

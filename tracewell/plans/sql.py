@@ -155,10 +155,17 @@ round(quantile_cont(value, 0.75), 9) + 0.0 AS three_quarters, round(quantile_con
 # ---- MinHash and SimHash
 
 MINHASH = """ranked AS (SELECT DISTINCT id, rank FROM bag JOIN (SELECT term, row_number() OVER (ORDER BY term) AS rank FROM (SELECT DISTINCT term FROM bag)) USING (term)),
-minhash AS (SELECT id, list(m ORDER BY k) AS sig FROM (SELECT id, k, min((((7919 + 104729 * (k + 1)) % 65520 + 1) * rank + (31 + 15485863 * (k + 1)) % 65521) % 65521) AS m FROM ranked, range(64) t(k) GROUP BY id, k) GROUP BY id)"""
-FNV = """fnv AS (SELECT term, list_reduce(list_transform(string_split(term, ''), lambda c: ord(c)::HUGEINT), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM (SELECT DISTINCT term FROM bag))"""
-SIMHASH = """simhash AS (SELECT id, list(CASE WHEN s > 0 THEN 1 ELSE 0 END ORDER BY k) AS code FROM (
-    SELECT id, k, sum(CASE WHEN (h >> (63 - k)::INTEGER) & 1 = 1 THEN n ELSE -1 END) AS s FROM bag JOIN fnv USING (term), range(64) t(k) GROUP BY id, k) GROUP BY id)"""
+minhash AS (SELECT id, list(m ORDER BY k) AS sig FROM (SELECT id, k, min((((7919 + 1103515245 * (k + 1)) % 2147483646 + 1) * rank + (31 + 1140671485 * (k + 1)) % 2147483647) % 2147483647) AS m FROM ranked, range(64) t(k) GROUP BY id, k) GROUP BY id)"""
+def fnv_of(name: str) -> str:
+    return f"""fnv AS (SELECT term, list_reduce(list_transform(string_split(term, ''), lambda c: ord(c)::HUGEINT), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM (SELECT DISTINCT term FROM {name}))"""
+
+
+def simhash_of(name: str, w: str, to: str = "simhash") -> str:
+    return f"""{to} AS (SELECT id, list(CASE WHEN s > 0 THEN 1 ELSE 0 END ORDER BY k) AS code FROM (
+    SELECT id, k, sum(CASE WHEN (h >> (63 - k)::INTEGER) & 1 = 1 THEN {w} ELSE -1 END) AS s FROM {name} JOIN fnv USING (term), range(64) t(k) GROUP BY id, k) GROUP BY id)"""
+
+
+FNV, SIMHASH = fnv_of("bag"), simhash_of("bag", "n")
 AGREE = """slots AS (SELECT id, t.b AS slot, array_to_string(list_slice(code, t.b * 8 + 1, t.b * 8 + 8), '') AS val FROM simhash, (SELECT unnest(range(8)) AS b) t),
 agree AS (SELECT x.id AS q, y.id AS nn, count(*) AS c FROM slots x JOIN slots y ON x.slot = y.slot AND x.val = y.val AND x.id <> y.id GROUP BY ALL)"""
 

@@ -29,8 +29,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(banded: DataFrame, path: str) -> None:
-    """A bucket table (id, band, key), a folder a band, so that a lookup in some bands reads no others."""
-    banded.repartition("band").sortWithinPartitions("key").write.mode("overwrite").partitionBy("band").parquet(path)
+    """A bucket table (id, band, key), a folder a band, so that a lookup in some bands reads no others.
+
+    Ranges of (band, key, id) are written by tasks of their own, so that neither a band nor a hot key is one task.
+    """
+    banded.repartitionByRange("band", "key", "id").sortWithinPartitions("band", "key").write.mode("overwrite").partitionBy("band").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
