@@ -79,6 +79,21 @@ QUERIES = {f.__name__: f for f in (
     op8_exact_top_k, op9_chat_formatting, op10_ann,
 )}
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+        class AS (SELECT s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+        gram AS (SELECT rep, len(s) AS n, unnest(s) AS gram FROM class),
+        link AS (
+            SELECT a.rep AS u, b.rep AS v FROM gram a JOIN gram b ON a.gram = b.gram AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+            GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT rep, rep AS other FROM class UNION SELECT reach.rep, v FROM reach JOIN link ON u = other),
+        root AS (SELECT rep, min(other) AS component_id FROM reach GROUP BY rep)
+        SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+        FROM s LEFT JOIN class ON class.s = s.s LEFT JOIN root ON root.rep = class.rep""",
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS y FROM embeddings
