@@ -10,12 +10,19 @@ of the longest retained suffix of the words before it.
 Shares bound everything that is broadcast: at most 1 / WORD_SHARE words, 1 / CONTEXT_SHARE contexts
 and 1 / PAIR_SHARE next words at each depth, whatever the corpus. All other words keep exact counts
 too: they meet the table of counts in a join, by 64-bit hashes.
+
+Contexts of DEPTH words below the share are candidates as well, from LEAST occurrences on, however
+large the corpus: they are never broadcast. Every place with such a context goes, packed, to the task
+that counts its context, which applies the same divergence test and the same smoothing (over the
+probability by the broadcast tree, sent with the place) and sends back what each text gains. So what
+is gathered grows with the corpus. A context in one task holds less than CONTEXT_SHARE of the training.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import batch, chunks, numbered_words, small_batches, word_hashes
@@ -29,6 +36,12 @@ STRENGTH = 4.0
 GAIN, GAIN_PER_WORD = 6.0, 2.0
 #: Keys that a task holds before it hands their counts on.
 HELD = 1_500_000
+#: Occurrences from which on a context of DEPTH words, and a next word in it, can be kept whatever their share.
+LEAST = 2
+#: Places that a task packs at a time, and training tokens for each task that counts contexts.
+PACKED, COUNTED = 2_000_000, 2_400_000
+#: Bits of a context's hash inside its task, and the fixed point of negative logarithms.
+SLOT_BITS, FIXED = 36, 1000
 #: Stands for the end of a text; no word is empty.
 END = b""
 
@@ -194,15 +207,136 @@ def _count_next(tree):
     return run
 
 
-def _score(tree, keep: tuple[str, ...]):
-    schema = pa.schema([("uid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of integers, byte by byte, which compresses better."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+    return out.view("<u8").ravel()
+
+
+def _context_hashes(h: np.ndarray) -> np.ndarray:
+    """For each token the hash of the DEPTH tokens before it, given the tokens' hashes; the first DEPTH are meaningless."""
+    key = np.zeros(len(h), np.uint64)
+    for back in range(DEPTH, 0, -1):
+        x = (key ^ np.roll(h, back)) * np.uint64(0x9E3779B97F4A7C15)
+        key = x ^ (x >> np.uint64(29))
+    return (key * np.uint64(0xBF58476D1CE4E5B9)) ^ (key >> np.uint64(32))
+
+
+class Places:
+    """Places in texts whose contexts are counted elsewhere, until they are packed: a context's hash, the next word
+    (0 if it is not frequent), the text and the probability so far."""
+
+    def __init__(self, tasks: int):
+        self.tasks, self.parts, self.size, self.uids, self.learned = tasks, [], 0, [], []
+
+    def add(self, uids: np.ndarray, learned: np.ndarray, key: np.ndarray, word: np.ndarray, text: np.ndarray, low: np.ndarray) -> None:
+        docs = sum(map(len, self.uids))
+        self.parts.append((key, word.astype(np.uint16), (text + docs).astype(np.int32), low.astype(np.uint16)))
+        self.size += len(key)
+        self.uids.append(uids)
+        self.learned.append(learned)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= PACKED or sum(map(len, self.uids)) > 50_000
+
+    def packed(self):
+        """(task, places, size unpacked, blob) for each task that counts some of them; nothing is held afterwards."""
+        if self.size:
+            key, word, text, low = (np.concatenate(x) for x in zip(*self.parts))
+            uids, learned = np.concatenate(self.uids), np.concatenate(self.learned)
+            task = ((key >> np.uint64(32)) * np.uint64(self.tasks)) >> np.uint64(32)
+            slot = key & np.uint64((1 << SLOT_BITS) - 1)
+            order = np.lexsort((slot, task))
+            cuts = np.searchsorted(task[order], np.arange(self.tasks + 1, dtype=np.uint64))
+            for t in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[t] : cuts[t + 1]]
+                docs, local = np.unique(text[at], return_inverse=True)
+                gaps = np.diff(slot[at], prepend=np.uint64(0))
+                raw = b"".join([_planes(gaps, 5), _planes(word[at], 2), _planes(local, 2), _planes(low[at], 2), uids[docs].tobytes(), learned[docs].tobytes()])
+                yield t, len(at), len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+        self.parts, self.size, self.uids, self.learned = [], 0, [], []
+
+
+def _unpacked(n: int, size: int, blob: bytes):
+    """(slots, words, texts, probabilities in fixed point, uids, learned) of a blob."""
+    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
+    docs = (size - 11 * n) // 9
+    slot = np.cumsum(_from_planes(raw, 0, n, 5))
+    word, text, low = (_from_planes(raw, at * n, n, 2) for at in (5, 7, 9))
+    return slot, word, text, low, np.frombuffer(raw, np.int64, docs, 11 * n), np.frombuffer(raw, bool, docs, 11 * n + 8 * docs)
+
+
+def gains(code: np.ndarray, low: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    """What each place adds to the log10 probability of its text by the states of its context.
+
+    code: context << 16 | next word; low: -ln of the probability so far, in fixed point; learned: places of training texts.
+    """
+    out = np.zeros(len(code))
+    if not len(code):
+        return out
+    order = np.argsort(code)
+    first = lambda x: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    starts = first(code[order])
+    pair = code[order][starts]
+    c = np.add.reduceat(learned[order].astype(np.int64), starts)
+    p = np.exp(np.minimum.reduceat(low[order], starts) / -float(FIXED))
+    heads = first(pair >> np.uint64(16))
+    context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair))))
+    seen = np.add.reduceat(c, heads)
+    kept = (c >= LEAST) & ((pair & np.uint64(65535)) != 0)
+    at, held, q = context[kept], c[kept], p[kept]
+    total = lambda v=None: np.bincount(at, v, len(heads)).astype(np.float64)
+    other, left = seen - total(held), np.maximum(1 - total(q), 1e-12)
+    gain = total(held * np.log(held / (seen[at] * q)))
+    gain += np.where(other > 0, other * np.log(np.maximum(other, 1e-300) / (np.maximum(seen, 1) * left)), 0)
+    state = (total() > 0) & (gain >= GAIN + GAIN_PER_WORD * total())
+    rest = np.log10(np.maximum(other + STRENGTH * left, 1e-300) / ((seen + STRENGTH) * left))
+    more = rest[context]
+    more[kept] = np.log10((held + STRENGTH * q) / ((seen[at] + STRENGTH) * q))
+    more[~state[context]] = 0
+    out[order] = np.repeat(more, np.diff(np.append(starts, len(code))))
+    return out
+
+
+_TEXT = pa.schema([("uid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+_SENT = pa.schema([("task", pa.int32()), ("flush", pa.int64()), ("places", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())])
+_GAINED = pa.schema([("flush", pa.int64()), ("uids", pa.list_(pa.int64())), ("gains", pa.list_(pa.float32()))])
+
+
+def _joined(n: int, *parts) -> pa.RecordBatch:
+    """One batch of n rows from record batches, and of schemas whose columns are null there."""
+    names, arrays = [], []
+    for x in parts:
+        names += x.schema.names if isinstance(x, pa.RecordBatch) else x.names
+        arrays += x.columns if isinstance(x, pa.RecordBatch) else [pa.nulls(n, f.type) for f in x]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _score(tree, keep: tuple[str, ...], held_out: str, tasks: int):
+    """Rows of texts by the broadcast tree, and rows of packed places for each task that counts contexts."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        t, uid = tree(), TaskContext.get().partitionId() << 33
+        t, seed, flush, places = tree(), TaskContext.get().partitionId(), 0, Places(tasks)
+        kinds = None
+
+        def sent():
+            nonlocal flush
+            for task, n, size, blob in places.packed():
+                one = batch(_SENT, task=[task], flush=[(seed << 32) + flush], places=[n], size=[size], blob=[blob])
+                yield _joined(1, kinds, _TEXT, one)
+            flush += 1
+
         for rb in batches:
             texts = rb.column("text").to_pylist()
+            kinds = pa.schema([rb.schema.field(c) for c in keep])
             for a, b in chunks(texts):
                 h, numbers, counts = _tokens(texts[a:b])
                 ids = _lookup(t.words, h)[numbers]
@@ -212,8 +346,9 @@ def _score(tree, keep: tuple[str, ...]):
                 p0 = np.ones(len(ids))
                 if known.any():
                     p0[known] = (t.counts[ids[known]] + 0.5) / t.norm
-                p = p0
-                for d, context in enumerate(t.contexts(ids, starts)):
+                p, last = p0, np.full(len(ids), -1)
+                found = t.contexts(ids, starts)
+                for d, context in enumerate(found):
                     last = np.full(len(ids), -1)
                     last[1:] = context[:-1]
                     last[starts] = -1
@@ -222,13 +357,66 @@ def _score(tree, keep: tuple[str, ...]):
                 rare = h[numbers[~known]]
                 left = add((~known).astype(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), pa.array(rare, pa.int64()))
-                out = batch(schema, uid=uid + np.arange(b - a), n_tokens=counts, n_known=add(known.astype(np.int64)), base=add(np.log10(p0)), score=add(np.log10(p)), rare=lists)
-                uid += b - a
-                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in keep), *out.columns], names=[*keep, *schema.names])
+                # equal texts of a partition share their uid; it is the same when the partition is read again
+                uid = np.fromiter((xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass"), seed) for x in texts[a:b]), np.uint64, b - a).view(np.int64)
+                out = batch(_TEXT, uid=uid, n_tokens=counts, n_known=add(known.astype(np.int64)), base=add(np.log10(p0)), score=add(np.log10(p)), rare=lists)
+                # places with DEPTH words before them, in contexts that the tree doesn't hold
+                owner = np.repeat(np.arange(b - a), counts)
+                far = np.arange(len(ids)) - starts[owner] >= DEPTH
+                at = np.flatnonzero(far & (last < 0) if len(found) == DEPTH else far)
+                hashes = h.view(np.uint64)[numbers]
+                low = np.minimum(np.rint(-np.log(p[at]) * FIXED), 65535)
+                word = np.where(known[at], 1 + hashes[at] % np.uint64(65535), 0)
+                learned = ~rb.column(held_out).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                places.add(uid, learned, _context_hashes(hashes)[at], word, owner[at], low)
+                rows = pa.RecordBatch.from_arrays([rb.column(c).slice(a, b - a) for c in keep], schema=kinds)
+                # a text's row goes to any of the tasks, by its uid
+                to = (uid.view(np.uint64) % np.uint64(tasks)).astype(np.int32)
+                yield _joined(b - a, rows, out, batch(pa.schema([_SENT.field("task")]), task=to), pa.schema(list(_SENT)[1:]))
+                if places.full:
+                    yield from sent()
+        yield from sent()
 
     return run
 
 
+def _count_contexts(keep: tuple[str, ...]):
+    """Rows of texts as they come, then a row of what texts gain for each blob of a task."""
+
+    def run(batches):
+        flushes, docs, parts, kinds, seen = [], [], [], None, 0
+        for rb in batches:
+            kinds = pa.schema([rb.schema.field(c) for c in keep])
+            blob = rb.column("blob")
+            rows = rb.filter(blob.is_null())
+            if rows.num_rows:
+                yield _joined(rows.num_rows, rows.select([*keep, *_TEXT.names]), _GAINED)
+            for i in np.flatnonzero(blob.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                slot, word, text, low, uids, learned = _unpacked(rb.column("places")[i].as_py(), rb.column("size")[i].as_py(), blob[i].as_py())
+                flushes.append(rb.column("flush")[i].as_py())
+                docs.append(uids)
+                parts.append(((slot << np.uint64(16)) | word, low.astype(np.uint16), learned[text], (text + np.uint64(seen)).astype(np.int32)))
+                seen += len(uids)
+        if parts:
+            code, low, learned, owner = (np.concatenate(x) for x in zip(*parts))
+            del parts
+            total, at = np.bincount(owner, gains(code, low, learned), seen), 0
+            for flush, uids in zip(flushes, docs):
+                mine = total[at : at + len(uids)]
+                at, some = at + len(uids), np.flatnonzero(mine)
+                if len(some):
+                    yield _joined(1, kinds, _TEXT, batch(_GAINED, flush=[flush], uids=[uids[some].tolist()], gains=[mine[some].tolist()]))
+
+    return run
+
+
+def _summed_gains(table: pa.Table) -> pa.Table:
+    """(uid, more): the gains of the texts of one flush, summed over the tasks that counted their contexts."""
+    table = table.combine_chunks()
+    uids, at = np.unique(table.column("uids").combine_chunks().flatten().to_numpy(), return_inverse=True)
+    return pa.table({"uid": uids, "more": np.bincount(at, table.column("gains").combine_chunks().flatten().to_numpy().astype(np.float64), len(uids))})
+
+
 def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of all texts of docs, and the table (key, c) of the counts of all tokens by hash."""
     texts = docs.select("text")
@@ -268,23 +456,33 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, words
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """docs' columns `keep` with n_tokens, n_known, train_tokens, base_score and score of every row's whole text."""
+def score(docs: DataFrame, tree: Tree, words: DataFrame, keep: tuple[str, ...], held_out: str = "held_out") -> DataFrame:
+    """docs' columns `keep` with n_tokens, n_known, train_tokens, base_score and score of every row's whole text.
+
+    Rows whose column `held_out` is false are those that the tree was fitted on; contexts below its shares are
+    counted in them here.
+    """
     shared = shipped(docs.sparkSession, tree)
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    rows = docs.select(*keep, "text").mapInArrow(_score(shared, keep), f"{schema}uid long, n_tokens long, n_known long, base double, score double, rare array<long>")
-    rows = stored(rows, "scored")
+    tasks = tree.total // COUNTED + 1
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "uid long, n_tokens long, n_known long, base double, score double, rare array<long>"
+    sent = docs.select(*dict.fromkeys([*keep, held_out, "text"])).mapInArrow(_score(shared, keep, held_out, tasks), f"{schema}, task int, flush long, places long, size long, blob binary")
+    rows = stored(sent.repartitionById(tasks, F.col("task")).mapInArrow(_count_contexts(keep), f"{schema}, flush long, uids array<long>, gains array<float>"), "scored")
+    texts = rows.where("n_tokens is not null")
     if tree.total:
-        rare = rows.select("uid", F.explode("rare").alias("key")).join(words.where(F.col("c") < tree.total * WORD_SHARE), "key", "left")
+        rare = texts.select("uid", F.explode("rare").alias("key")).join(words.where(F.col("c") < tree.total * WORD_SHARE), "key", "left")
     else:
-        rare = rows.select("uid", F.explode("rare").alias("key"), F.lit(None).cast("long").alias("c"))
+        rare = texts.select("uid", F.explode("rare").alias("key"), F.lit(None).cast("long").alias("c"))
     part = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.norm))
-    sums = rare.groupBy("uid").agg(F.sum(part).alias("more"), F.count("c").alias("seen"))
-    done = rows.drop("rare").join(sums, "uid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return done.select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    deep = rows.where("uids is not null").select("flush", "uids", "gains").groupBy("flush").applyInArrow(_summed_gains, "uid long, more double")
+    none, no = F.lit(0.0), F.lit(0).cast("long")
+    every = rare.select("uid", part.alias("rare"), F.when(F.col("c").isNull(), 0).otherwise(1).cast("long").alias("seen"), none.alias("deep"), no.alias("copies"))
+    every = every.union(deep.select("uid", none, no, "more", no)).union(texts.select("uid", none, no, none, F.lit(1).cast("long")))
+    sums = every.groupBy("uid").agg(*(F.sum(c).alias(f"{c}_sum") for c in ("rare", "seen", "deep", "copies")))
+    # equal texts of a partition share a uid, and each of them has its part of the sums
+    mine = lambda c: F.col(f"{c}_sum") / F.col("copies_sum")
+    return texts.join(sums, "uid").select(
+        *keep, "n_tokens", (F.col("n_known") + F.round(mine("seen")).cast("long")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
+        (F.col("base") + mine("rare")).alias("base_score"), (F.col("score") + mine("rare") + mine("deep")).alias("score"))
 
 
 def fit_and_score(docs: DataFrame, part: int = 1, of: int = 5) -> DataFrame:
