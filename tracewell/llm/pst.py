@@ -39,7 +39,7 @@ HELD = 1_500_000
 #: Occurrences from which on a context of DEPTH words, and a next word in it, can be kept whatever their share.
 LEAST = 2
 #: Places that a task packs at a time, and training tokens for each task that counts contexts.
-PACKED, COUNTED = 2_000_000, 2_400_000
+PACKED, COUNTED = 1_000_000, 1_200_000
 #: Bits of a context's hash inside its task, and the fixed point of negative logarithms.
 SLOT_BITS, FIXED = 36, 1000
 #: Stands for the end of a text; no word is empty.
@@ -282,9 +282,11 @@ def gains(code: np.ndarray, low: np.ndarray, learned: np.ndarray) -> np.ndarray:
         return out
     order = np.argsort(code)
     first = lambda x: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    starts = first(code[order])
-    pair = code[order][starts]
-    c = np.add.reduceat(learned[order].astype(np.int64), starts)
+    row = code[order]
+    starts = first(row)
+    pair = row[starts]
+    del row
+    c = np.add.reduceat(learned[order], starts, dtype=np.int64)
     p = np.exp(np.minimum.reduceat(low[order], starts) / -float(FIXED))
     heads = first(pair >> np.uint64(16))
     context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair))))
