@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import ann, bpe, chat, langid, materialise, mixing, ngram_join, pii, pst, topk
+from tracewell.llm import align, ann, bpe, chat, langid, materialise, mixing, ngram_join, pii, pst, topk, toxicity, whitening
 from tracewell.storage import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -74,9 +74,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2("alignment", 256)).otherwise("")
+    done = align.with_counts(rows.withColumn("groups_sha256", digest).drop("alignment"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_mixing, op4_training_order, op5_pii, op6_bpe_round_trip, op7_lm_scores,
-    op8_exact_top_k, op9_chat_formatting, op10_ann,
+    op8_exact_top_k, op9_chat_formatting, op10_ann, op11_cross_tokenizer_alignment, op12_embedding_whitening, op13_toxicity,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
