@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tracewell.llm import langid, mixing
+from tracewell.llm import langid, mixing, queries
+from tracewell.llm.common import words_of
 
 
 def test_held_out_accuracy(spark):
@@ -153,7 +155,7 @@ def test_training_takes_windows_of_whole_texts(spark):
 
 def test_mix_without_repeats_has_its_weights(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    mix, members = mixing.fit(docs, labels, slack=mixing.SLACK_ONCE, most=1.0)
+    mix, members = mixing.fit(docs, labels, most=1.0)
     rows = mixing._rated(members, mix, ("doc_id",)).collect()
     assert max(r.rate for r in rows) <= 1
     total = np.array([r.n_tokens * r.rate for r in rows]) @ np.array([r.p for r in rows])
@@ -172,3 +174,52 @@ def test_conflicting_labels_and_texts_are_settled(spark):
     labels = spark.createDataFrame([(i % 30, i % 2, i % 3 % 2) for i in range(120)], "doc_id long, quality int, toxic int")
     one, two = mixing.fit_classifier(docs, labels), mixing.fit_classifier(docs.orderBy(-docs.part), labels.orderBy("toxic"))
     assert one.domains == two.domains and np.array_equal(one.words, two.words)
+
+
+def test_mix_with_repeats_keeps_the_heaviest_domain_and_repeats_the_scarce_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    mix, members = mixing.fit(docs, labels)
+    rows = mixing._rated(members, mix, ("doc_id",)).collect()
+    p, n, r = np.array([x.p for x in rows]), np.array([x.n_tokens for x in rows]), np.array([x.rate for x in rows])
+    good, poor = (mix.model.domains.index(d) for d in ("quality=1,toxic=0", "quality=0,toxic=0"))
+    total = (n * r) @ p
+    assert total[good] == pytest.approx(n @ p[:, good], rel=0.02) and total[good] / total.sum() == pytest.approx(0.9, abs=0.02)
+    drawn = mixing.resample(docs, labels, repeats=True)
+    count = {x.doc_id: x["count"] for x in drawn.groupBy("doc_id").count().collect()}
+    assert drawn.columns == docs.columns and max(count.values()) > 1
+    assert all(abs(count.get(x.doc_id, 0) - x.rate) < 1 for x in rows)
+    drawn_total = np.array([count.get(x.doc_id, 0) * x.n_tokens for x in rows]) @ p
+    assert drawn_total[poor] / drawn_total.sum() == pytest.approx(0.1, abs=0.03)
+
+
+def test_rates_of_the_query_against_descent_over_all_rows(spark):
+    """op3's columns: the posteriors word by word, and the rates by steps of all rows at once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(queries.op3_mixing(spark, SF).collect(), key=lambda r: r.doc_id)
+    model = mixing.fit_classifier(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    p, n = [], []
+    for r in rows:
+        words = words_of(texts[r.doc_id])
+        z = (np.array(mixing.shapes(texts[r.doc_id], len(words), len(set(words)))) - model.mean) / model.scale @ model.shape + model.bias
+        for bucket in {xxhash.xxh3_64_intdigest(w) % mixing.BUCKETS for w in words}:
+            z = z + model.words[bucket]
+        e = np.exp(z - z.max())
+        p.append(e / e.sum())
+        n.append(len(words))
+    p, n = np.array(p), np.array(n, float)
+    assert [r.n_tokens for r in rows] == n.tolist() and np.allclose(p, [r.p for r in rows], atol=1e-9) and rows[0].domains == model.domains
+    expected, w = n @ p, np.array([mixing.WEIGHTS.get(d, 0.0) for d in model.domains])
+    goal = w * expected[w.argmax()] / w.max()
+    length = n.sum() / np.linalg.eigvalsh((p * n[:, None]).T @ p)[-1]
+    r, y, k, best, kept = np.ones(len(n)), np.ones(len(n)), 1.0, np.inf, None
+    for _ in range(mixing.STEPS):
+        error = np.abs((r * n) @ p - goal).sum() / n.sum()
+        if error < best:
+            best, kept = error, r
+        if error < mixing.CLOSE:
+            break
+        new = np.maximum(0, y - length * (p @ ((y * n) @ p - goal)) / n.sum())
+        grown = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        r, y, k = new, np.maximum(0, new + (k - 1) / grown * (new - r)), grown
+    assert np.allclose(kept, [x.rate for x in rows], atol=1e-6)

@@ -23,14 +23,12 @@ from tracewell.storage import shipped, stored
 #: Most labelled rows that the classifier learns from.
 SAMPLE_ROWS = 4000
 #: Buckets that words are hashed to, whatever their number.
-BUCKETS = 2048
-EPOCHS, RATE, DECAY = 250, 0.02, 1e-2
+BUCKETS = 8192
+EPOCHS, RATE, DECAY = 250, 0.02, 3e-3
 STEPS, CLOSE = 60, 1e-4
 #: Share of each domain's tokens in the mix; domains that are not named get 0.
 WEIGHTS = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.1}
-#: The mix is this much larger than the largest one for which no weighted domain has to repeat.
-SLACK = 1.1
-#: The same for a mix without repeats: domains are known by probabilities only, so rates of 1 at most fall short of the largest one.
+#: A mix without repeats has this share of the largest one: domains are known by probabilities only, so rates of 1 at most fall short of it.
 SLACK_ONCE = 0.97
 
 # Classes of bytes (0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 punctuation).
@@ -79,10 +77,12 @@ class Classifier:
             p = np.exp(z - z.max(1, keepdims=True))
             yield a, b, counts, p / p.sum(1, keepdims=True)
 
-    def train(self, shape: np.ndarray, present: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the whole sample, with weight decay."""
+    def train(self, shape: np.ndarray, owner: np.ndarray, word: np.ndarray, y: np.ndarray) -> None:
+        """Adam on the whole sample, with weight decay. owner, word: rows and buckets that occur together."""
         self.mean, self.scale = shape.mean(0), shape.std(0) + 1e-6
-        x = np.hstack([present, ((shape - self.mean) / self.scale).astype(np.float32), np.ones((len(y), 1), np.float32)])
+        x = np.ones((len(y), BUCKETS + SHAPE + 1), np.float32)
+        x[:, :BUCKETS], x[:, BUCKETS:-1] = 0, (shape - self.mean) / self.scale
+        x[owner, word] = 1
         w, m, v = np.zeros((x.shape[1], len(self.domains)), np.float32), 0.0, 0.0
         want = np.eye(len(self.domains), dtype=np.float32)[y]
         for step in range(1, EPOCHS + 1):
@@ -123,9 +123,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     words = got.column("words").combine_chunks()
     domains = got.column("domain").to_pylist()
     model = Classifier(sorted(set(domains)))
-    present = np.zeros((got.num_rows, BUCKETS), np.float32)
-    present[np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy()), words.flatten().to_numpy()] = 1
-    model.train(shape, present, np.array([model.domains.index(d) for d in domains]))
+    owner = np.repeat(np.arange(got.num_rows), words.value_lengths().to_numpy())
+    model.train(shape, owner, words.flatten().to_numpy(), np.array([model.domains.index(d) for d in domains]))
     return model
 
 
@@ -185,12 +184,16 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most: float = np.inf) ->
     return chosen
 
 
-def _targets(model: Classifier, expected: np.ndarray, weights: Mapping[str, float], slack: float) -> np.ndarray:
+def _targets(model: Classifier, expected: np.ndarray, weights: Mapping[str, float], once: bool) -> np.ndarray:
+    """Tokens of each domain in the mix: as many as the domain with the largest weight has, with rates near 1, or without repeats as the scarcest one allows."""
     w = np.array([weights.get(d, 0.0) for d in model.domains])
     if not w.sum():
         return expected
     w = w / w.sum()
-    return slack * w * min(float(e / x) for e, x in zip(expected, w) if x)
+    if once:
+        return SLACK_ONCE * w * min(float(e / x) for e, x in zip(expected, w) if x)
+    heaviest = max(range(len(w)), key=lambda i: (w[i], expected[i]))
+    return w * float(expected[heaviest] / w[heaviest])
 
 
 class Mix:
@@ -218,16 +221,16 @@ class Mix:
         return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{schema}n_tokens long, p array<double>, rate double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, slack: float = SLACK, most: float = np.inf) -> tuple[Mix, DataFrame]:
-    """The mix, and the table (doc_id, n_tokens, p, rate 1) of all rows that it was fitted on."""
+def fit(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, most: float = np.inf, keep: tuple[str, ...] = ("doc_id",)) -> tuple[Mix, DataFrame]:
+    """The mix, and the table (columns `keep`, n_tokens, p, rate 1) of all rows that it was fitted on, so that no text is classified again."""
     small_batches(docs.sparkSession)
-    model = fit_classifier(docs, labels)
-    members = stored(Mix(model, []).apply(docs, ("doc_id",)), "members")
+    model = fit_classifier(docs.select("doc_id", "text"), labels)
+    members = stored(Mix(model, []).apply(docs, keep), "members")
     if model is None:
         return Mix(None, []), members
     expected = members.select(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(len(model.domains)))).first()
     expected = np.array([x or 0.0 for x in expected], float)
-    return Mix(model, fit_rates(members, _targets(model, expected, weights, slack), most), most), members
+    return Mix(model, fit_rates(members, _targets(model, expected, weights, np.isfinite(most)), most), most), members
 
 
 def _rated(members: DataFrame, mix: Mix, keep: tuple[str, ...]) -> DataFrame:
@@ -262,14 +265,15 @@ def resample(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] =
     """Rows of docs drawn by their rates, in docs' own columns: a rate below 1 is the chance to stay, decided by a hash of id and text.
 
     Without repeats the rates are fitted under a ceiling of 1, so that the rows drawn have the target
-    weights (in expectation) although none comes twice. With repeats there is no ceiling, and a rate of 1
-    or more also repeats the row. Null and empty texts are drawn like others; equal rows share their draw,
+    weights (in expectation) although none comes twice; the scarcest domain limits the mix. With repeats there
+    is no ceiling: the mix has as many tokens of the domain with the largest weight as docs have, a rate of
+    1 or more repeats the row, and so scarcer domains reach their weights. Null and empty texts are drawn like others; equal rows share their draw,
     and null ids are told apart by their texts. Without labelled documents all rows stay once; an empty
     table gives an empty one.
     """
-    most, slack = (np.inf, SLACK) if repeats else (1.0, SLACK_ONCE)
-    mix, members = fit(docs.select("doc_id", "text"), labels, weights, slack, most)
-    rated = mix.apply(boxed(docs, "doc_id", "text"), ("doc_id", "text", "box"))
+    keep = ("doc_id", "text", "box")
+    mix, members = fit(boxed(docs, "doc_id", "text"), labels, weights, np.inf if repeats else 1.0, keep)
+    rated = _rated(members, mix, keep)
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     drawn = rated.withColumn("copies", copies.cast("int")).where("copies > 0")
