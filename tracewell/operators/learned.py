@@ -157,8 +157,8 @@ def baseline_objective(x: np.ndarray, y: np.ndarray, want: np.ndarray, b: int =
     return 0.5 * float((off * off).mean()) + 0.25 * (lx + ly), g + 0.25 * gx, -g + 0.25 * gy
 
 
-def train(tower, x: np.ndarray, y: np.ndarray, want: np.ndarray, b: int, objective=hash_objective, epochs: int = 20, batch: int = 512, rate: float = 0.001, seed: int = 0) -> list[float]:
-    """Adam over shuffled batches of pairs; the mean loss of each epoch."""
+def train(tower, x: np.ndarray, y: np.ndarray, want: np.ndarray, b: int, objective=hash_objective, epochs: int = 20, batch: int = 512, rate: float = 0.001, seed: int = 0, rows: np.ndarray | None = None) -> list[float]:
+    """Adam over shuffled batches of pairs; the mean loss of each epoch. With `rows`, x and y are places in them."""
     rnd, losses, step = np.random.default_rng(seed), [], 0
     params = tower.params
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -166,7 +166,7 @@ def train(tower, x: np.ndarray, y: np.ndarray, want: np.ndarray, b: int, objecti
         order, total = rnd.permutation(len(x)), 0.0
         for a in range(0, len(x), batch):
             at = order[a : a + batch]
-            sx, sy = tower.forward(x[at]), tower.forward(y[at])
+            sx, sy = (tower.forward(v[at] if rows is None else rows[v[at]]) for v in (x, y))
             loss, gx, gy = objective(_last(sx), _last(sy), want[at], b)
             total += loss * len(at)
             step += 1
@@ -205,12 +205,19 @@ def hashed(rows: DataFrame, tower, column: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), column).mapInArrow(run, "id long, h array<double>")
 
 
-def state(tower: Dense) -> dict[str, np.ndarray]:
-    """A dense tower's arrays, for save_model."""
-    return {f"p{i}": p for i, p in enumerate(tower.params)} | {"sigmoid": np.array(tower.sigmoid)}
+def state(tower: Dense | Conv) -> dict[str, np.ndarray]:
+    """A tower's arrays, for save_model."""
+    dense = tower.dense if isinstance(tower, Conv) else tower
+    tables = {f"t{i}": t for i, t in enumerate(tower.tables)} if isinstance(tower, Conv) else {}
+    return {f"p{i}": p for i, p in enumerate(dense.params)} | {"sigmoid": np.array(dense.sigmoid)} | tables
 
 
-def restored(arrays: dict[str, np.ndarray]) -> Dense:
-    tower = Dense([1, 1], bool(arrays["sigmoid"]))
-    tower.params = [arrays[f"p{i}"] for i in range(len(arrays) - 1)]
+def restored(arrays: dict[str, np.ndarray]) -> Dense | Conv:
+    dense = Dense([1, 1], bool(arrays["sigmoid"]))
+    dense.params = [arrays[k] for k in sorted((k for k in arrays if k[0] == "p"), key=lambda k: int(k[1:]))]
+    tables = [arrays[k] for k in sorted(k for k in arrays if k[0] == "t")]
+    if not tables:
+        return dense
+    tower = Conv(1, tables[0].shape[2], [1])
+    tower.tables, tower.dense = tables, dense
     return tower

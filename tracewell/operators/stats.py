@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.storage import stored
 
@@ -49,22 +49,6 @@ def average_ranks(values: DataFrame, column: str) -> DataFrame:
     return spread.join(F.broadcast(earlier), "part").select(F.col("v").alias(column), (F.col("earlier") + inside + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
 
 
-def _inversions(v: np.ndarray, block: int = 64) -> int:
-    """Pairs that stand in falling order: within blocks by comparison, between them by merging."""
-    pad = -len(v) % block
-    v = np.append(v, np.full(pad, v.max(initial=0)))  # the largest value at the end adds no inversion
-    blocks = v.reshape(-1, block)
-    total = sum(int((blocks[:, i, None] > blocks[:, i + 1 :]).sum()) for i in range(block - 1))
-    v, size = np.sort(blocks, axis=1).reshape(-1), block
-    while size < len(v):
-        for a in range(0, len(v) - size, 2 * size):
-            left, right = v[a : a + size], v[a + size : a + 2 * size]
-            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            v[a : a + 2 * size] = np.sort(v[a : a + 2 * size], kind="stable")
-        size *= 2
-    return total
-
-
 def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
     """Kendall's tau-b; null if one side is constant."""
     n = len(x)
@@ -78,20 +62,84 @@ def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
     pairs = n * (n - 1) // 2
     if pairs in (tx, ty):
         return None
-    return (pairs - tx - ty + txy - 2 * _inversions(y)) / (float(pairs - tx) ** 0.5 * float(pairs - ty) ** 0.5)
+    return (pairs - tx - ty + txy - 2 * _weighted_inversions(y, np.ones(n, np.int64))) / (float(pairs - tx) ** 0.5 * float(pairs - ty) ** 0.5)
+
+
+def _pairs_within(x: Column) -> Column:
+    """Number of pairs among x rows."""
+    return F.shiftright(x * (x - 1), 1)
+
+
+def _weighted_inversions(v: np.ndarray, n: np.ndarray) -> int:
+    """Sum of n_i * n_j over i < j with v_i > v_j, by merging runs of doubled length."""
+    order = np.argsort(v, kind="stable")
+    rank = np.empty(len(v), np.int64)
+    rank[order] = np.cumsum(np.append(False, v[order][1:] != v[order][:-1])) if len(v) else order
+    total, size = 0, 1
+    most = int(rank.max(initial=0)) + 1
+    while size < len(rank):
+        # within each run of 2 * size places: what stands in its left half and is larger, for each place of its right half
+        run = np.arange(len(rank)) // (2 * size)
+        right = np.arange(len(rank)) // size % 2 == 1
+        key = run * most + rank
+        at = np.argsort(key[~right], kind="stable")
+        keys, sums = key[~right][at], np.concatenate(([0], np.cumsum(n[~right][at])))
+        ends = np.searchsorted(keys, (run[right] + 1) * most)
+        total += int(((sums[ends] - sums[np.searchsorted(keys, key[right], side="right")]) * n[right]).sum())
+        size *= 2
+    return total
+
+
+def kendall(rows: DataFrame) -> DataFrame:
+    """(k, n, tau): Kendall's tau-b of x and y for each group k of rows (k int, x, y double); tau is null if one side is constant.
+
+    Equal rows are counted before anything is sent. What is left is range-partitioned by (k, x, y) and again by
+    (k, y), so that neither a large group nor a frequent value makes a large task. Discordant pairs
+    are those in one part of the first partitioning (counted there), those in different parts of both (counted from
+    a table with one number for each two parts), and those in different parts of the first but one of the second
+    (counted there, where each value of y has one row for each part of the first).
+    """
+    cells = stored(rows.groupBy("k", "x", "y").agg(F.count("*").alias("n")).repartitionByRange("k", "x", "y").withColumn("p", F.spark_partition_id()), "cells")
+    by_y = stored(cells.groupBy("k", "p", "y").agg(F.sum("n").alias("n")).repartitionByRange("k", "y").withColumn("b", F.spark_partition_id()), "by_y")
+    schema = pa.schema([("k", pa.int32()), ("d", pa.int64())])
+
+    def counted(sort: list[tuple[str, str]]):
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by(sort)
+            d = _weighted_inversions(t.column("y").to_numpy(), t.column("n").to_numpy())
+            return pa.table([t.column("k").slice(0, 1).cast(pa.int32()), pa.array([d])], schema=schema)
+
+        return run
+
+    def across(t: pa.Table) -> pa.Table:
+        """Pairs of parts: an earlier part of (x, y) with a later part of y, times a later one with an earlier one."""
+        p, b = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("p", "b"))
+        table = np.zeros((p.max() + 1, b.max() + 1), np.int64)
+        np.add.at(table, (p, b), t.column("n").to_numpy())
+        later = np.cumsum(table[::-1], 0)[::-1][1:]  # rows of later parts
+        below = np.cumsum(later, 1)[:, :-1]  # of those, in earlier parts of y
+        return pa.table([t.column("k").slice(0, 1).cast(pa.int32()), pa.array([int((table[:-1, 1:] * below).sum())])], schema=schema)
+
+    inside = cells.select("k", "x", "y", "n", "p").groupBy("k", "p").applyInArrow(counted([("x", "ascending"), ("y", "ascending")]), "k int, d long")
+    same_y = by_y.select("k", "p", "y", "n", "b").groupBy("k", "b").applyInArrow(counted([("p", "ascending"), ("y", "ascending")]), "k int, d long")
+    parts = by_y.groupBy("k", "p", "b").agg(F.sum("n").alias("n")).groupBy("k").applyInArrow(across, "k int, d long")
+    discordant = inside.union(same_y).union(parts).groupBy("k").agg(F.sum("d").alias("d"))
+    tied = lambda df, *by: df.groupBy("k", *by).agg(F.sum("n").alias("n")).groupBy("k").agg(F.sum(_pairs_within(F.col("n"))).alias("t"))
+    tx, ty = (tied(df, c).withColumnRenamed("t", f"t{c}") for df, c in ((cells, "x"), (by_y, "y")))
+    whole = cells.groupBy("k").agg(F.sum("n").alias("n"), F.sum(_pairs_within(F.col("n"))).alias("txy"))
+    both = whole.join(tx, "k").join(ty, "k").join(discordant, "k").withColumn("all", _pairs_within(F.col("n")))
+    top = (F.col("all") - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d")).cast("double")
+    side = lambda c: F.sqrt((F.col("all") - F.col(c)).cast("double"))
+    return both.select("k", "n", F.try_divide(top, side("tx") * side("ty")).alias("tau"))
 
 
 def kendall_matrix(measures: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, tau): tau-b of each two measures over the rows where not both are 0 or null; one task a pair of measures."""
+    """(a, b, tau): tau-b of each two measures over the rows where neither is null and not both are 0."""
     chosen = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     columns = F.array(*(F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in chosen))
     rows = measures.select(F.posexplode(columns).alias("k", "m")).select("k", "m.x", "m.y").where("x is not null and y is not null and (x <> 0 or y <> 0)")
-
-    def per_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = chosen[key[0]]
-        return pd.DataFrame({"a": [a], "b": [b], "tau": [tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())]})
-
-    return rows.groupBy("k").applyInPandas(per_pair, "a string, b string, tau double")
+    named = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in chosen))
+    return kendall(rows).select(F.get(named, F.col("k")).alias("m"), "tau").select("m.a", "m.b", "tau")
 
 
 def output_shape(hashes: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ def pair_split(spark, sf):
     return X.split(pair_index(spark, sf), F.col("place")).select("i", "j", "validation")
 
 
-@query()
+@query(S.kendall(ORACLE_SQL['pair_measures'], MEASURES))
 def kendall(spark, sf):
     """Rank correlations of each two of the twelve measures."""
     wide = stored(pair_measures(spark, sf), "pairs")
@@ -674,8 +674,12 @@ TRAIN_ROWS, TRAIN_PAIRS = 1000, 8192
 
 def _tower(spark, sf) -> learned.Dense:
     emb = table(spark, sf, "embeddings")
-    rows = emb.orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).select("embedding").toPandas()
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    whole = emb.where(F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)))  # no nulls, no zero vectors, no NaN
+    rows = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("embedding").toPandas()
     x = np.array(rows["embedding"].tolist(), float)
+    if not len(x):
+        return learned.Dense([64, 128, 64])
     rnd = np.random.default_rng(1)
     a, b = rnd.integers(0, len(x), (2, TRAIN_PAIRS))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -175,3 +175,18 @@ def slot_found(grid: list[tuple[int, int, int]], sims: str) -> str:
     return f"""grid AS (SELECT * FROM (VALUES {rows}) t(g, c, bands, width)), pair AS (SELECT * FROM ({sims}) WHERE sim IS NOT NULL),
 sim AS (SELECT i AS q, j AS nn, sim AS s FROM pair UNION ALL SELECT j, i, sim FROM pair),
 found AS (SELECT g, bands, width, q, nn, s FROM agree JOIN grid ON agree.c >= grid.c JOIN sim USING (q, nn))"""
+
+
+def kendall(measures: str, names: list[str]) -> str:
+    """tau-b of each two columns. Discordant pairs are counted bit by bit of the ranks of y, in the order of (x, y): of two ranks that agree above a bit, the larger one has it and comes first."""
+    items = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'x': {a}, 'y': {b}}}" for i, a in enumerate(names) for b in names[i + 1 :])
+    tied = "SELECT a, b, sum(n * (n - 1) // 2) AS t FROM (SELECT a, b, {c}, sum(n) AS n FROM c GROUP BY ALL) GROUP BY a, b"
+    return f"""WITH w AS ({measures}), u AS (SELECT unnest([{items}]) AS m FROM w),
+c AS MATERIALIZED (SELECT m.a AS a, m.b AS b, m.x AS x, m.y AS y, count(*) AS n FROM u WHERE m.x IS NOT NULL AND m.y IS NOT NULL AND (m.x <> 0 OR m.y <> 0) GROUP BY ALL),
+r AS (SELECT a, b, n, row_number() OVER (PARTITION BY a, b ORDER BY x, y) AS pos, dense_rank() OVER (PARTITION BY a, b ORDER BY y) - 1 AS r FROM c),
+z AS (SELECT *, max(r) OVER (PARTITION BY a, b) AS high FROM r),
+o AS (SELECT a, b, n, (r >> l) & 1 AS bit, sum(CAST(n * ((r >> l) & 1) AS BIGINT)) OVER (PARTITION BY a, b, l, r >> (l + 1) ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ones FROM z, range(40) t(l) WHERE (high >> l) > 0),
+d AS (SELECT a, b, sum(n * ones) FILTER (bit = 0) AS d FROM o GROUP BY a, b),
+g AS (SELECT a, b, sum(n) AS n, sum(n * (n - 1) // 2) AS t FROM c GROUP BY a, b), gx AS ({tied.format(c='x')}), gy AS ({tied.format(c='y')}),
+s AS (SELECT g.a, g.b, g.n * (g.n - 1) // 2 AS whole, gx.t AS tx, gy.t AS ty, g.t AS txy, coalesce(d, 0) AS d FROM g JOIN gx USING (a, b) JOIN gy USING (a, b) LEFT JOIN d USING (a, b))
+SELECT a, b, round(CAST(whole - tx - ty + txy - 2 * d AS DOUBLE) / nullif(sqrt(CAST(whole - tx AS DOUBLE)) * sqrt(CAST(whole - ty AS DOUBLE)), 0), 9) + 0.0 AS tau FROM s"""
