@@ -1,8 +1,9 @@
 """Similarity measures of pairs of traces.
 
 Set and vector measures join sparse features on their terms. Alignment measures are dynamic
-programs over two frame arrays, written as nested aggregates; they run only for pairs that share a
-frame, since all others have a value that follows from their lengths. Where a measure is not
+programs over two frame arrays: nested aggregates in the JVM for short traces, or kernels over
+diagonals, whose time is linear in cells. They run only for pairs that share a frame, since all
+others have a value that follows from their lengths. Where a measure is not
 symmetric, arguments are in the order in which the study calls it (i is the row, j the other).
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators import pairs as P
+from tracewell.operators import features as X, kernels, pairs as P
+from tracewell.storage import stored
 
 # ---- sets and vectors
 
@@ -131,23 +133,46 @@ def with_statistics(frames: DataFrame, statistics: DataFrame, n_docs: int) -> Da
         F.transform("f", lambda x: F.coalesce(x["idf"], 1 + F.log(F.lit(float(n_docs))))).alias("g"), F.col("f.idf").alias("known"))
 
 
-def aligned(frames: DataFrame, value_sql: str, n: int, default: str, swapped: bool = False, prepare: dict[str, str] | None = None) -> DataFrame:
-    """(i, j, sim) of all pairs of ids 0..n-1: value_sql for pairs that share a frame, the SQL default for others.
-
-    frames: (id, frames, further arrays). In value_sql x and y are the frames of rows i and j (j and
-    i if swapped), and each further array c is cx and cy. prepare: more columns, by SQL, in order.
-    """
+def _near(frames: DataFrame, swapped: bool, prepare: dict[str, str] | None) -> DataFrame:
+    """(i, j, x, y, further arrays) of pairs that share a frame, and the columns of `prepare`."""
     others = [c for c in frames.columns if c not in ("id", "frames")]
-    a, b = ("j", "i") if swapped else ("i", "j")
     near = P.sharing(frames.select("id", F.explode("frames").alias("item")))
-    for side, row in (("x", a), ("y", b)):
+    for side, row in zip("xy", "ji" if swapped else "ij"):
         near = near.join(frames.select(F.col("id").alias(row), F.col("frames").alias(side), *(F.col(c).alias(f"{c}{side}") for c in others)), row)
     for name, sql in (prepare or {}).items():
         near = near.withColumn(name, F.expr(sql))
-    near = near.select("i", "j", F.expr(value_sql).cast("double").alias("sim"), F.lit(1).alias("_done"))
-    sizes = frames.select("id", F.size("frames").alias("size"))
+    return near
+
+
+def _every(near: DataFrame, frames: DataFrame, n: int, default: str) -> DataFrame:
+    """(i, j, sim) of all pairs of ids 0..n-1: that of near (i, j, sim), and the default for others."""
+    near = near.withColumn("_done", F.lit(1))
     every = P.all_indices(n, frames.sparkSession).join(near, ["i", "j"], "left")
     if "size" in default:
+        sizes = frames.select("id", F.size("frames").alias("size"))
         every = every.join(sizes.select(F.col("id").alias("i"), F.col("size").alias("size_i")), "i").join(sizes.select(F.col("id").alias("j"), F.col("size").alias("size_j")), "j")
     return every.select("i", "j", F.when(F.col("_done") == 1, F.col("sim")).otherwise(F.expr(default)).alias("sim"))
 
+
+def aligned(frames: DataFrame, value_sql: str, n: int, default: str, swapped: bool = False, prepare: dict[str, str] | None = None) -> DataFrame:
+    """(i, j, sim) of all pairs of ids 0..n-1: value_sql for pairs that share a frame, the SQL default for others.
+
+    frames: (id, frames, further arrays). In value_sql x and y are the frames of rows i and j (j and
+    i if swapped), and each further array c is cx and cy. prepare: more columns, by SQL, in order.
+    """
+    near = _near(frames, swapped, prepare)
+    return _every(near.select("i", "j", F.expr(value_sql).cast("double").alias("sim")), frames, n, default)
+
+
+def aligned_by(frames: DataFrame, kernel, n: int, default: str, swapped: bool = False, arrays: tuple[str, ...] = (), prepare: dict[str, str] | None = None, value_sql: str = "value") -> DataFrame:
+    """The same by a kernel over diagonals (`kernels`), for long traces: frames travel as numbers of their dictionary.
+
+    arrays: names of further arrays that the kernel reads. prepare: columns by SQL before, of which those that aren't
+    such arrays are kept for value_sql, which turns the kernel's value into the measure.
+    """
+    numbers = X.ranked_frames(frames.select("id", "frames"), X.frame_dictionary(frames)).withColumnRenamed("ranks", "frames")
+    others = [c for c in frames.columns if c not in ("id", "frames")]
+    ready = stored(numbers.join(frames.select("id", *others), "id") if others else numbers, "numbered")
+    keep = tuple(c for c in prepare or {} if c[:-1] not in arrays)
+    near = kernels.measured(_near(ready, swapped, prepare), kernel, arrays, keep)
+    return _every(near.select("i", "j", F.expr(value_sql).cast("double").alias("sim")), frames, n, default)

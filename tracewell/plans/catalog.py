@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewell.functions import hashing as H, text as T
-from tracewell.operators import features as X, learned, lsh, measures as M, metrics as Q, pairs as P, stats
+from tracewell.operators import features as X, kernels, learned, lsh, measures as M, metrics as Q, pairs as P, stats
 from tracewell.plans import sql as S
 from tracewell.sources import io
 from tracewell.storage import shared_dir, stored, table
@@ -188,13 +188,13 @@ def _weighted(cat: DataFrame, n: int) -> DataFrame:
 @query(S.aligned(S.EDITS, "0.0"))
 def sim_levenshtein(spark, sf):
     cat, n = kept(traces(spark, sf))
-    return _sim(M.aligned(_frames(cat), M.levenshtein_sql(), n, "0D"))
+    return _sim(M.aligned_by(_frames(cat), kernels.levenshtein, n, "0D"))
 
 
 @query(S.aligned(S.PDM, "0.0"))
 def sim_pdm(spark, sf):
     cat, n = kept(traces(spark, sf))
-    return _sim(M.aligned(_frames(cat), M.pdm_sql(), n, "0D"))
+    return _sim(M.aligned_by(_frames(cat), kernels.pdm, n, "0D"))
 
 
 @query(S.aligned(S.PREFIX, "0.0"))
@@ -206,13 +206,13 @@ def sim_prefix(spark, sf):
 @query(S.aligned(S.NW, "-1.0", normal=True))
 def sim_nw(spark, sf):
     cat, n = kept(traces(spark, sf))
-    return _sim(M.aligned(_frames(cat, normal=True), M.nw_sql(), n, "-1D"))
+    return _sim(M.aligned_by(_frames(cat, normal=True), kernels.needleman_wunsch, n, "-1D"))
 
 
 @query(S.aligned(S.BRODIE, "0.0", normal=True))
 def sim_brodie(spark, sf):
     cat, n = kept(traces(spark, sf))
-    return _sim(M.aligned(_weighted(cat, n), M.brodie_sql(), n, "0D"))
+    return _sim(M.aligned_by(_weighted(cat, n), kernels.brodie, n, "0D", arrays=("p",)))
 
 
 @query(S.aligned(S.LERCH, "0.0", normal=True, swapped=True))
@@ -224,14 +224,14 @@ def sim_lerch(spark, sf):
 @query(S.aligned(S.MOROO, "0.0", normal=True, swapped=True))
 def sim_moroo(spark, sf):
     cat, n = kept(traces(spark, sf))
-    return _sim(M.aligned(_weighted(cat, n), M.moroo_sql(), n, "0D", swapped=True, prepare={"lerch": M.lerch_sql(), "pdm": M.pdm_sql()}))
+    return _sim(M.aligned_by(_weighted(cat, n), kernels.pdm, n, "0D", swapped=True, prepare={"lerch": M.lerch_sql()}, value_sql=M.moroo_sql(pdm="value")))
 
 
 @query(S.aligned(S.TRACESIM, "0.0", normal=True, swapped=True))
 def sim_tracesim(spark, sf):
     cat, n = kept(traces(spark, sf))
     weights = {f"w{s}": M.stack_weights_sql(f"known{s}", 0.5, 0.5, 0.0) for s in "xy"}
-    return _sim(M.aligned(_weighted(cat, n), M.tracesim_sql(), n, "0D", swapped=True, prepare=weights))
+    return _sim(M.aligned_by(_weighted(cat, n), kernels.tracesim, n, "0D", swapped=True, arrays=("w",), prepare=weights))
 
 
 # ---- distributions
