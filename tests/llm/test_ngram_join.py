@@ -124,3 +124,11 @@ def test_components_of_chains_and_stars(spark):
     assert all(found[100 + i] == 100 for i in range(200))
     assert found[501] == found[500] == 500
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_rows_that_stay_do_not_depend_on_how_ids_travel(spark, monkeypatch, sent):
+    monkeypatch.setattr(N, "SENT_IDS", sent)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
+    assert sorted(r.doc_id for r in N.one_per_component(docs).collect()) == sorted(i for i, (_, c) in groups.items() if i == c)

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from tracewell.llm.common import batch, chunks, components, numbered_words, small_batches, word_hashes
 from tracewell.storage import stored
 
+#: Most ids that go to all tasks; more of them meet the documents in a join of both sides.
+SENT_IDS = 2_000_000
 #: At most so many n-grams are ordered last as hot; with it the threshold of hotness grows with the corpus.
 HOT_TABLE = 8_000_000
 #: N-grams in more prefixes than this (or entries / HOT_TABLE, if more) are hot.
@@ -427,4 +429,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, in their own columns; of repeated rows all stay."""
     groups = ngram_jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__tracewell_gone")).distinct()
+    groups = stored(groups, "gone")
+    if groups.count() <= SENT_IDS:  # then the texts need not be moved
+        groups = F.broadcast(groups)
     return docs.join(groups, F.col("doc_id") == F.col("__tracewell_gone"), "left_anti")
