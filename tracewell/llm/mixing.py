@@ -26,6 +26,8 @@ SAMPLE_ROWS = 4000
 BUCKETS = 8192
 EPOCHS, RATE, DECAY = 250, 0.02, 3e-3
 STEPS, CLOSE = 60, 1e-4
+#: Rows of the sample whose words are floats at a time.
+TRAINED_AT_ONCE = 256
 #: Share of each domain's tokens in the mix; domains that are not named get 0.
 WEIGHTS = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.1}
 #: A mix without repeats has this share of the largest one: domains are known by probabilities only, so rates of 1 at most fall short of it.
@@ -80,15 +82,20 @@ class Classifier:
     def train(self, shape: np.ndarray, owner: np.ndarray, word: np.ndarray, y: np.ndarray) -> None:
         """Adam on the whole sample, with weight decay. owner, word: rows and buckets that occur together."""
         self.mean, self.scale = shape.mean(0), shape.std(0) + 1e-6
-        x = np.ones((len(y), BUCKETS + SHAPE + 1), np.float32)
-        x[:, :BUCKETS], x[:, BUCKETS:-1] = 0, (shape - self.mean) / self.scale
-        x[owner, word] = 1
-        w, m, v = np.zeros((x.shape[1], len(self.domains)), np.float32), 0.0, 0.0
+        present = np.zeros((len(y), BUCKETS), np.uint8)  # as floats only a few rows at a time
+        present[owner, word] = 1
+        form = np.hstack([(shape - self.mean) / self.scale, np.ones((len(y), 1))]).astype(np.float32)
+        w, m, v = np.zeros((BUCKETS + SHAPE + 1, len(self.domains)), np.float32), 0.0, 0.0
         want = np.eye(len(self.domains), dtype=np.float32)[y]
         for step in range(1, EPOCHS + 1):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            g = x.T @ (p / p.sum(1, keepdims=True) - want) / len(y) + DECAY * w
+            g = DECAY * w
+            for a in range(0, len(y), TRAINED_AT_ONCE):
+                part, z = present[a : a + TRAINED_AT_ONCE].astype(np.float32), form[a : a + TRAINED_AT_ONCE]
+                p = part @ w[:BUCKETS] + z @ w[BUCKETS:]
+                p = np.exp(p - p.max(1, keepdims=True))
+                off = (p / p.sum(1, keepdims=True) - want[a : a + TRAINED_AT_ONCE]) / len(y)
+                g[:BUCKETS] += part.T @ off
+                g[BUCKETS:] += z.T @ off
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w = w.astype(np.float64)
