@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import shutil
 import tempfile
@@ -47,6 +48,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shipped(spark: SparkSession, value) -> Callable[[], object]:
     """A function that gives value to tasks, broadcast with the code of this package's classes in it.
 
