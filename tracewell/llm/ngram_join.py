@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import batch, chunks, components, numbered_words, small_batches, word_hashes
-from tracewell.storage import stored
+from tracewell.storage import clean, discard, stored
 
 #: Most ids that go to all tasks; more of them meet the documents in a join of both sides.
 SENT_IDS = 2_000_000
+#: Most sets whose families and blocks go to all tasks (40 bytes each); more of them meet theirs in a join of both sides.
+SENT_SETS = 1_000_000
 #: At most so many n-grams are ordered last as hot; with it the threshold of hotness grows with the corpus.
 HOT_TABLE = 8_000_000
 #: N-grams in more prefixes than this (or entries / HOT_TABLE, if more) are hot.
@@ -369,9 +371,10 @@ def _families(docs: DataFrame, profile: DataFrame, k: int, percent: int) -> Data
     return found
 
 
-def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of each class that links join to another; a component's first class may be left out."""
+def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int, held: list[DataFrame]) -> DataFrame:
+    """(node, component) of each class that links join to another; a component's first class may be left out. Its stored tables join `held`."""
     spark = docs.sparkSession
+    clean(spark)  # the index lists are done with
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("x")), "cls")
     size = members.groupBy("x").agg((F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = stored(members.join(size, "x").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("last") + 1).cast("int")), "members")
@@ -380,7 +383,9 @@ def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, pe
     marks = spark.sparkContext.broadcast(_marks(members.select(F.col("rep").alias("id")), bits))
     run, schema = _fetched(k, marks)
     found = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("mark")).mapInArrow(run, schema)
-    sets = stored(found.join(members.select("cls", "n", "x", "block", "last"), "cls"), "sets")
+    places = members.select("cls", "n", "x", "block", "last")
+    sets = stored(found.join(F.broadcast(places) if known.c <= SENT_SETS else places, "cls"), "sets")
+    held += [members, sets]
     marks.destroy()
 
     run, schema = _compared(percent, ("x", "block"))
@@ -388,6 +393,7 @@ def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, pe
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = ["cls", "n", "grams", *by]
     links = stored(sets.select(*columns).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links")
+    held.append(links)
     if known.last:  # families of several blocks: what is outside the largest component meets the other blocks
         labels = components(links)
         wide = members.where("last > 0").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "x", "block", "last", F.coalesce("component", "cls").alias("label"))
@@ -401,7 +407,7 @@ def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, pe
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, held: list[DataFrame] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text; other columns are ignored).
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. A document's set holds its distinct k-word
@@ -411,13 +417,16 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
     null doc_id joins the component of an equal set that has an id, and has a null one otherwise.
     doc_id must name one text: rows with one doc_id but different texts are documents of their own
     here, which carry the same id. Extra columns are ignored. An empty table gives an empty result.
+    held: a list that stored tables, which the result reads, are added to, to be discarded after it.
     """
+    held = [] if held is None else held
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _profile(k, percent)
     profile = stored(docs.mapInArrow(run, schema), "profile")
+    held.append(profile)
     classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    labels = _labels(docs, classes, _families(docs, profile, k, percent), k, percent)
+    labels = _labels(docs, classes, _families(docs, profile, k, percent), k, percent, held)
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -428,8 +437,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) ->
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, in their own columns; of repeated rows all stay."""
-    groups = ngram_jaccard_components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__tracewell_gone")).distinct()
+    held: list[DataFrame] = []
+    groups = ngram_jaccard_components(docs, k, percent, held).where("doc_id <> component_id").select(F.col("doc_id").alias("__tracewell_gone")).distinct()
     groups = stored(groups, "gone")
+    for done in held:
+        discard(done)
+    clean(docs.sparkSession)
     if groups.count() <= SENT_IDS:  # then the texts need not be moved
         groups = F.broadcast(groups)
     return docs.join(groups, F.col("doc_id") == F.col("__tracewell_gone"), "left_anti")
