@@ -40,6 +40,25 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_buckets(banded: DataFrame, name: str, path: str, count: int) -> None:
+    """A bucket table (id, band, key) as a table of the session's catalog, dealt to `count` files by (band, key) and sorted.
+
+    Joins on (band, key) read it where it lies; only the other side is shuffled. A hot key is one file: AQE splits its reading.
+    """
+    banded.repartition(count, "band", "key").write.mode("overwrite").option("path", path).bucketBy(count, "band", "key").sortBy("band", "key").saveAsTable(name)
+
+
+def append_buckets(banded: DataFrame, name: str, count: int) -> None:
+    """One generation more of a table that `save_buckets` made with the same count of buckets."""
+    banded.repartition(count, "band", "key").write.mode("append").bucketBy(count, "band", "key").sortBy("band", "key").saveAsTable(name)
+
+
+def probe_buckets(queries: DataFrame, name: str) -> DataFrame:
+    """(q, band, nn): rows of the table in the buckets of the queries (id, band, key), without a shuffle of the table."""
+    held = queries.sparkSession.table(name).withColumnRenamed("id", "nn")
+    return queries.withColumnRenamed("id", "q").join(held.hint("merge"), ["band", "key"]).where("q <> nn").select("q", "band", "nn")
+
+
 def save_model(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
     """Named arrays as one row of a Parquet table, on any file system that Spark writes."""
     held = io.BytesIO()
