@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from tracewell.plans import catalog, learned_traces, whole  # noqa: F401
+from tracewell.plans import catalog, learned_traces, movers, whole  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
