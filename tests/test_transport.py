@@ -23,7 +23,10 @@ def test_transport_is_least_over_all_assignments():
         units = int(rnd.integers(max(n, m), 7))
         supply, demand = 1 + rnd.multinomial(units - n, np.ones(n) / n), 1 + rnd.multinomial(units - m, np.ones(m) / m)
         cost = rnd.integers(0, 4, (n, m)).astype(float) if rnd.random() < 0.5 else rnd.random((n, m))
-        assert W.transport_cost(cost, supply, demand) == pytest.approx(permuted(cost, supply, demand), abs=1e-9)
+        least = permuted(cost, supply, demand)
+        assert W.transport_cost(cost, supply, demand) == (pytest.approx(least, abs=1e-9), True)
+        bound, solved = W.transport_cost(cost, supply, demand, least * 0.9 - 1e-9)
+        assert bound <= least + 1e-9 and (solved or bound > least * 0.9 - 1e-9)
 
 
 def test_large_transport_meets_its_dual():
@@ -34,10 +37,10 @@ def test_large_transport_meets_its_dual():
     demand = np.full(50, supply.sum() // 50)
     demand[0] += supply.sum() - demand.sum()
     cost = W.distances(x, y)
-    got = W.transport_cost(cost, supply, demand)
+    got, _ = W.transport_cost(cost, supply, demand)
     assert got >= max((cost.min(1) * supply).sum(), (cost.min(0) * demand).sum()) - 1e-9
     unit = np.repeat(np.arange(60), supply // 50)
-    assert got == pytest.approx(W.transport_cost(cost[unit], np.full(len(unit), 50), demand), rel=1e-12)  # split supplies cost the same
+    assert got == pytest.approx(W.transport_cost(cost[unit], np.full(len(unit), 50), demand)[0], rel=1e-12)  # split supplies cost the same
 
 
 def vectors_of(frames):
@@ -87,7 +90,7 @@ def test_nearest_equals_brute_force(spark, traces, monkeypatch, frames):
     solved = steps.agg(F.sum("solved")).first()[0]
 
     def plain(x, y):  # nothing cancelled, no bound
-        return W.transport_cost(W.distances(x[2], y[2]), x[1] * y[1].sum(), y[1] * x[1].sum()) / (x[1].sum() * y[1].sum())
+        return W.transport_cost(W.distances(x[2], y[2]), x[1] * y[1].sum(), y[1] * x[1].sum())[0] / (x[1].sum() * y[1].sum())
 
     got = {}
     for r in found.orderBy("q", "rank").collect():

@@ -25,6 +25,8 @@ REACH = 2
 BLOCK_FRAMES = 1024
 #: Frames of a row whose distances to a whole block are held at a time.
 STRIP = 256
+#: Tasks for each core, over which blocks are dealt.
+TASKS_PER_CORE = 8
 #: What a lower bound may lie above its distance by rounding.
 SLACK = 1e-9
 
@@ -73,16 +75,28 @@ def placed_bags(bags: DataFrame, vectors: DataFrame) -> DataFrame:
 # ---- one pair
 
 
-def transport_cost(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> float:
-    """Least cost of moving whole supplies onto whole demands of the same sum, by shortest augmenting paths."""
+def transport_cost(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, most: float = math.inf) -> tuple[float, bool]:
+    """Least cost of moving whole supplies onto whole demands of the same sum, by shortest augmenting paths, and True.
+
+    The prices kept on the way give a lower bound that only rises; once it is above `most`, it is returned with False.
+    """
+    given, asked = supply.astype(np.float64), demand.astype(np.float64)
     supply, demand = supply.astype(np.int64).copy(), demand.astype(np.int64).copy()
     n, m = cost.shape
     if n == 1 or m == 1:
-        return float((cost * (demand[None, :] if n == 1 else supply[:, None])).sum())
+        return float((cost * (demand[None, :] if n == 1 else supply[:, None])).sum()), True
     flow = np.zeros((n, m), np.int64)
-    u, v = np.zeros(n), np.zeros(m)
+    # prices under which every move costs nothing or more, and as much as fits along moves that cost nothing
+    v = cost.min(0)
+    u = (cost - v).min(1)
+    for i, j in zip(*np.nonzero(cost - u[:, None] - v <= 1e-12)):
+        much = min(supply[i], demand[j])
+        flow[i, j], supply[i], demand[j] = much, supply[i] - much, demand[j] - much
     for s in range(n):
         while supply[s]:
+            below = float(u @ given + v @ asked)
+            if below > most:
+                return below, False
             far, back = np.full(m, np.inf), np.full(m, -1)  # distance of a column, and the row before it
             row_far, row_back = np.full(n, np.inf), np.full(n, -1)
             row_far[s] = 0.0
@@ -116,7 +130,7 @@ def transport_cost(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) ->
                     flow[i, path[t + 1][1]] -= much
             supply[s] -= much
             demand[last] -= much
-    return float((flow * cost).sum())
+    return float((flow * cost).sum()), True
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,8 +139,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def movers_distance(x: tuple, y: tuple) -> float:
-    """Distance of two rows (frames, counts, vectors). What both share stays where it is, as distances obey the triangle inequality."""
+def movers_distance(x: tuple, y: tuple, most: float = math.inf) -> tuple[float, bool]:
+    """Distance of two rows (frames, counts, vectors) and True, or a lower bound of it above `most` and False.
+
+    What both share stays where it is, as distances obey the triangle inequality.
+    """
     (fx, nx, vx), (fy, ny, vy) = x, y
     supply, demand = nx * ny.sum(), ny * nx.sum()
     whole = int(nx.sum()) * int(ny.sum())
@@ -137,8 +154,9 @@ def movers_distance(x: tuple, y: tuple) -> float:
     demand[j] -= same
     left, right = np.flatnonzero(supply), np.flatnonzero(demand)
     if not len(left):
-        return 0.0
-    return transport_cost(distances(vx[left], vy[right]), supply[left], demand[right]) / whole
+        return 0.0, True
+    d, solved = transport_cost(distances(vx[left], vy[right]), supply[left], demand[right], most * whole)
+    return d / whole, solved
 
 
 # ---- blocks
@@ -172,7 +190,7 @@ def lower_bounds(a: Block, b: Block) -> np.ndarray:
 
 
 def block_nearest(a: Block, b: Block, k: int, itself: bool) -> tuple[list[tuple], int]:
-    """(query, neighbour, distance) of what may be among the k nearest of a's rows in b and, unless both are one block, of b's in a; and how many pairs were solved."""
+    """(query, neighbour, distance) of what may be among the k nearest of a's rows in b and, unless both are one block, of b's in a; and how many pairs were begun."""
     lower, known, out = lower_bounds(a, b), {}, []
 
     def ask(own: Block, other: Block, bounds: np.ndarray, key) -> None:
@@ -185,9 +203,11 @@ def block_nearest(a: Block, b: Block, k: int, itself: bool) -> tuple[list[tuple]
                 if itself and t == q:
                     continue
                 pair = key(q, t)
-                if pair not in known:
-                    known[pair] = round(movers_distance(a.rows[pair[0]], b.rows[pair[1]]), 9)
-                got = sorted([*got, (known[pair], int(other.ids[t]))])[:k]
+                d, solved = known.get(pair, (-1.0, False))
+                if not solved and d <= within + SLACK:
+                    d, solved = known[pair] = movers_distance(a.rows[pair[0]], b.rows[pair[1]], within + SLACK)
+                if solved:
+                    got = sorted([*got, (round(d, 9), int(other.ids[t]))])[:k]
             out.extend((int(own.ids[q]), nn, d) for d, nn in got if d <= own.limits[q] + SLACK)
 
     ask(a, b, lower, (lambda q, t: (min(q, t), max(q, t))) if itself else (lambda q, t: (q, t)))
@@ -210,7 +230,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_traces(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(q, rank, nn, d): the k nearest other rows of every row (id, frames, counts, v), by the word mover's distance to nine places, ties to the smaller id; and (q, nn, d, solved), all that tasks found, whose `solved` sums to the pairs solved exactly.
+    """(q, rank, nn, d): the k nearest other rows of every row (id, frames, counts, v), by the word mover's distance to nine places, ties to the smaller id; and (q, nn, d, solved), all that tasks found, whose `solved` sums to the pairs that transport was begun for.
 
     Rows are dealt to blocks of about BLOCK_FRAMES frames. Each block is searched in itself first; the kth distance
     found there limits the search between blocks, where each pair of blocks is one task. Ids are distinct. All rows
@@ -225,7 +245,9 @@ def nearest_traces(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         block = Block(part.assign(reach=math.inf))
         return _listed(*block_nearest(block, block, k, True))
 
-    own = stored(dealt.groupBy("p").applyInPandas(alone, _FOUND), "own")
+    # the work of a block grows with its pairs, not its bytes, so the number of tasks is fixed here
+    tasks = lambda keys: min(keys, TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    own = stored(dealt.repartition(tasks(blocks), "p").groupBy("p").applyInPandas(alone, _FOUND), "own")
     limits = own.where("q is not null").groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).alias("reach"))
     ready = dealt.join(limits.withColumnRenamed("q", "id"), "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
     left = ready.select("*", F.explode(F.expr(f"filter(sequence(0, {blocks - 1}), x -> x > p)")).alias("r"))
@@ -235,6 +257,7 @@ def nearest_traces(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     def between(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         return _listed(*block_nearest(Block(x), Block(y), k, False)) if len(x) and len(y) else _listed([], 0)
 
-    found = own.union(left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInPandas(between, _FOUND))
+    side = lambda df: df.repartition(tasks(max(1, blocks * (blocks - 1) // 2)), "p", "r").groupBy("p", "r")
+    found = own.union(side(left).cogroup(side(right)).applyInPandas(between, _FOUND))
     found = stored(found, "found")
     return _top(found, k).select("q", F.col("rank").cast("long").alias("rank"), "nn", "d"), found
