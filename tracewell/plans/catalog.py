@@ -7,6 +7,7 @@ the lines of a trace, as in the traces that the measures were made for; set meas
 
 from __future__ import annotations
 
+import copy
 import uuid
 
 import numpy as np
@@ -712,6 +713,45 @@ def csv_round_trip(spark, sf):
     return back.select("doc_id", F.md5("text").alias("digest"), "n_chars")
 
 
+@query(f"WITH {S.CAT} SELECT id, md5(text) AS digest, length(text) AS n_chars FROM cat")
+def catalog_sink(spark, sf):
+    """The catalog through its CSV sink."""
+    path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    io.write_csv(traces(spark, sf), path)
+    return io.read_csv(spark, path, "id long, text string").select("id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT i, j, x.sim AS jaccard, y.sim AS cosine FROM ({ORACLE_SQL['sim_jaccard']}) x JOIN ({ORACLE_SQL['sim_cosine']}) y USING (i, j)")
+def pair_sink(spark, sf):
+    """Pairs with two measures, one of which may be null, through the sink of pair measures."""
+    path = f"{shared_dir(spark)}/measures-{uuid.uuid4().hex}"
+    both = sim_jaccard(spark, sf).withColumnRenamed("sim", "jaccard").join(sim_cosine(spark, sf).withColumnRenamed("sim", "cosine"), ["i", "j"])
+    io.write_csv(both, path)
+    return io.read_csv(spark, path, "i long, j long, jaccard double, cosine double")
+
+
+@query("SELECT vec_id AS id, true AS same FROM embeddings")
+def model_round_trip(spark, sf):
+    """Whether a tower read back from its store gives every embedding the outputs of the tower that was trained."""
+    tower, path = _tower(spark, sf), f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    io.save_model(spark, {f"p{k}": p for k, p in enumerate(tower.params)}, path)
+    arrays, back = io.load_model(spark, path), copy.deepcopy(tower)
+    for k, p in enumerate(back.params):
+        p[...] = 0
+        p += arrays[f"p{k}"]
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    one, two = (stored(learned.hashed(rows, t, "embedding"), "hashes") for t in (tower, back))
+    return one.join(two.withColumnRenamed("h", "other"), "id").select("id", F.col("h").eqNullSafe(F.col("other")).alias("same"))
+
+
+@query("SELECT round(avg(abs(x)), 9) + 0.0 AS mean_abs, round(avg(CASE WHEN abs(x) = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 9) + 0.0 AS exact FROM (SELECT unnest(list_concat(CAST(embedding AS DOUBLE[]), [1.0::DOUBLE])) AS x FROM embeddings WHERE embedding IS NOT NULL)")
+def output_shape(spark, sf):
+    """The shape of outputs, taken of given vectors with one component of 1 more, which is neither trained nor approximate."""
+    rows = table(spark, sf, "embeddings").where("embedding is not null")
+    shape = stats.output_shape(rows.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0))).alias("h")))
+    return shape.select(rounded("mean_abs").alias("mean_abs"), rounded("exact").alias("exact"))
+
+
 @query(f"WITH {S.EMB}, {S.band_cte('VALUES (0, 8, 8)')} SELECT band, count(*) AS n, count(DISTINCT key) AS keys FROM band GROUP BY band")
 def index_round_trip(spark, sf):
     """A bucket table through its store."""
