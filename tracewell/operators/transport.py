@@ -42,15 +42,20 @@ def cooccurrence(frames: DataFrame, reach: int = REACH) -> DataFrame:
     return met.groupBy("term", "other").agg(F.count("*").alias("n"))
 
 
-def _signs(term: str) -> list[Column]:
-    """Entries of 1 and -1, from the first bits of the frame's MD5."""
-    bits = F.conv(F.substring(F.md5(F.col(term)), 1, DIMENSIONS // 4), 16, 10).cast("long")
+def digest(term: Column) -> Column:
+    """What stands for a frame, so that no frame's text is shuffled: the 16 bytes of its MD5."""
+    return F.unhex(F.md5(term))
+
+
+def _signs(frame: str) -> list[Column]:
+    """Entries of 1 and -1, from the first bits of the frame's digest."""
+    bits = F.conv(F.hex(F.substring(F.col(frame), 1, DIMENSIONS // 8)), 16, 10).cast("long")
     return [F.when(F.shiftright(bits, DIMENSIONS - 1 - d).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0) for d in range(DIMENSIONS)]
 
 
 def frame_vectors(frames: DataFrame, reach: int = REACH) -> DataFrame:
-    """(term, v): a vector of length 1 for every frame of rows (id, frames), or zeros where nothing about its context is unusual."""
-    met = stored(cooccurrence(frames, reach), "cooccurrence")
+    """(frame, v): a vector of length 1 for every frame of rows (id, frames), by its digest, or zeros where nothing about its context is unusual."""
+    met = stored(cooccurrence(frames.select("id", F.transform("frames", digest).alias("frames")), reach), "cooccurrence")
     totals = stored(met.groupBy("term").agg(F.sum("n").alias("c")), "totals")
     whole = float(totals.agg(F.sum("c")).first()[0] or 0)
     both = met.join(totals, "term").join(totals.select(F.col("term").alias("other"), F.col("c").alias("c_other")), "other")
@@ -59,16 +64,16 @@ def frame_vectors(frames: DataFrame, reach: int = REACH) -> DataFrame:
     sums = weighted.groupBy("term").agg(*(F.sum(F.col("w") * s).alias(f"x{d}") for d, s in enumerate(_signs("other"))))
     raw = sums.select("term", F.array(*(F.col(f"x{d}") for d in range(DIMENSIONS))).alias("x"))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.withColumn("length", length).select("term", F.transform("x", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("v"))
+    return raw.withColumn("length", length).select(F.col("term").alias("frame"), F.transform("x", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("v"))
 
 
 def placed_bags(bags: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(id, frames, counts, v): each row of bags (id, term, n) in one, with hashes, counts and the joined vectors of its frames, by hash.
+    """(id, frames, counts, v): each row of bags (id, term, n) in one, with hashes, counts and the joined vectors (frame, v) of its frames, by hash.
 
     Frames without a vector are left out, and rows that have none at all.
     """
-    one = F.struct(F.xxhash64("term").alias("frame"), F.col("n").cast("long").alias("n"), "v")
-    rows = bags.join(vectors, "term").groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("b"))
+    one = F.struct(F.xxhash64("frame").alias("frame"), F.col("n").cast("long").alias("n"), "v")
+    rows = bags.select("id", digest(F.col("term")).alias("frame"), "n").join(vectors, "frame").groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("b"))
     return rows.select("id", F.col("b.frame").alias("frames"), F.col("b.n").alias("counts"), F.flatten("b.v").alias("v"))
 
 

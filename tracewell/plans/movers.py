@@ -24,7 +24,7 @@ def frame_vectors(spark, sf):
     """A vector for every line that any document holds, one entry a row."""
     frames = documents(spark, sf).select("id", T.lines(F.col("text")).alias("frames"))
     vectors = transport.frame_vectors(frames)
-    return vectors.select(F.md5("term").alias("frame"), F.posexplode("v").alias("d", "x")).select("frame", F.col("d").cast("long").alias("d"), rounded("x").alias("x"))
+    return vectors.select(F.lower(F.hex("frame")).alias("frame"), F.posexplode("v").alias("d", "x")).select("frame", F.col("d").cast("long").alias("d"), rounded("x").alias("x"))
 
 
 @query()
