@@ -96,6 +96,21 @@ def test_chains_of_links_in_long_lists(spark, monkeypatch, seed):
     assert got(N.ngram_jaccard_components(df, 2, 85)) == want
 
 
+def test_what_moves_between_blocks_follows_the_pairs(spark, monkeypatch):
+    """Sets of one family in many blocks, few of which link: whole sets travel with pairs that may link, not to every block."""
+    monkeypatch.setattr(N, "BLOCK_BYTES", 4 * 60 * 8)
+    rnd = random.Random(4)
+    docs, w = [], [f"w{i}" for i in range(60)]
+    for i in range(150):  # each shares much with the one before it, and every seventh links with it
+        for at in rnd.sample(range(60), 1 if i % 7 == 0 else 5):
+            w[at] = f"n{rnd.randrange(10_000)}"
+        docs.append((i, " ".join(w)))
+    held, df = [], spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(N.ngram_jaccard_components(df, 1, 90, held)) == brute(docs, 1, 90)
+    near = [t for t in held if t.columns == ["u", "v"] and "near-" in t.stored_at]
+    assert len(near) == 2 and 0 < sum(t.count() for t in near) < 150
+
+
 def test_smallest_tables(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

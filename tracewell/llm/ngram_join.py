@@ -15,9 +15,10 @@ the differences alone:
 The first part is a bitwise and of two masks over X. If it is enough by itself, Y and Z link; if even
 the smaller of the two remainders, or what parity sketches of them leave possible, is not enough, they
 don't; only then remainders are compared. Sets that links have joined already are not compared at
-all. Families beyond BLOCK_BYTES are dealt to blocks; then the sets outside a family's largest
-component meet the other blocks. The result is exact: a pair is passed over only if it cannot link or
-is in one component already.
+all. Families beyond BLOCK_BYTES are dealt to blocks; pairs of different blocks come from the index lists of
+their sets: sizes, places and sketches of whole sets rule pairs out before sets are fetched, so that what moves
+grows with the pairs that may link and not with blocks times sets. The result is exact: a pair is passed over
+only if it cannot link or is in one component already.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ LIGHT = 64
 BLOCK_BYTES = 16_000_000
 #: Least and most bits of a remainder's sketch, and bits for each of its n-grams.
 SKETCH_LEAST, SKETCH_MOST, SKETCH_RATE = 64, 4096, 16
+#: Pairs of index entries that a task looks at together.
+PAIRS_AT_ONCE = 2_000_000
 #: Least and most log2 of the bits that mark the documents whose sets are fetched.
 MARK_LEAST, MARK_MOST = 20, 30
 
@@ -117,6 +120,18 @@ def _token_counts(batches):
             yield batch(schema, token=token.astype(np.int64), c=c.astype(np.int64))
 
 
+def _ordered(s: np.ndarray, p: int, hot: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's first p n-grams, hot ones last, and over how many lists each is dealt."""
+    if not len(hot):
+        return s[:p], np.ones(p, np.int64)
+    key = _short(s)
+    at = np.searchsorted(hot, key)
+    at[at == len(hot)] = 0
+    is_hot = hot[at] == key
+    order = np.argsort(is_hot, kind="stable")[:p]
+    return s[order], np.where(is_hot, many[at], 1)[order]
+
+
 def _entries(k: int, percent: int, hot, salts):
     """Index entries of each set's prefix; a set that a task meets again is entered once."""
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -131,18 +146,11 @@ def _entries(k: int, percent: int, hot, salts):
                 if (cls, n) in seen:
                     continue
                 seen.add((cls, n))
-                p, salt = _prefix(n, percent), None
-                if len(last):
-                    key = _short(s)
-                    at = np.searchsorted(last, key)
-                    at[at == len(last)] = 0
-                    is_hot = last[at] == key
-                    order = np.argsort(is_hot, kind="stable")[:p]
-                    # salted lists have a salt of 1 or more
-                    salt = np.where(is_hot & (many[at] > 1), cls % many[at] + 1, 0)[order]
-                    s = s[order]
-                out["token"].append(s[:p].view(np.int64))
-                out["salt"].append(np.zeros(p, np.int32) if salt is None else salt.astype(np.int32))
+                s, lists = _ordered(s, _prefix(n, percent), last, many)
+                p = len(s)
+                out["token"].append(s.view(np.int64))
+                # salted lists have a salt of 1 or more
+                out["salt"].append(np.where(lists > 1, cls % lists + 1, 0).astype(np.int32))
                 out["cls"].append(np.full(p, cls, np.int64))
                 out["n"].append(np.full(p, n, np.int32))
                 out["pos"].append(np.arange(p, dtype=np.int32))
@@ -232,11 +240,8 @@ def _marks(ids: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def links_of(cls: np.ndarray, sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Places (i, j) of sets that link, enough of them to join all that link.
-
-    label: components so far, whose sets are not compared; probe: only pairs with just one of these count.
-    """
+def links_of(cls: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of sets that link, enough of them to join all that link."""
     x = sets[0]
     n = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -262,23 +267,20 @@ def links_of(cls: np.ndarray, sets: list[np.ndarray], percent: int, label: np.nd
         odd = (np.bincount(place, minlength=(b - a) * bits) & 1).astype(np.uint8).reshape(b - a, bits)
         sketch[a:b] = np.packbits(odd, axis=1, bitorder="little").view(np.uint64)
 
-    root = np.unique(label, return_inverse=True)[1] if label is not None else np.arange(len(sets))
+    root = np.arange(len(sets))
     out = []
 
     def join(i: int, j: int) -> None:
         out.append((i, j))
         root[root == root[j]] = root[i]
 
-    if probe is None:
-        # X's own answers
-        for j in np.flatnonzero(100 * shared >= percent * (n + len(x) - shared)).tolist():
-            if root[j] != root[0]:
-                join(0, j)
-    for i in range(len(sets)) if probe is None else np.flatnonzero(probe).tolist():
+    # X's own answers
+    for j in np.flatnonzero(100 * shared >= percent * (n + len(x) - shared)).tolist():
+        if root[j] != root[0]:
+            join(0, j)
+    for i in range(len(sets)):
         other = root != root[i]
-        other[: i + 1] &= probe is not None
-        if probe is not None:
-            other &= ~probe
+        other[: i + 1] = False
         left = np.flatnonzero(other)
         left = left[np.minimum(n[left], n[i]) * 100 >= percent * np.maximum(n[left], n[i])]
         if not len(left):
@@ -306,13 +308,12 @@ def _compared(percent: int, by: tuple[str, ...]):
     def linked(group: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(group)
         cls = t.column("cls").to_numpy()
-        probe = t.column("probe").to_numpy(zero_copy_only=False) if "probe" in t.column_names else None
         # a set that several documents gave is there once
-        once = np.unique(cls if probe is None else np.stack([cls, probe]), return_index=True, axis=-1)[1]
+        once = np.unique(cls, return_index=True)[1]
         once = once[np.argsort(t.column("n").to_numpy()[once], kind="stable")]
         grams = t.column("grams").to_pylist()
         sets = [np.frombuffer(grams[i], np.uint64) for i in once.tolist()]
-        found = links_of(cls[once], sets, percent, None if probe is None else t.column("label").to_numpy()[once], None if probe is None else probe[once]) if len(sets) > 1 else []
+        found = links_of(cls[once], sets, percent) if len(sets) > 1 else []
         least = {}
 
         def root(i: int) -> int:
@@ -347,6 +348,142 @@ def _compared(percent: int, by: tuple[str, ...]):
     return run, "u long, v long"
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A parity sketch of a whole set; of about as many bits as it has n-grams."""
+    bits = 1 << max(SKETCH_LEAST.bit_length() - 1, min(SKETCH_MOST.bit_length() - 1, (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """N-grams in one of two sets but not in both, at least, by their sketches; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x))) ^ x).sum())
+
+
+def _sketched(batches):
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    for rb in batches:
+        sketches = [_parity(np.frombuffer(g, np.uint64)) for g in rb.column("grams").to_pylist()]
+        yield batch(schema, cls=rb.column("cls"), n=rb.column("n"), sketch=sketches)
+
+
+def _set_entries(percent: int, hot, salts):
+    """Index entries of sets (cls, n, grams, block). A list that is dealt over c parts is one list for each two parts, where only entries of different parts meet, and one for each part."""
+    schema = pa.schema([("token", pa.int64()), ("part", pa.int64()), ("own", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("reach", pa.int64()), ("block", pa.int32())])
+
+    def run(batches):
+        last, many = hot.value, salts.value
+        for rb in batches:
+            out = {f.name: [np.zeros(0, np.int64)] for f in schema}
+            for cls, g, block in zip(rb.column("cls").to_pylist(), rb.column("grams").to_pylist(), rb.column("block").to_pylist()):
+                whole = np.frombuffer(g, np.uint64)
+                s, lists = _ordered(whole, _prefix(len(whole), percent), last, many)
+                at = np.repeat(np.arange(len(s)), lists)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(lists) - lists, lists)
+                mine, c = cls % lists[at], lists[at]
+                out["token"].append(s.view(np.int64)[at])
+                out["part"].append(np.minimum(mine, other) * c + np.maximum(mine, other))
+                out["own"].append(np.where(mine == other, -1, mine))
+                out["reach"].append(len(whole) - at)
+                for name, value in (("cls", cls), ("n", len(whole)), ("block", block)):
+                    out[name].append(np.full(len(at), value, np.int64))
+            yield batch(schema, **{c: np.concatenate(v) for c, v in out.items()})
+
+    return run, "token long, part long, own long, cls long, n long, reach long, block int"
+
+
+def _met(percent: int, neighbours: bool):
+    """Distinct pairs u < v of different blocks and labels that sizes and places in a list leave possible; of neighbours by size only, or all."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    names = ("token", "part", "own", "cls", "n", "reach", "block", "label")
+
+    def run(batches):
+        got = [rb for rb in batches if rb.num_rows]
+        if not got:
+            return
+        cols = [np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in names]
+        del got
+        token, part, _, cls, n = cols[:5]
+        order = np.lexsort((cls, n, part, token))
+        first = np.ones(len(order), bool)
+        first[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (token, part, cls)])
+        token, part, own, cls, n, reach, block, label = (c[order[first]] for c in cols)
+        number = np.cumsum(np.concatenate(([False], (token[1:] != token[:-1]) | (part[1:] != part[:-1]))))
+        wide, places = int(n.max()) + 1, np.arange(len(n))
+        # sizes rise in a list, so the partners of an entry that are not smaller follow it
+        ends = np.searchsorted(number * wide + n, number * wide + np.minimum(n * 100 // percent, wide - 1), side="right")
+        many = np.minimum(ends - places - 1, 1) if neighbours else ends - places - 1
+        total = np.concatenate(([0], np.cumsum(many)))
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS_AT_ONCE, side="right")) - 1)
+            i = np.repeat(places[a:b], many[a:b])
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[a:b] - total[a], many[a:b])
+            ok = (block[i] != block[j]) & (label[i] != label[j]) & ((own[i] < 0) | (own[i] != own[j]))
+            i, j = i[ok], j[ok]
+            ok = np.minimum(reach[i], reach[j]) >= _need(percent, n[i], n[j])
+            i, j = cls[i[ok]], cls[j[ok]]
+            pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            yield batch(schema, u=pairs[0], v=pairs[1])
+            a = b
+
+    return run, "u long, v long"
+
+
+def _held_against(percent: int):
+    """(u, v) of rows with the sizes and sketches of both sets whose sketches leave a link possible."""
+
+    def run(batches):
+        for rb in batches:
+            n, m, a, b = (rb.column(c).to_pylist() for c in ("n_u", "n_v", "sketch_u", "sketch_v"))
+            ok = [_differ(x, y) <= i + j - 2 * _need(percent, i, j) for i, j, x, y in zip(n, m, a, b)]
+            yield rb.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run, "u long, v long"
+
+
+def _sharing(percent: int):
+    """(u, v) of rows with both sets that link."""
+
+    def run(batches):
+        for rb in batches:
+            both = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(rb.column("grams_u").to_pylist(), rb.column("grams_v").to_pylist()))
+            ok = [len(np.intersect1d(x, y, assume_unique=True)) >= _need(percent, len(x), len(y)) for x, y in both]
+            yield rb.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run, "u long, v long"
+
+
+def _between(sets: DataFrame, links: DataFrame, percent: int, hot, salts, held: list[DataFrame]) -> DataFrame:
+    """links with those of sets (cls, n, grams, block) of different blocks, enough of them to join all that link.
+
+    Neighbours in the lists come first, so that groups of near copies that lie in several blocks are joined by a few
+    pairs; then all pairs of what is still apart.
+    """
+    run, schema = _set_entries(percent, hot, salts)
+    entries = stored(sets.select("cls", "n", "grams", "block").mapInArrow(run, schema), "entries")
+    sketches = stored(sets.select("cls", "n", "grams").mapInArrow(_sketched, "cls long, n long, sketch binary"), "sketches")
+    held += [entries, sketches]
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // PART_ROWS + 1)
+
+    def joined(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+        for side in ("u", "v"):
+            pairs = pairs.join(rows.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return pairs.select("u", "v", *(f"{c}_{side}" for c in columns for side in ("u", "v")))
+
+    for neighbours in (True, False):
+        labelled = entries.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+        run, schema = _met(percent, neighbours)
+        pairs = labelled.repartition(parts, "token", "part").mapInArrow(run, schema).distinct()
+        run, schema = _held_against(percent)
+        near = stored(joined(pairs, sketches, "n", "sketch").mapInArrow(run, schema).distinct(), "near")
+        run, schema = _sharing(percent)
+        more = stored(joined(near, sets, "grams").mapInArrow(run, schema).distinct(), "links")
+        held += [near, more]
+        links = links.union(more)
+    return links
+
+
 def _hot(profile: DataFrame, entries: int):
     """(hot n-grams, how many lists each is dealt over), sorted, at most HOT_TABLE of them."""
     counted = profile.where("n > 0").select("cls", "n", "prefix").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -356,22 +493,17 @@ def _hot(profile: DataFrame, entries: int):
     return token[order], (rows.column("c").to_numpy()[order] // LIST_ROWS + 1).astype(np.int64)
 
 
-def _families(docs: DataFrame, profile: DataFrame, k: int, percent: int) -> DataFrame:
+def _families(docs: DataFrame, entries: int, hot, salts, k: int, percent: int) -> DataFrame:
     """(node, component): the family of each set that is in one, by its class."""
     spark = docs.sparkSession
-    entries = int((profile.agg(F.sum(F.length("prefix"))).first()[0] or 0) / 4)
-    hot, salts = map(spark.sparkContext.broadcast, _hot(profile, entries))
     run, schema = _entries(k, percent, hot, salts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // PART_ROWS + 1)
     listed = docs.where("doc_id is not null").mapInArrow(run, schema).repartition(parts, "token", "salt")
     run, schema = _relations(percent)
-    found = components(listed.mapInArrow(run, schema))
-    hot.destroy()
-    salts.destroy()
-    return found
+    return components(listed.mapInArrow(run, schema))
 
 
-def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int, held: list[DataFrame]) -> DataFrame:
+def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, hot, salts, k: int, percent: int, held: list[DataFrame]) -> DataFrame:
     """(node, component) of each class that links join to another; a component's first class may be left out. Its stored tables join `held`."""
     spark = docs.sparkSession
     clean(spark)  # the index lists are done with
@@ -394,16 +526,8 @@ def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, pe
     columns = ["cls", "n", "grams", *by]
     links = stored(sets.select(*columns).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links")
     held.append(links)
-    if known.last:  # families of several blocks: what is outside the largest component meets the other blocks
-        labels = components(links)
-        wide = members.where("last > 0").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "x", "block", "last", F.coalesce("component", "cls").alias("label"))
-        most = wide.groupBy("x", "label").count().groupBy("x").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
-        wide = wide.join(most, "x").withColumn("outside", F.col("label") != F.col("most")).drop("x", "block", "last", "most")
-        rows = sets.where("last > 0").join(wide, "cls")
-        there = rows.select(*columns, "label", F.lit(False).alias("probe"))
-        sent = rows.where("outside").select("cls", "n", "grams", "x", F.explode(F.filter(F.sequence(F.lit(0), "last"), lambda b: b != F.col("block"))).alias("block"), "label", F.lit(True).alias("probe"))
-        run, schema = _compared(percent, by)
-        return components(links.union(there.union(sent).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema)))
+    if known.last:  # families of several blocks
+        return components(_between(sets.where("last > 0"), links, percent, hot, salts, held))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -426,7 +550,11 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hel
     profile = stored(docs.mapInArrow(run, schema), "profile")
     held.append(profile)
     classes = profile.where("n > 0 and doc_id is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    labels = _labels(docs, classes, _families(docs, profile, k, percent), k, percent, held)
+    entries = int((profile.agg(F.sum(F.length("prefix"))).first()[0] or 0) / 4)
+    hot, salts = map(docs.sparkSession.sparkContext.broadcast, _hot(profile, entries))
+    labels = _labels(docs, classes, _families(docs, entries, hot, salts, k, percent), hot, salts, k, percent, held)
+    hot.destroy()
+    salts.destroy()
 
     joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
