@@ -51,7 +51,7 @@ def plain(vectors):
 
 @pytest.fixture(autouse=True)
 def small(monkeypatch):
-    monkeypatch.setattr(dense, "BLOCK", 16)
+    monkeypatch.setattr(dense, "BLOCK", 4)
     monkeypatch.setattr(dense, "STRIP", 5)
 
 
@@ -100,6 +100,16 @@ def test_best_candidates(spark, vectors, plain):
             assert got.get((q, g), []) == [(i, nn, len(found)) for i, (nn, _) in enumerate(found[:3], 1)]
 
 
+def test_nearest_in_buckets(spark, vectors, plain):
+    """Buckets of copies are larger than a block here, and most pairs share several bands."""
+    got = {}
+    for r in dense.nearest_in_buckets(frame(spark, vectors), 8, 8, 6).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.nn, r.s))
+    for q, others in plain.items():
+        want = sorted(((nn, s) for nn, s, met in others if met[3]), key=order)[:6]
+        assert [nn for nn, _ in got.get(q, [])] == [nn for nn, _ in want] and all(same(a, b) for (_, a), (_, b) in zip(got.get(q, []), want))
+
+
 def test_pairs(spark, vectors):
     ids = [i for i, _ in vectors]
     agree = {(r.i, r.j): r.agree for r in dense.agreeing(frame(spark, vectors), 8).collect()}
