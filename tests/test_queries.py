@@ -34,3 +34,9 @@ def test_query(spark, db, name):
 def test_minhash_metrics_are_registered_with_sql():
     names = {f"minhash_{m}" for m in ("prob", "mrr", "precision", "recall", "recall_at_k", "recall_cascade")}
     assert names <= set(catalog.QUERIES) and names <= set(catalog.ORACLE_SQL)
+
+
+def test_pair_measures_make_the_catalog_once(spark, monkeypatch):
+    calls, plain = [], catalog.traces
+    monkeypatch.setattr(catalog, "traces", lambda *x: calls.append(x) or plain(*x))
+    assert catalog.QUERIES["pair_measures"](spark, SF).columns[:2] == ["i", "j"] and len(calls) == 1
