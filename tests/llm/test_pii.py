@@ -1,7 +1,7 @@
 import random
 import re
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tests.conftest import SF
 from tracewell.llm import pii
@@ -57,6 +57,15 @@ def test_trees_score_alike_in_sql_and_python(spark):
     assert all(abs(r.s - pii.tree_score(trees, r.id)) < 1e-9 for r in got)
 
 
+def test_every_document_is_learned_from(spark):
+    """Addresses that stand only in rows beyond the 20,000 of the smallest hashes teach as others do."""
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) > 20_000
+    docs = ids.select("doc_id", F.when(late, F.concat(F.lit("write to a"), "doc_id", F.lit("@example.com today"))).otherwise("words").alias("text"))
+    trees, least = pii.fit(docs)["email"]
+    assert trees and least < float("inf")
+
+
 def test_wide_candidates_add_and_base_stays(spark):
     text = "mail to jo.doe [at] host [dot] com or call +1 (826) 555-4081 190.137.2.3 or (212) 555-0199 now"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -16,7 +16,7 @@ kinds, the one farthest above its threshold stays; none stays that overlaps a ba
 pass their checks always stay.
 
 Training sees counts of feature codes (4096 codes, 4 kinds, 2 labels, 2 folds: at most 65,536 rows),
-gathered by a group-by over a bounded sample of documents; the trees become a SQL expression.
+gathered by a group-by over all documents; the trees become a SQL expression.
 """
 
 from __future__ import annotations
@@ -60,8 +60,6 @@ TYPICAL = {
     "email": r"(?:\.|dot[\])] ?)[A-Za-z]{2,24}$", "ip": r"^(?!0)[0-9]{1,3}[^0-9]",
     "card": r"^[3-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}$", "phone": r"[0-9]{3}[)]? ?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$",
 }
-#: Most documents that the training reads.
-SAMPLE_ROWS = 20_000
 TREES, RATE = 24, 0.3
 #: Share of right ones that the threshold of a kind must reach among the candidates kept from the training.
 PRECISION = 0.98
@@ -202,9 +200,8 @@ def _score(trees: list[tuple], code: str) -> str:
 
 
 def fit(docs: DataFrame) -> dict[str, tuple[list[tuple], float]]:
-    """(trees, threshold) of each kind, from at most SAMPLE_ROWS documents chosen by a hash of their id."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text"))
+    """(trees, threshold) of each kind, from all documents with an id and a text; a quarter of them, by a hash of the id, is kept from the training for the thresholds."""
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     t, parts = F.col("text"), F.col("parts")
     found = []
     for k, kind in enumerate(KINDS):
@@ -217,7 +214,7 @@ def fit(docs: DataFrame) -> dict[str, tuple[list[tuple], float]]:
         if kind in DECOYS:
             decoys = F.filter(_spans(t, DECOYS[kind]), lambda x: ~x["s"].rlike(TYPICAL[kind])) if kind == "phone" else _spans(t, DECOYS[kind])
             found.append(_candidates(decoys, k, lambda x: F.lit(0)))
-    rows = sample.where("text is not null").select("doc_id", pieces(t).alias("parts"), F.concat(*found).alias("found"))
+    rows = known.select("doc_id", pieces(t).alias("parts"), F.concat(*found).alias("found"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).alias("part"), F.explode(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), _coded(parts, x).alias("code"), x["label"].alias("label")))).alias("c")).select("part", "c.*")
     counts = rows.groupBy("kind", "code", "label", (F.col("part") == 0).alias("kept")).count().collect()
     models = {}
