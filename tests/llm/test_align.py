@@ -134,3 +134,17 @@ def test_empty_table(spark, none):
 def test_intervals():
     ends, a, b, closes = align.overlaps(np.array([2, 5, 9]), np.array([3, 5, 6, 9]))
     assert ends.tolist() == [2, 3, 5, 6, 9] and a.tolist() == [0, 1, 1, 2, 2] and b.tolist() == [0, 0, 1, 2, 3] and closes.tolist() == [False, False, True, False, True]
+
+
+def test_each_distinct_part_is_encoded_once():
+    with open(A, encoding="utf-8") as f, open(B, "rb") as g:
+        both = align.Coders(f.read(), g.read())
+    rnd = np.random.default_rng(5)
+    signs = [" ", "  ", "\n", "\t", "a", "the", "é", "'s", "1", "▁", "<|endoftext|>", " ", "　", "。", "̈", "\x00", "\x85", "ﬁ", "!", "\r", "<s>", "<0x0A>", "x" * 150]
+    odd = [None, "", " ", LONG, "x" * 500, *("".join(signs[i] for i in rnd.integers(0, len(signs), n)) for n in rnd.integers(0, 15, 3000))]
+    assert both.cuts
+    whole, seen, encode = both.merged(odd), [], both.encode
+    both.encode = lambda texts: seen.extend(texts) or encode(texts)
+    assert both.aligned(odd) == whole and both.aligned(odd) == whole
+    seen.clear()
+    assert both.aligned([LONG, LONG + "and"]) and sum(map(len, seen)) < 100

@@ -4,6 +4,10 @@ Elementary intervals: the ends of both token sequences, merged, cut a text into
 lies in one token of either side, found by binary search. So each interval is one overlap. Where an
 interval's end is the end of both its tokens a group closes. The texts of a chunk are laid end to end and go
 through one such merge; as texts end with tokens of both sides, no group crosses two texts.
+
+Neither tokenizer has a token that goes from a character other than white space into a space, and what either makes of the
+text after such a place doesn't depend on what stands before it. So texts are cut there, and each distinct
+part is encoded and merged once and kept.
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sys
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,16 @@ from tracewell.storage import stored
 SENT_PAIRS = 1_000_000
 #: Text handled at a time, in characters.
 AT_ONCE = 1_000_000
+#: Parts of texts that a worker keeps; beyond that, only those of the texts at hand. Longer ones than CACHE_CHARS are not kept.
+CACHE_PARTS, CACHE_CHARS = 300_000, 200
 SHIFT = 32
 
 
+#: A place where texts are cut: before a space that follows something else than white space.
+_INSIDE = re.compile(r"(?<=\S)(?= )")
+_PARTS = re.compile(r"\s+\S*(?:[^\S ]\s*\S*)*(?:\s+\Z)?")  # what lies between them; white space at the end goes with the last part
+
+
 class Coders:
     """Both tokenizers, and the bytes of their ids. a_file: the JSON of a byte-level BPE; b_file: a sentencepiece model."""
 
@@ -50,19 +63,74 @@ class Coders:
         # texts of ids with what may follow them in a listing: A ids , or | and B ids , or ;
         self.say_a = np.array([f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"], object)
         self.say_b = np.array([f"{i}{c}" for i in range(len(self.bytes_b)) for c in ",;"], object)
+        # whether texts may be cut before a space: the byte-level pattern splits there, and no piece or added token goes across
+        plain_a = vocabulary.get("normalizer") is None and (vocabulary.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and vocabulary["pre_tokenizer"].get("use_regex", True) and not vocabulary["pre_tokenizer"].get("add_prefix_space")
+        self.cuts = plain_a and all(t["special"] for t in vocabulary["added_tokens"]) and not any(_INSIDE.search(piece(i).replace("▁", " ")) for i in range(self.b.get_piece_size()))
+        self.known: dict[str, tuple] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """(A ids, B ids) of each text with a space before it; none for empty texts, and where the joined bytes of either side differ from it."""
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         at = [i for i, t in enumerate(texts) if t]
-        a = self.a.encode_batch_fast([" " + texts[i] for i in at], add_special_tokens=False)
+        a = [x.ids for x in self.a.encode_batch_fast([" " + texts[i] for i in at], add_special_tokens=False)]
         b = self.b.encode([texts[i] for i in at], num_threads=1)
-        for i, x, y in zip(at, a, b):
-            x, whole = x.ids, (" " + texts[i]).encode()
-            if b"".join(map(self.bytes_b.__getitem__, y)) == whole and b"".join(map(self.bytes_a.__getitem__, x)) == whole:
+        whole = [(" " + texts[i]).encode() for i in at]
+        sizes, joined = np.fromiter(map(len, whole), np.int64, len(whole)), b"".join(whole)
+        same = lambda rows, lengths, known: np.array_equal(_sizes(rows, lengths), sizes) and b"".join(map(known.__getitem__, chain.from_iterable(rows))) == joined
+        every = same(a, self.size_a, self.bytes_a) and same(b, self.size_b, self.bytes_b)
+        for i, x, y, w in zip(at, a, b, whole):
+            if every or (b"".join(map(self.bytes_b.__getitem__, y)) == w and b"".join(map(self.bytes_a.__getitem__, x)) == w):
                 out[i] = x, y
         return out
 
+    def merged(self, texts: list[str]) -> list[tuple]:
+        """(tokens of A, of B, groups, listing, links packed as longs, A id * 2^32 + B id) of each text."""
+        coded, many = self.encode(texts), len(texts)
+        (a, n_a), (b, n_b) = _flat([x for x, _ in coded]), _flat([y for _, y in coded])
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends, own_a, own_b, closes = overlaps(ends_a, ends_b)
+        text = np.repeat(np.arange(many), n_a)[own_a]
+        n_groups = np.bincount(text[closes], minlength=many)
+        # the listing: tokens by group, A before B, each with the sign that follows it
+        shared = ends[closes]
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
+        said = np.concatenate([self.say_a[2 * a + last(group_a)], self.say_b[2 * b + last(group_b)]])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        said, tokens = said[order].tolist(), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        links = ((a[own_a] << SHIFT) + b[own_b]).tobytes()
+        at = (8 * np.concatenate(([0], np.cumsum(np.bincount(text, minlength=many))))).tolist()
+        listing = ["".join(said[i:j])[:-1] for i, j in zip(tokens, tokens[1:])]
+        return list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), listing, [links[i:j] for i, j in zip(at, at[1:])]))
+
+    def aligned(self, texts: list[str | None]) -> list[tuple]:
+        """What `merged` gives, from the parts of the texts; a text with a part that isn't given back byte by byte is merged as a whole."""
+        if not self.cuts:
+            return self.merged(texts)
+        known, parts = self.known, [_PARTS.findall(" " + t) if t else () for t in texts]
+        here = set().union(*parts)
+        if len(known) + len(here) > CACHE_PARTS:  # parts that these texts hold as well stay
+            again = {p: known[p] for p in here if p in known}
+            known.clear()
+            known.update(again)
+        new = [p for p in here if p not in known]
+        # every part begins with a space, which `encode` puts there
+        known.update(zip(new, self.merged([p[1:] for p in new])))
+        out: list[tuple] = []
+        whole = []
+        for i, each in enumerate(parts):
+            got = [known[p] for p in each]
+            n_a, n_b, n_groups, listing, links = zip(*got) if got else ((), (), (), (), ())
+            if not all(n_a):
+                whole.append(i)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(listing), b"".join(links)))
+        for i, one in zip(whole, self.merged([texts[i] for i in whole])):
+            out[i] = one
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+        return out
+
 
 def coders(a_file: str, b_file: bytes) -> Coders:
     """Kept by the worker process from task to task."""
@@ -83,7 +151,15 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((i for r in rows for i in r), np.int64, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts
+
+
+def _sizes(rows: list[list[int]], lengths: np.ndarray) -> np.ndarray:
+    """For each row of ids their lengths added up."""
+    ids, counts = _flat(rows)
+    total = np.concatenate(([0], np.cumsum(lengths[ids])))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -110,27 +186,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for rb in batches:
             texts = rb.column("_text").to_pylist()
             for at, to in chunks(texts, AT_ONCE):
-                coded, many = both.encode(texts[at:to]), to - at
-                (a, n_a), (b, n_b) = _flat([x for x, _ in coded]), _flat([y for _, y in coded])
-                ends_a, ends_b = np.cumsum(both.size_a[a]), np.cumsum(both.size_b[b])
-                ends, own_a, own_b, closes = overlaps(ends_a, ends_b)
-                text = np.repeat(np.arange(many), n_a)[own_a]
-                n_links, n_groups = np.bincount(text, minlength=many), np.bincount(text[closes], minlength=many)
-                # the listing: tokens by group, A before B, each with the sign that follows it
-                shared = ends[closes]
-                group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-                last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
-                said = np.concatenate([both.say_a[2 * a + last(group_a)], both.say_b[2 * b + last(group_b)]])
-                order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-                said, tokens = said[order].tolist(), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
-                listing = ["".join(said[i:j])[:-1] for i, j in zip(tokens, tokens[1:])]
+                many = to - at
+                n_a, n_b, n_groups, listing, packed = zip(*both.aligned(texts[at:to]))
+                links = np.frombuffer(b"".join(packed), np.int64)
+                n_links = np.fromiter(map(len, packed), np.int64, many) // 8
                 # distinct pairs of each text
-                wide = len(both.bytes_b)
-                key = (text * len(both.bytes_a) + a[own_a]) * wide + b[own_b]
-                key, times = np.unique(key, return_counts=True)
+                wide, most = len(both.bytes_b), len(both.bytes_a)
+                key, times = np.unique((np.repeat(np.arange(many), n_links) * most + (links >> SHIFT)) * wide + (links & (1 << SHIFT) - 1), return_counts=True)
                 rest, of_b = key // wide, key % wide
-                pair = (rest % len(both.bytes_a) << SHIFT) + of_b
-                sizes = np.bincount(rest // len(both.bytes_a), minlength=many)
+                pair = (rest % most << SHIFT) + of_b
+                sizes = np.bincount(rest // most, minlength=many)
                 yield pa.RecordBatch.from_arrays([
                     rb.column(id_col).slice(at, many), *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups, n_links)),
                     pa.array(listing, pa.string()), _lists(pair, sizes, pa.int64()), _lists(times, sizes, pa.int32())], names=names)
