@@ -71,6 +71,22 @@ def test_foreign_and_scrambled_texts_go_and_clean_ones_stay(spark):
     assert len([i for i in kept if i < 10**9]) >= 0.99 * n
 
 
+def test_pipeline_language_learns_from_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    many = spark.range(5001).select((F.col("id") + 10**9).alias("doc_id"), F.lit("zug um zug").alias("text"), F.lit("de").alias("lang"))
+    both = docs.union(many)
+    got = langid.trigram_model(both.where(langid.fold() != 0), both.where(langid.fold() == 0))
+    counts = np.zeros((len(got.langs), 1 << langid.TRIGRAM_BITS))
+    for r in both.where((langid.fold() != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).collect():
+        np.add.at(counts[got.langs.index(r.lang)], langid.Usual.trigrams([r.text.encode()])[0], 1)
+    plain = langid.Usual(got.langs, counts)
+    assert np.array_equal(plain.table, got.table) and np.isfinite(got.limit).all()
+    texts = [r.text.encode() for r in docs.where("length(text) > 0").collect()]
+    top, score, usual = got.judge(texts)
+    one = [got.judge([t]) for t in texts]
+    assert top.tolist() == [int(x[0][0]) for x in one] and np.allclose(score, [x[1][0] for x in one]) and usual.tolist() == [bool(x[2][0]) for x in one]
+
+
 def test_rates_against_plain_descent():
     rnd = np.random.default_rng(3)
     p = rnd.dirichlet([0.4] * 3, 500)

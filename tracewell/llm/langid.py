@@ -5,16 +5,21 @@ window, each keeps its largest response (ReLU), and a softmax layer gives the la
 probabilities. A filter of width w is w tables with a row for each byte. For inference, tables of
 neighbouring bytes are summed beforehand to tables for byte pairs, which halves the look-ups.
 
-The softmax only tells learned languages apart. Whether a text is in one at all is told by how usual
-its byte trigrams are there, against a limit calibrated on documents kept from the training: they
-must pass in their own language, and fail in the others and with their letters in random order.
+The softmax only tells learned languages apart. `keep_identified` also tells whether a text is in one at
+all, by byte trigrams alone: their shares in each language come from all labelled documents, and how
+usual they are is held against a limit calibrated on all documents kept from that: they must pass in
+their own language, and fail in the others and with their letters in random order.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm.common import boxed, chunks, small_batches, unboxed
@@ -38,6 +43,8 @@ TRIGRAM_BITS = 16
 TRIGRAM_BYTES = 250_000
 #: Lengths in bytes, besides their own, at which kept documents calibrate; what a lost document of a learned language counts against a foreign one that passes.
 CUTS, LOST = (40, 150), 10.0
+#: Steps that such values are counted in, to one.
+GRAIN = 1024
 #: A-Z in lower case, digits as one, other ASCII as a space.
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
@@ -130,15 +137,14 @@ class Network:
 
 
 class Usual:
-    """table[l]: log share of each trigram in language l; limit[l]: what `of` must reach to be in it."""
+    """Trigram shares of languages. table[l]: log share of each trigram in language l; limit[l]: what `of` must reach to be in it.
 
-    def __init__(self, texts: list[bytes], langs: np.ndarray, many: int):
-        self.spread = np.ones(many)
-        self.limit = np.full(many, -np.inf)
-        counts = np.zeros((many, 1 << TRIGRAM_BITS))
-        for a, b in chunks(texts, TRIGRAM_BYTES):
-            ids, owner = self.trigrams(texts[a:b])
-            np.add.at(counts, (langs[a:b][owner], ids), 1)
+    counts[l]: how often each trigram bucket stands in the texts of language l.
+    """
+
+    def __init__(self, langs: list[str], counts: np.ndarray):
+        self.langs = langs
+        self.limit = np.full(len(langs), -np.inf)
         shares = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
         self.table = np.log(shares)
         mean = (shares * self.table).sum(1, keepdims=True)
@@ -146,47 +152,72 @@ class Usual:
         self.table = self.table.astype(np.float32)
 
     @staticmethod
-    def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the trigrams of all texts, without runs of spaces, and the text of each."""
+    def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the trigrams of all texts, without runs of spaces, the text of each, and its place there."""
         b = np.frombuffer(b" " + b"  ".join(texts).translate(_PLAIN) + b" ", np.uint8)
         sizes = np.array([len(t) + 2 for t in texts])
         gap = b == 32
         at = np.flatnonzero(~((gap[:-2] & gap[1:-1]) | (gap[1:-1] & gap[2:])))
         code = (b[at].astype(np.uint32) << 16) | (b[at + 1].astype(np.uint32) << 8) | b[at + 2]
-        return (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS), np.searchsorted(np.cumsum(sizes), at, "right")
+        owner = np.searchsorted(np.cumsum(sizes), at, "right")
+        return (code * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS), owner, at - (np.cumsum(sizes) - sizes)[owner]
 
     def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the sums of its trigrams' log shares in every language, and how many trigrams it has."""
         n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.table)))
         for a, b in chunks(texts, TRIGRAM_BYTES):
-            ids, owner = self.trigrams(texts[a:b])
+            ids, owner, _ = self.trigrams(texts[a:b])
             n[a:b] = np.bincount(owner, minlength=b - a)
             for k, shares in enumerate(self.table):
                 total[a:b, k] = np.bincount(owner, shares[ids], minlength=b - a)
         return total, n
 
-    def of(self, texts: list[bytes]) -> np.ndarray:
-        """For each text and language the mean log share of the text's trigrams, and what chance may take from so many."""
-        total, n = self.sums(texts)
+    def usualness(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
         many = np.maximum(n, 1)[:, None]
         return np.where(n[:, None] > 0, total / many + self.spread / np.sqrt(many), -np.inf)
 
-    def calibrate(self, texts: list[str], langs: np.ndarray, seed: int = 7) -> None:
-        """Set the limit of each language with the fewest errors over its texts and foreign ones."""
-        rnd = np.random.default_rng(seed)
-        mixed = [rnd.permutation(np.frombuffer(t.encode("utf-32-le"), "<u4")).tobytes().decode("utf-32-le") for t in texts]
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        """For each text and language the mean log share of the text's trigrams, and what chance may take from so many."""
+        return self.usualness(*self.sums(texts))
+
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its language by all its trigrams, the mean over its trigrams of that language's probability in their window of the text, and whether it is usual there."""
+        many = len(texts)
+        total, n, inside = np.zeros((many, len(self.table))), np.zeros(many, np.int64), np.zeros((many, len(self.table)))
+        for a, b in chunks(texts, TRIGRAM_BYTES):
+            ids, owner, place = self.trigrams(texts[a:b])
+            if not len(ids):
+                continue
+            first = (np.diff(owner, prepend=-1) != 0) | (np.diff(place // WINDOW, prepend=-1) != 0)
+            window = np.cumsum(first) - 1
+            sums = np.stack([np.bincount(window, shares[ids]) for shares in self.table], 1)
+            size, text = np.bincount(window), owner[first]
+            p = np.exp(sums - sums.max(1, keepdims=True))
+            p *= (size / p.sum(1))[:, None]
+            n[a:b] = np.bincount(owner, minlength=b - a)
+            for k in range(len(self.table)):
+                total[a:b, k] = np.bincount(text, sums[:, k], minlength=b - a)
+                inside[a:b, k] = np.bincount(text, p[:, k], minlength=b - a)
+        top, every = total.argmax(1), np.arange(many)
+        return top, inside[every, top] / np.maximum(n, 1), self.usualness(total, n)[every, top] >= self.limit[top]
+
+    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What `of` gives for texts at each length of CUTS and whole, and for them with their letters in random order, fixed by the text."""
+        mixed = [np.random.default_rng(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))).permutation(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")).tobytes().decode("utf-32-le", "surrogatepass") for t in texts]
         cut = lambda ts: self.of([t.encode("utf-8", "surrogatepass")[:n] for n in (*CUTS, None) for t in ts])
-        own, mixed, langs = cut(texts), cut(mixed), np.tile(langs, len(CUTS) + 1)
+        return cut(texts), cut(mixed)
+
+    def calibrate(self, rows: pa.Table) -> None:
+        """Set the limit of each language with the fewest errors over counts of values (k, step, good, bad), of its own texts and of foreign ones."""
         for k in range(len(self.limit)):
-            a, other = own[:, k], mixed[:, k]
-            good, bad = np.sort(a[langs == k]), np.sort(np.concatenate([a[langs != k], other]))
-            good, bad = good[np.isfinite(good)], bad[np.isfinite(bad)]
-            if not len(good) or not len(bad):
+            mine = rows.filter(pc.equal(rows.column("k"), k)).sort_by("step")
+            step, good, bad = (mine.column(c).to_numpy() for c in ("step", "good", "bad"))
+            if not good.sum() or not bad.sum():
                 continue
             # between neighbours of all values; of equally good limits the middle one
-            at = np.unique(np.concatenate([good, bad]))
-            at = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2))
-            cost = LOST * np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
+            at = np.concatenate(([step[0]], (step[1:] + step[:-1] + 1) / 2)) / GRAIN
+            lost, passed = np.cumsum(good) - good, bad.sum() - np.cumsum(bad) + bad
+            cost = LOST * lost / good.sum() + passed / bad.sum()
             best = at[cost <= cost.min() + 1e-12]
             self.limit[k] = best[len(best) // 2]
 
@@ -220,27 +251,73 @@ def fitted(got: list) -> Network | None:
     return net
 
 
-def usual(net: Network | None, got: list, kept: list) -> Usual | None:
-    """The trigrams of the network's languages in the sample `got`, with limits from the sample `kept`."""
-    if net is None:
-        return None
-    out = Usual([r.text.encode() for r in got], np.array([net.langs.index(r.y) for r in got]), len(net.langs))
-    kept = [r for r in kept if r.y in net.langs]
-    if kept:
-        out.calibrate([r.text for r in kept], np.array([net.langs.index(r.y) for r in kept]))
-    return out
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("y"), F.col("text").cast("string").alias("text"))
 
 
-def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = (), only: Usual | None = None) -> DataFrame:
+def trigram_model(docs: DataFrame, kept: DataFrame) -> Usual | None:
+    """The trigrams of all labelled rows of docs, with limits from all labelled rows of kept; None without any label.
+
+    Tasks count in numpy, and their counts are summed by language and bucket; so are the values of the kept
+    texts, in steps of 1 / GRAIN. So what reaches the driver is bounded by languages, buckets and steps.
+    """
+    small_batches(docs.sparkSession)
+    rows = _labelled(docs)
+    langs = sorted(r.y for r in rows.select("y").distinct().collect())
+    if not langs:
+        return None
+    number = {y: k for k, y in enumerate(langs)}
+
+    def count(batches):
+        counts = np.zeros((len(langs), 1 << TRIGRAM_BITS), np.int64)
+        for rb in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in rb.column("text").to_pylist()]
+            y = np.array([number[v] for v in rb.column("y").to_pylist()], np.int64)
+            for a, b in chunks(texts, TRIGRAM_BYTES):
+                ids, owner, _ = Usual.trigrams(texts[a:b])
+                counts += np.bincount((y[a:b][owner] << TRIGRAM_BITS) + ids, minlength=counts.size).reshape(counts.shape)
+        k, bucket = np.nonzero(counts)
+        for i in range(0, len(k), 1 << TRIGRAM_BITS):
+            part = slice(i, i + (1 << TRIGRAM_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(k[part], pa.int32()), pa.array(bucket[part], pa.int32()), pa.array(counts[k[part], bucket[part]])], names=["k", "bucket", "n"])
+
+    got = rows.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(langs), 1 << TRIGRAM_BITS))
+    counts[got.column("k").to_numpy(), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    model = Usual(langs, counts)
+    shared = shipped(docs.sparkSession, model)
+
+    def value(batches):
+        held, found = shared(), Counter()
+        for rb in batches:
+            texts, y = rb.column("text").to_pylist(), np.array([number.get(v, -1) for v in rb.column("y").to_pylist()], np.int64)
+            for a, b in chunks(texts, TRIGRAM_BYTES):
+                own, mixed = held.values(texts[a:b])
+                known = np.tile(y[a:b], len(CUTS) + 1)
+                for k in range(len(langs)):
+                    for good, v in ((1, own[known == k, k]), (0, own[(known != k) & (known >= 0), k]), (0, mixed[known >= 0, k])):
+                        step, n = np.unique(np.floor(v[np.isfinite(v)] * GRAIN).astype(np.int64), return_counts=True)
+                        for x, m in zip(step.tolist(), n.tolist()):
+                            found[k, x, good] += m
+        if found:
+            k, step, good = zip(*found)
+            n = np.array(list(found.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(step, pa.int64()), pa.array(n * good), pa.array(n * (1 - np.array(good)))], names=["k", "step", "good", "bad"])
+
+    values = _labelled(kept).mapInArrow(value, "k int, step long, good long, bad long").groupBy("k", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    model.calibrate(values.toArrow())
+    return model
+
+
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns `keep` with lang_pred and score, from column text alone.
 
     The score is the mean probability of the predicted language over all windows of the whole text,
     weighted by their lengths. Texts that are null or have no letter, and all texts if there was
-    nothing to learn from, get `und` and 0, and with `only` also texts whose trigrams are not usual in
-    the predicted language. Rows come one to one, whatever is repeated or null.
+    nothing to learn from, get `und` and 0. Rows come one to one, whatever is repeated or null.
     """
     small_batches(docs.sparkSession)
-    shared = shipped(docs.sparkSession, (net, net.compiled(), only) if net else None)
+    shared = shipped(docs.sparkSession, (net, net.compiled()) if net else None)
     letter = regex.compile(r"\p{L}")
 
     def run(batches):
@@ -258,8 +335,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = (), on
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 p = np.add.reduceat(p, first, axis=0) / np.add.reduceat(length, first)[:, None]
                 top = p.argmax(1)
-                ok = held[2].of(raw)[np.arange(len(at)), top] >= held[2].limit[top] if held[2] else np.ones(len(at), bool)
-                for i, row, best in ((at[j], p[j], top[j]) for j in np.flatnonzero(ok)):
+                for i, row, best in zip(at, p, top):
                     langs[i], scores[i] = held[0].langs[best], float(min(1.0, row[best]))
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
@@ -286,9 +362,22 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs in a learned language, decided with a score of `least` or more, in their own columns.
 
-    Without labelled rows in fold 0 there is nothing to calibrate on, and unusual texts stay too.
+    Languages are told apart by the trigrams of all labelled documents outside fold 0; all those in fold 0
+    calibrate what is usual. Without any there, unusual texts stay too. Rows come one to one, whatever is repeated or null.
     """
-    got = sample(docs.where(fold() != 0))
-    net = fitted(got)
-    judged = predict(boxed(docs, "text"), net, ("text", "box"), usual(net, got, sample(docs.where(fold() == 0)))).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
-    return unboxed(judged, docs, "text")
+    model = trigram_model(docs.where(fold() != 0), docs.where(fold() == 0))
+    shared = shipped(docs.sparkSession, model)
+    letter = regex.compile(r"\p{L}")
+    rows = boxed(docs, "text")
+
+    def run(batches):
+        held = shared()
+        for rb in batches:
+            texts = rb.column("text").to_pylist()
+            at = [i for i, t in enumerate(texts) if held and t and letter.search(t)]
+            if not at:
+                continue
+            _, score, usual = held.judge([texts[i].encode("utf-8", "surrogatepass") for i in at])
+            yield rb.take(pa.array(np.array(at)[usual & (score >= least)], pa.int64()))
+
+    return unboxed(rows.mapInArrow(run, rows.schema), docs, "text")
