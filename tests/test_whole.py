@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import lsh, simjoin
+from tracewell.functions import text as T
+from tracewell.operators import features as X, lsh, simjoin
 from tracewell.sources import io
 from tracewell.streaming import growing, lookup
 
@@ -142,3 +143,15 @@ def test_probe_does_not_shuffle_the_index(spark, vectors, tmp_path):
     want = {(x, k, y) for x, y, k in all_links(vectors)}
     assert {tuple(r) for r in got.collect()} == want | {(y, k, x) for x, k, y in want}
     spark.sql("DROP TABLE held_buckets")
+
+
+def test_rows_count_their_own_terms_and_move_nothing(spark):
+    rows = spark.createDataFrame([(1, "B.b a.a\na.a b.b\tc c.c"), (2, ""), (3, "x"), (None, "aa aa aa"), (5, "no dot\n.\n..\na.\n.a\nau.bé.c d\ne.f.g aa.bb\r.cc.dd")], "id int, text string")
+    twice = rows.union(spark.createDataFrame([(1, "a.a again")], "id int, text string"))
+    assert X.own_ids(rows) and not X.own_ids(twice) and not X.own_ids(rows.union(rows.where("id is null")))
+    for kind in (X.frames_of, X.bigrams_of, X.durfex_of):
+        own, plain = X.own_counts(*kind(rows)), X.term_counts(*kind(rows))
+        assert own.schema.simpleString() == plain.schema.simpleString() and sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))
+        assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    old = F.translate(F.array_join(F.transform(T.lines(F.col("text")), lambda x: F.regexp_replace(x, r"(?s)\.?[^.]*$", "")), " "), "$/<>", "")
+    assert all(r.a == r.b for r in rows.select(old.alias("a"), T.packages(F.col("text")).alias("b")).collect())

@@ -30,25 +30,30 @@ def documents(spark, sf) -> DataFrame:
 # ---- features and hashes
 
 
+def _counts(docs: DataFrame, kind) -> DataFrame:
+    """(id, term, n) of a kind of terms: row by row where ids don't repeat, else grouped by id."""
+    return (X.own_counts if X.own_ids(docs) else X.term_counts)(*kind(docs))
+
+
 @query(f"WITH {ALL}, {S.BAG} SELECT id, term, n FROM bag")
 def all_bag_of_frames(spark, sf):
-    return X.bag_of_frames(documents(spark, sf))
+    return _counts(documents(spark, sf), X.frames_of)
 
 
 @query(f"WITH {ALL}, {S.BIGRAMS} SELECT id, term, n FROM bigrams")
 def all_bigram_counts(spark, sf):
-    return X.bag_of_bigrams(documents(spark, sf))
+    return _counts(documents(spark, sf), X.bigrams_of)
 
 
 @query(f"WITH {ALL}, {S.DURFEX} SELECT id, term, n FROM durfex")
 def all_durfex_counts(spark, sf):
-    return X.durfex_counts(documents(spark, sf))
+    return _counts(documents(spark, sf), X.durfex_of)
 
 
 @query(f"WITH {ALL}, {S.BAG}, {S.TFIDF} SELECT id, term, round(w, 9) + 0.0 AS w FROM tfidf")
 def all_tfidf(spark, sf):
     docs = documents(spark, sf)
-    return X.tfidf(stored(X.bag_of_frames(docs), "counts"), docs.count()).withColumn("w", rounded("w"))
+    return X.tfidf(stored(_counts(docs, X.frames_of), "counts"), docs.count()).withColumn("w", rounded("w"))
 
 
 @query(f"WITH {ALL}, {S.BAG} SELECT term, total, round(1 + ln(c / total), 9) + 0.0 AS idf, round(total / c, 9) + 0.0 AS share FROM (SELECT term, CAST(sum(n) AS BIGINT) AS total FROM bag GROUP BY term), (SELECT CAST(count(*) AS DOUBLE) AS c FROM cat)")
