@@ -155,3 +155,11 @@ def test_rows_count_their_own_terms_and_move_nothing(spark):
         assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
     old = F.translate(F.array_join(F.transform(T.lines(F.col("text")), lambda x: F.regexp_replace(x, r"(?s)\.?[^.]*$", "")), " "), "$/<>", "")
     assert all(r.a == r.b for r in rows.select(old.alias("a"), T.packages(F.col("text")).alias("b")).collect())
+
+
+def test_simhash_of_rows_equals_the_join(spark):
+    rows = spark.createDataFrame([(1, "a.a bb bb ccc"), (2, ""), (None, "x" * 300 + " bb"), (4, "été zz_z zz_z zz_z 12 12")], "id long, text string")
+    docs, terms = X.frames_of(rows)
+    got = lsh.simhash_rows(docs.select("id", X.counted(terms).alias("counts")))
+    want = lsh.simhash(X.bag_of_frames(rows).withColumn("w", F.col("n").cast("double")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -82,7 +82,12 @@ def all_fnv1a64(spark, sf):
 
 @query(f"WITH {ALL}, {S.BAG}, {S.FNV}, {S.SIMHASH} SELECT id, array_to_string(code, '') AS code FROM simhash")
 def all_simhash_codes(spark, sf):
-    codes = lsh.simhash(X.bag_of_frames(documents(spark, sf)).withColumn("w", F.col("n").cast("double")))
+    docs = documents(spark, sf)
+    if X.own_ids(docs):
+        rows, terms = X.frames_of(docs)
+        codes = lsh.simhash_rows(rows.select("id", X.counted(terms).alias("counts")))
+    else:
+        codes = lsh.simhash(X.bag_of_frames(docs).withColumn("w", F.col("n").cast("double")))
     return codes.select("id", F.array_join(F.transform("code", lambda x: x.cast("string")), "").alias("code"))
 
 
