@@ -111,6 +111,30 @@ def test_what_moves_between_blocks_follows_the_pairs(spark, monkeypatch):
     assert len(near) == 2 and 0 < sum(t.count() for t in near) < 150
 
 
+def test_only_what_may_meet_is_stored_for_blocks(spark, monkeypatch):
+    """Of one large family and many small ones only the large one's sets are stored, and only entries of lists of several blocks are joined with labels."""
+    monkeypatch.setattr(N, "BLOCK_BYTES", 4 * 60 * 8)
+    rnd = random.Random(5)
+    docs, w = [], [f"w{i}" for i in range(60)]
+    for i in range(60):
+        for at in rnd.sample(range(60), 1 if i % 4 == 0 else 5):
+            w[at] = f"n{rnd.randrange(10_000)}"
+        docs.append(" ".join(w))
+    for i in range(40):
+        small = [f"s{i}x{j}" for j in range(30)]
+        docs += [" ".join(small), " ".join([*small, f"e{i}"])]
+    docs = list(enumerate(docs))
+    held, df = [], spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(N.ngram_jaccard_components(df, 1, 90, held)) == brute(docs, 1, 90)
+    (sets,) = [t for t in held if "/sets-" in t.stored_at]
+    assert 0 < sets.select("cls").distinct().count() <= 60
+    (entries,) = [t for t in held if "/entries-" in t.stored_at]
+    lists = {}
+    for r in entries.collect():
+        lists.setdefault((r.token, r.part), set()).add(r.block)
+    assert lists and all(len(blocks) > 1 for blocks in lists.values())
+
+
 def test_smallest_tables(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]

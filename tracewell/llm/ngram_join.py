@@ -392,6 +392,43 @@ def _set_entries(percent: int, hot, salts):
     return run, "token long, part long, own long, cls long, n long, reach long, block int"
 
 
+def _meeting(percent: int):
+    """The entries, once each, that may meet one of another block in their list; sizes, places and blocks rule the others out."""
+    names = ("token", "part", "own", "cls", "n", "reach", "block")
+
+    def run(batches):
+        got = [rb for rb in batches if rb.num_rows]
+        if not got:
+            return
+        cols = [np.concatenate([rb.column(c).to_numpy(zero_copy_only=False) for rb in got]) for c in names]
+        schema = got[0].schema
+        del got
+        token, part, _, cls, n = cols[:5]
+        order = np.lexsort((cls, n, part, token))
+        first = np.ones(len(order), bool)
+        first[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (token, part, cls)])
+        cols = [c[order[first]] for c in cols]
+        token, part, _, _, n, reach, _ = cols
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
+        number = np.cumsum(new)
+        # one of the neighbours by size must be near enough
+        near = ~new[1:] & (n[:-1] * 100 >= percent * n[1:])
+        keep = np.concatenate(([False], near)) | np.concatenate((near, [False]))
+        # the smallest partner asks for the least
+        wide = int(n.max()) + 1
+        least = n[np.searchsorted(number * wide + n, number * wide - (-percent * n // 100))]
+        keep &= reach >= _need(percent, n, least)
+        number, cols = number[keep], [c[keep] for c in cols]
+        # what is left of a list must lie in several blocks
+        starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))[: len(number)])
+        block = cols[-1]
+        mixed = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts) if len(starts) else np.zeros(0, bool)
+        keep = np.repeat(mixed, np.diff(np.append(starts, len(number))))
+        yield batch(schema, **{c: v[keep] for c, v in zip(names, cols)})
+
+    return run, "token long, part long, own long, cls long, n long, reach long, block int"
+
+
 def _met(percent: int, neighbours: bool):
     """Distinct pairs u < v of different blocks and labels that sizes and places in a list leave possible; of neighbours by size only, or all."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -463,8 +500,13 @@ def _between(sets: DataFrame, links: DataFrame, percent: int, hot, salts, held:
     run, schema = _set_entries(percent, hot, salts)
     entries = stored(sets.select("cls", "n", "grams", "block").mapInArrow(run, schema), "entries")
     sketches = stored(sets.select("cls", "n", "grams").mapInArrow(_sketched, "cls long, n long, sketch binary"), "sketches")
-    held += [entries, sketches]
-    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.count() // PART_ROWS + 1)
+    held.append(sketches)
+    least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run, schema = _meeting(percent)
+    every, entries = entries, stored(entries.repartition(max(least, entries.count() // PART_ROWS + 1), "token", "part").mapInArrow(run, schema), "entries")
+    discard(every)
+    held.append(entries)
+    parts = max(least, entries.count() // PART_ROWS + 1)
 
     def joined(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
         for side in ("u", "v"):
@@ -478,7 +520,9 @@ def _between(sets: DataFrame, links: DataFrame, percent: int, hot, salts, held:
         run, schema = _held_against(percent)
         near = stored(joined(pairs, sketches, "n", "sketch").mapInArrow(run, schema).distinct(), "near")
         run, schema = _sharing(percent)
-        more = stored(joined(near, sets, "grams").mapInArrow(run, schema).distinct(), "links")
+        asked = near.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+        whole = sets.join(F.broadcast(asked), "cls", "left_semi") if near.count() <= SENT_SETS else sets
+        more = stored(joined(near, whole, "grams").mapInArrow(run, schema).distinct(), "links")
         held += [near, more]
         links = links.union(more)
     return links
@@ -503,6 +547,17 @@ def _families(docs: DataFrame, entries: int, hot, salts, k: int, percent: int) -
     return components(listed.mapInArrow(run, schema))
 
 
+def _gathered(docs: DataFrame, members: DataFrame, count: int, k: int):
+    """(cls, grams, n, x, block) of the classes in members, and the broadcast that their documents are told by."""
+    spark = docs.sparkSession
+    bits = min(MARK_MOST, max(MARK_LEAST, (16 * count).bit_length()))
+    marks = spark.sparkContext.broadcast(_marks(members.select(F.col("rep").alias("id")), bits))
+    run, schema = _fetched(k, marks)
+    found = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("mark")).mapInArrow(run, schema)
+    places = members.select("cls", "n", "x", "block")
+    return found.join(F.broadcast(places) if count <= SENT_SETS else places, "cls"), marks
+
+
 def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, hot, salts, k: int, percent: int, held: list[DataFrame]) -> DataFrame:
     """(node, component) of each class that links join to another; a component's first class may be left out. Its stored tables join `held`."""
     spark = docs.sparkSession
@@ -510,24 +565,25 @@ def _labels(docs: DataFrame, classes: DataFrame, families: DataFrame, hot, salts
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("x")), "cls")
     size = members.groupBy("x").agg((F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = stored(members.join(size, "x").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("last") + 1).cast("int")), "members")
-    known = members.agg(F.count("*").alias("c"), F.max("last").alias("last")).first()
-    bits = min(MARK_MOST, max(MARK_LEAST, (16 * known.c).bit_length()))
-    marks = spark.sparkContext.broadcast(_marks(members.select(F.col("rep").alias("id")), bits))
-    run, schema = _fetched(k, marks)
-    found = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("mark")).mapInArrow(run, schema)
-    places = members.select("cls", "n", "x", "block", "last")
-    sets = stored(found.join(F.broadcast(places) if known.c <= SENT_SETS else places, "cls"), "sets")
-    held += [members, sets]
-    marks.destroy()
+    held.append(members)
+    known = members.agg(F.count("*").alias("c"), F.max("last").alias("last"), F.count_if(F.col("last") > 0).alias("large")).first()
 
+    # sets go from their documents straight to the tasks that compare them; only those of large families are stored
+    sets, marks = _gathered(docs, members, known.c, k)
     run, schema = _compared(percent, ("x", "block"))
     by = ("x", "block")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["cls", "n", "grams", *by]
-    links = stored(sets.select(*columns).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links")
+    links = stored(sets.select("cls", "n", "grams", *by).repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema), "links")
     held.append(links)
+    marks.destroy()
+    del sets
+    clean(spark)
     if known.last:  # families of several blocks
-        return components(_between(sets.where("last > 0"), links, percent, hot, salts, held))
+        sets, marks = _gathered(docs, members.where("last > 0"), known.large, k)
+        sets = stored(sets.select("cls", "n", "grams", "block"), "sets")
+        held.append(sets)
+        marks.destroy()
+        return components(_between(sets, links, percent, hot, salts, held))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
