@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -72,6 +73,17 @@ def test_tables_round_trip(spark):
     assert all(np.frombuffer(r.ids, "<u4").tolist() == LIBRARY.encode(r.text, add_special_tokens=False).ids for r in rows[:40])
 
 
+def test_only_the_verdict_on_the_round_trip_leaves_the_task(spark, odd):
+    both = bpe.encode(odd, PATH, back="decoded", same="round_trip")
+    assert both.columns == ["doc_id", "ids", "decoded", "round_trip"]
+    assert all(r.round_trip is True for r in both.collect())
+    bad = spark.createDataFrame([(1, "plain"), (2, None), (3, "")], "doc_id long, text string")
+    assert bpe.encode(bad, PATH, same="round_trip").columns == ["doc_id", "ids", "round_trip"]
+    assert {r.doc_id: (len(r.ids), r.round_trip) for r in bpe.encode(bad, PATH, same="round_trip").collect()} == {1: (4, True), 2: (0, True), 3: (0, True)}
+    plan = corpus_pipeline.tokens(spark, bad, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "decoded" not in plan and "plain" not in plan.split("MapInArrow")[0]
+
+
 def test_odd_rows(odd, none):
     rows = bpe.decode(bpe.encode(odd, PATH), PATH).collect()
     assert len(rows) == odd.count() and {r.doc_id: r.text for r in rows} == {r.doc_id: r.text or "" for r in odd.collect()}

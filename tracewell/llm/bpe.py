@@ -28,6 +28,8 @@ from tracewell.llm.common import chunks, small_batches
 CACHE_WORDS = 150_000
 #: Pairs of tokens whose stability a worker keeps, likewise.
 CACHE_PAIRS = 200_000
+#: Characters of texts that are cut into words at a time; the words of more than these would be most of a worker's memory.
+ENCODED_CHARS = 250_000
 #: Longest word that is kept; longer ones are encoded each time they occur.
 CACHE_CHARS = 200
 
@@ -181,29 +183,33 @@ def vocabulary(file: str) -> Vocabulary:
     return kept[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), back: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), back: str | None = None, same: str | None = None) -> DataFrame:
     """(id_col, columns `keep`, ids): the ids of every whole text as little-endian unsigned 32-bit integers in a binary column.
 
     path: a byte-level BPE file of the tokenizers library, read on the driver. Ids are those of that
     library with add_special_tokens=False; added tokens that stand in a text get their own ids. With
-    `back`, a column of that name holds the text that the ids decode to. Null and empty texts have no
-    ids. Rows come one to one: repeated rows are encoded each, null ids stay null, columns not named
+    `back`, a column of that name holds the text that the ids decode to; with `same`, one says whether that
+    is the text itself (null: empty), so that neither text leaves the task. Null and empty texts have no ids. Rows come one to one: repeated rows are encoded each, null ids stay null, columns not named
     are left out, and an empty table gives an empty result.
     """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     small_batches(docs.sparkSession)
     names = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", ids binary" + (f", `{back}` string" if back else "")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", ids binary" + (f", `{back}` string" if back else "") + (f", `{same}` boolean" if same else "")
+    names_out = [*names, "ids", *([back] if back else []), *([same] if same else [])]
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what a stage before left in this worker
         vocab = vocabulary(file.value)
         for rb in batches:
             texts = rb.column("_text").to_pylist()
-            for a, b in chunks(texts):
-                coded = vocab.encode([t or "" for t in texts[a:b]])
+            for a, b in chunks(texts, ENCODED_CHARS):
+                part = [t or "" for t in texts[a:b]]
+                coded = vocab.encode(part)
                 more = [pa.array(map(vocab.decode, coded), pa.string())] if back else []
-                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in names), pa.array(coded, pa.binary()), *more], names=[*names, "ids", *([back] if back else [])])
+                more += [pa.array([vocab.decode(c) == t for c, t in zip(coded, part)], pa.bool_())] if same else []
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(a, b - a) for c in names), pa.array(coded, pa.binary()), *more], names=names_out)
         vocab.forget()
 
     return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
