@@ -40,6 +40,17 @@ def test_join_equals_all_pairs(spark, monkeypatch, num, den, share):
     assert got == want
 
 
+def test_sketches_rule_pairs_out_before_sets_move(spark):
+    """Sets of 300 of which a third is the same everywhere: they meet in the lists of rare words, and none leaves its task as a pair."""
+    rnd = random.Random(3)
+    rows = [(i, [f"common{k}" for k in range(100)] + rnd.sample([f"w{k}" for k in range(2000)], 200)) for i in range(60)]
+    rows += [(100 + i, [*w, "more"]) for i, w in rows[:5]]
+    reps = simjoin.item_sets(spark.createDataFrame(rows, "id long, w array<string>"), F.col("w"))
+    entries = simjoin.prefix_entries(reps, 4, 5)
+    assert entries.groupBy("item").count().where("count > 1").count() > 500
+    assert sorted((r.i, r.j) for r in simjoin.candidate_pairs(entries, 4, 5).collect()) == [(i, 100 + i) for i in range(5)]
+
+
 def test_odd_sets(spark):
     rows = [(1, None), (2, []), (3, ["a", None]), (4, ["a"]), (4, ["a"]), (5, [None]), (6, ["a", "b", "c", "d", "e"] * 4000), (7, [f"x{k}" for k in range(20_000)])]
     sets = simjoin.item_sets(spark.createDataFrame(rows, "id long, w array<string>"), F.col("w"))
