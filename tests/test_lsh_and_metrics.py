@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pandas as pd
@@ -139,3 +140,16 @@ def test_slot_lookup_against_a_loop(spark):
     got = {(r.q, r.nn): r.agree for r in lsh.slot_lookup(frame(asked), frame(held), 5).collect()}
     same = {(q, n): sum(a[8 * s : 8 * s + 8] == b[8 * s : 8 * s + 8] for s in range(8)) for q, a in enumerate(asked) for n, b in enumerate(held)}
     assert got == {k: n for k, n in same.items() if n >= 5}
+
+
+def test_candidates_are_told_apart_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "HOT", 8)
+    rnd = np.random.default_rng(5)
+    rows = [(k, [int(x) for x in rnd.choice([-1, 1], 8)]) for k in range(60)]
+    rows += [(60, None), (61, [1] * 5), (62, [1] * 5), (63, []), (64, [1] * 9), (3, [1] * 8), (4, [-1] * 8), (4, [-1] * 8)]  # odd lengths, repeated ids
+    for some in (rows[:60], rows):
+        h = spark.createDataFrame(some, "id long, h array<int>")
+        got = [tuple(r) for r in lsh.code_candidates(h, 4, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in lsh.candidates(lsh.bands(h, 4, 2)).collect()}
+    plan = lsh.code_candidates(spark.createDataFrame(rows[:60], "id long, h array<int>"), 4, 2)._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(q#\w+, nn#", plan)  # no pair is shuffled
