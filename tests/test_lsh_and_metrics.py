@@ -153,3 +153,12 @@ def test_candidates_are_told_apart_where_they_meet(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in lsh.candidates(lsh.bands(h, 4, 2)).collect()}
     plan = lsh.code_candidates(spark.createDataFrame(rows[:60], "id long, h array<int>"), 4, 2)._jdf.queryExecution().toString()
     assert not re.search(r"hashpartitioning\(q#\w+, nn#", plan)  # no pair is shuffled
+
+
+def test_lookup_lists_a_bucket_once(spark):
+    index = spark.createDataFrame([(1, 0, "a"), (2, 0, "a"), (3, 0, "b"), (4, 1, "a"), (5, 0, None)], "id long, band int, key string")
+    asked = spark.createDataFrame([(7, 0, "a"), (8, 0, "a"), (8, 0, "b"), (9, 0, None), (10, 1, "b"), (11, 0, "b"), (11, 0, "b")], "id long, band int, key string")
+    got = sorted((r.q, r.band, r.ids) for r in lsh.lookup(asked, index).collect())
+    assert got == [(7, 0, [1, 2]), (8, 0, [1, 2, 3]), (11, 0, [3, 3])]
+    plan = lsh.lookup(asked.where("id = 7"), index)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # lists are made below the join
