@@ -162,3 +162,12 @@ def test_lookup_lists_a_bucket_once(spark):
     assert got == [(7, 0, [1, 2]), (8, 0, [1, 2, 3]), (11, 0, [3, 3])]
     plan = lsh.lookup(asked.where("id = 7"), index)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # lists are made below the join
+
+
+def test_minhash_gathers_ranks_only(spark):
+    sets = {1: [3, 7, 7, 40_000], 2: [5], 3: list(range(1, 300))}
+    ranked = spark.createDataFrame([(i, r) for i, x in sets.items() for r in x] + [(4, None)], "id long, rank long")
+    found = lsh.minhash(ranked, 8)
+    want = {i: [min((a * r + b) % lsh.MINHASH_PRIME for r in x) for a, b in lsh.permutations(8)] for i, x in sets.items()}
+    assert {r.id: r.sig for r in found.collect()} == want
+    assert "min(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row of 64 minima is shuffled
