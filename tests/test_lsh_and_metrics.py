@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import learned, lsh, metrics as Q, stats
+from tracewell.plans import catalog
 from tracewell.sources import io
 
 
@@ -171,3 +172,18 @@ def test_minhash_gathers_ranks_only(spark):
     want = {i: [min((a * r + b) % lsh.MINHASH_PRIME for r in x) for a, b in lsh.permutations(8)] for i, x in sets.items()}
     assert {r.id: r.sig for r in found.collect()} == want
     assert "min(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row of 64 minima is shuffled
+
+
+def test_simhash_of_rows_in_a_vocabulary(spark):
+    rows = spark.createDataFrame([(1, [("a", 2), ("b", 1), ("x", 5)]), (2, [("x", 1)]), (3, [])], "id long, counts array<struct<term: string, n: long>>")
+    vocabulary = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "term string")
+    want = lsh.simhash(spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0)], "id long, term string, w double")).first()
+    assert lsh.simhash_rows(rows, vocabulary).collect() == [want]
+
+
+def test_smallest_rows_are_cut_by_ids_alone(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in (5, 3, 9, 3, 1, 7, 7, 7)], "id long, text string")
+    for most, want in ((0, []), (2, [1, 3]), (3, [1, 3, 3]), (6, [1, 3, 3, 5, 7, 7]), (20, [1, 3, 3, 5, 7, 7, 7, 9])):
+        assert sorted(r.id for r in catalog._smallest(rows, most).collect()) == want
+    assert catalog._smallest(rows.where("false"), 5).count() == 0
+    assert "GlobalLimit" not in catalog._smallest(rows, 3)._jdf.queryExecution().optimizedPlan().toString()  # no task gathers texts
