@@ -174,3 +174,16 @@ def test_simhash_of_rows_equals_the_join(spark):
     got = lsh.simhash_rows(docs.select("id", X.counted(terms).alias("counts")))
     want = lsh.simhash(X.bag_of_frames(rows).withColumn("w", F.col("n").cast("double")))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_shuffled_only_where_ids_come_again(spark, vectors, tmp_path, monkeypatch):
+    monkeypatch.setattr(growing.lsh, "HOT", 4)  # buckets go in parts
+    path = str(tmp_path / "index")
+    for gen in range(3):
+        growing.enter(banded(vectors.where(F.pmod("vec_id", F.lit(3)) == gen)), gen, path)
+    plan = lambda: growing.links(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan() and found(spark, path) == all_links(vectors)
+    assert growing.links(spark, path).count() == growing.links(spark, path).distinct().count()
+    growing.enter(banded(vectors.where("vec_id < 20")), 3, path)
+    assert "Aggregate" in plan()
+    assert growing.links(spark, path).count() == growing.links(spark, path).distinct().count()

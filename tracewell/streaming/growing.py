@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tracewell.operators import lsh
+
 _ENTRY = "id {id}, band int, key string, gen long"
 _LINK = "q {id}, nn {id}, band int, gen long"
 
@@ -26,9 +28,10 @@ def enter(banded: DataFrame, gen: int, path: str) -> None:
     spark, kind = banded.sparkSession, _id_type(banded)
     rows = banded.where("id is not null and key is not null").select("id", F.col("band").cast("int").alias("band"), "key").distinct()
     rows.sortWithinPartitions("band", "key").write.mode("overwrite").parquet(f"{path}/index/gen={gen}")
-    held = index(spark, path, kind).where(F.col("gen") <= gen).withColumnRenamed("id", "nn")
-    mine = spark.read.schema(f"id {kind}, band int, key string").parquet(f"{path}/index/gen={gen}").withColumnRenamed("id", "q")
-    met = mine.join(held, ["band", "key"]).where((F.col("q") != F.col("nn")) & ((F.col("gen") < gen) | (F.col("nn") < F.col("q"))))
+    held = index(spark, path, kind).where(F.col("gen") <= gen).select("id", "band", "key", (F.col("gen") == gen).alias("own"))
+    mine = spark.read.schema(f"id {kind}, band int, key string").parquet(f"{path}/index/gen={gen}")
+    met = lsh.in_lists(mine, *lsh.bucket_lists(held, "own")).select("q", F.explode("ids").alias("nn"), "band", "own")
+    met = met.where((F.col("q") != F.col("nn")) & (~F.col("own") | (F.col("nn") < F.col("q"))))
     met.select("q", "nn", "band").write.mode("overwrite").parquet(f"{path}/links/gen={gen}")
 
 
@@ -38,9 +41,10 @@ def index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
 
 
 def links(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """(q, nn, band): q met the earlier nn in a band. An id that arrives again meets what it met before only once."""
-    found = spark.read.schema(_LINK.format(id=id_type)).option("basePath", f"{path}/links").parquet(f"{path}/links")
-    return found.select("q", "nn", "band").distinct()
+    """(q, nn, band): q met the earlier nn in a band. An id that arrives again meets what it met before only once; links are shuffled only where one does."""
+    found = spark.read.schema(_LINK.format(id=id_type)).option("basePath", f"{path}/links").parquet(f"{path}/links").select("q", "nn", "band")
+    again = index(spark, path, id_type).groupBy("id", "band").count().where("count > 1").take(1)
+    return found.distinct() if again else found
 
 
 def grow(banded: DataFrame, path: str) -> None:
