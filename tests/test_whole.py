@@ -187,3 +187,16 @@ def test_links_are_shuffled_only_where_ids_come_again(spark, vectors, tmp_path,
     growing.enter(banded(vectors.where("vec_id < 20")), 3, path)
     assert "Aggregate" in plan()
     assert growing.links(spark, path).count() == growing.links(spark, path).distinct().count()
+
+
+def test_stream_leaves_lists_whole(spark, vectors, tmp_path, monkeypatch):
+    monkeypatch.setattr(lookup.lsh, "HOT", 4)
+    vectors.repartition(3).write.parquet(str(tmp_path / "in"))
+    lists, hot = growing.lsh.bucket_lists(banded(vectors))
+    assert hot.count() and lists.agg(F.sum(F.size("ids"))).first()[0] == banded(vectors).count()
+    stream = lookup.arriving(spark, str(tmp_path / "in"), "*.parquet", vectors.schema)
+    out = lookup.run_to_table(lookup.lists_of_stream(stream, lists, hot, 2, 2), str(tmp_path / "out"), str(tmp_path / "state"))
+    b = banded(vectors)
+    want = b.withColumnRenamed("id", "q").join(b.withColumnRenamed("id", "nn"), ["band", "key"]).groupBy("q").count()
+    got = out.groupBy("q").agg(F.sum(F.size("ids")).alias("count"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}

@@ -12,10 +12,9 @@ def arriving(spark: SparkSession, folder: str, file: str, schema, per_trigger: i
     return spark.readStream.schema(schema).option("pathGlobFilter", file).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def candidates_of_stream(vectors: DataFrame, index: DataFrame, count: int, width: int) -> DataFrame:
-    """(q, band, nn): rows of the index (id, band, key) in the buckets of the arriving vectors."""
-    queries = lsh.bands(lsh.sign_hash(vectors), count, width).withColumnRenamed("id", "q")
-    return queries.join(index.withColumnRenamed("id", "nn"), ["band", "key"]).where("q <> nn").select("q", "band", "nn")
+def lists_of_stream(vectors: DataFrame, lists: DataFrame, hot: DataFrame, count: int, width: int) -> DataFrame:
+    """(q, band, ids): the lists of an index (lsh.bucket_lists) in the buckets of the arriving vectors, whole; a vector may be in its own."""
+    return lsh.in_lists(lsh.bands(lsh.sign_hash(vectors), count, width), lists, hot).select("q", "band", "ids")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
