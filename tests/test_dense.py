@@ -129,3 +129,19 @@ def test_pairs(spark, vectors):
 def test_an_empty_table(spark, vectors):
     none = frame(spark, vectors).where("false")
     assert dense.nearest(none, 5).count() == dense.counts(none, GRID).count() == dense.agreeing(none, 8).count() == dense.mean_ranks(none, GRID).count() == 0
+
+
+def test_ranks_shuffle_vectors_and_no_similarities(spark, vectors, plain, monkeypatch):
+    """Queries a few at a time, and one exchange, of vectors."""
+    monkeypatch.setattr(dense, "HELD", 100)
+    means = dense.mean_ranks(frame(spark, vectors), GRID)
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "binary" not in means._jdf.queryExecution().analyzed().toString() and "FlatMapGroupsInArrow" not in plan
+    got = {(r.q, r.g): r.value for r in means.collect()}
+    for q, others in plain.items():
+        ranked = sorted(((nn, s) for nn, s, _ in others), key=order)
+        rank = {nn: 1 + next(i for i, (_, t) in enumerate(ranked) if same(s, t)) for nn, s in ranked}
+        for g in range(len(GRID)):
+            found = sorted(((nn, s) for nn, s, met in others if met[g]), key=order)
+            want = [1.0 if i > rank[nn] else (i + 1) / (rank[nn] + 1) for i, (nn, _) in enumerate(found, 1)]
+            assert same(got[q, g], sum(want) / len(want) if want else None)
