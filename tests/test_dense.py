@@ -145,3 +145,15 @@ def test_ranks_shuffle_vectors_and_no_similarities(spark, vectors, plain, monkey
             found = sorted(((nn, s) for nn, s, met in others if met[g]), key=order)
             want = [1.0 if i > rank[nn] else (i + 1) / (rank[nn] + 1) for i, (nn, _) in enumerate(found, 1)]
             assert same(got[q, g], sum(want) / len(want) if want else None)
+
+
+def test_counts_take_every_two_blocks_once(spark, vectors, monkeypatch):
+    """A pair counts for both of its rows where it is worked out; a row leaves a group once, with all settings."""
+    calls, plain_in_blocks = [], dense.in_blocks
+    monkeypatch.setattr(dense, "in_blocks", lambda *x, **y: calls.append(plain_in_blocks(*x, **y)) or calls[-1])
+    full = {(r.q, r.g): r for r in dense.counts(frame(spark, vectors), GRID).collect()}
+    for r in dense.counts(frame(spark, vectors), GRID, least_similar=False).collect():
+        want = full[r.q, r.g]
+        assert r.low is None and (r.many, r.got, r.there) == (want.many, want.got, want.there)
+    blocks = -(-len(vectors) // max(-(-dense.BLOCK // dense.LARGER), -(-len(vectors) // dense.MANY)))
+    assert calls[0].count() <= len(vectors) * (blocks + 1)
