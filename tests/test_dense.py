@@ -157,3 +157,29 @@ def test_counts_take_every_two_blocks_once(spark, vectors, monkeypatch):
         assert r.low is None and (r.many, r.got, r.there) == (want.many, want.got, want.there)
     blocks = -(-len(vectors) // max(-(-dense.BLOCK // dense.LARGER), -(-len(vectors) // dense.MANY)))
     assert calls[0].count() <= len(vectors) * (blocks + 1)
+
+
+def test_met_counts_pairs_in_their_tasks(spark, vectors, plain):
+    """Cells of equal signs and first settings, of a chosen part of the pairs."""
+    want, by = {}, dict(vectors)
+    for i, others in plain.items():
+        for j, s, met in others:
+            if i < j and (i + j) % 3 and s is not None:
+                cell = sum(x == y for x, y in zip(signs(by[i]), signs(by[j]))), met.index(True) if any(met) else len(GRID)
+                want[cell] = want.get(cell, 0) + 1
+    got = dense.met(frame(spark, vectors), GRID, lambda i, j: (i + j) % 3 != 0)
+    assert {(r.same, r.level): r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("width", [64, 70, 20])
+def test_pairs_of_other_widths_are_rounded_where_they_are_made(spark, width):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.normal(size=width)]) for i in range(13)]
+    by, n = dict(rows), width // 7
+    agree = {(r.i, r.j): r.agree for r in dense.agreeing(frame(spark, rows), 7).collect()}
+    soft = {(r.i, r.j): r.soft for r in dense.soft_agreeing(frame(spark, rows), 7).collect()}
+    assert len(agree) == len(soft) == 78
+    for (i, j), value in agree.items():
+        x, y = by[i], by[j]
+        assert value == round(sum(signs(x)[s * 7 : s * 7 + 7] == signs(y)[s * 7 : s * 7 + 7] for s in range(n)) / n, 9)
+        assert soft[i, j] == round(1 - sum(max(abs(a - b) for a, b in zip(x[s * 7 : s * 7 + 7], y[s * 7 : s * 7 + 7])) for s in range(n)) / (2 * n), 9)
