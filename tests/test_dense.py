@@ -183,3 +183,17 @@ def test_pairs_of_other_widths_are_rounded_where_they_are_made(spark, width):
         x, y = by[i], by[j]
         assert value == round(sum(signs(x)[s * 7 : s * 7 + 7] == signs(y)[s * 7 : s * 7 + 7] for s in range(n)) / n, 9)
         assert soft[i, j] == round(1 - sum(max(abs(a - b) for a, b in zip(x[s * 7 : s * 7 + 7], y[s * 7 : s * 7 + 7])) for s in range(n)) / (2 * n), 9)
+
+
+@pytest.mark.parametrize("top", [1, 6])
+def test_best_candidates_among_the_nearest_and_beyond(spark, vectors, plain, monkeypatch, top):
+    """Blocks of many rows, where the rows a setting finds are among the most similar ones or not."""
+    monkeypatch.setattr(dense, "TOP", top)
+    monkeypatch.setattr(dense, "BLOCK", 64)
+    got = {}
+    for r in dense.found_nearest(frame(spark, vectors), GRID, 2).orderBy("i").collect():
+        got.setdefault((r.q, r.g), []).append((r.i, r.nn, r.many))
+    for q, others in plain.items():
+        for g in range(len(GRID)):
+            found = sorted(((nn, s) for nn, s, met in others if met[g]), key=order)
+            assert got.get((q, g), []) == [(i, nn, len(found)) for i, (nn, _) in enumerate(found[:2], 1)]
